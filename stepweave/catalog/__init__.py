@@ -1,0 +1,12 @@
+"""Queries over the given tables, one module per operator family."""
+
+from importlib import import_module
+
+MODULES = ("tables",)
+
+
+def load():
+    """Import all query modules and return the registry."""
+    for name in MODULES:
+        import_module(f"stepweave.catalog.{name}")
+    return import_module("stepweave.catalog.registry")

@@ -225,6 +225,10 @@ def identity_encoder(images: np.ndarray) -> np.ndarray:
     return images[..., None]
 
 
+def _positions(t: Column, side: int, dim: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda p: pos_vector(t, p, side, dim))
+
+
 def build_features(frames: DataFrame, encoder: Encoder = identity_encoder, pos_dim: int = 768, views: int = 1,
                    how: str = "mean", keep: Sequence[str] = ("epis_idx", "step_idx", "state")) -> DataFrame:
     """Per step: embeddings pooled to 8x8, 4x4 and 2x2, their positional vectors, and the state.
@@ -237,8 +241,7 @@ def build_features(frames: DataFrame, encoder: Encoder = identity_encoder, pos_d
     out = [F.col(c) for c in keep if c in frames.columns] + ([F.col("view")] if "view" in frames.columns else [])
     for side in (8, 4, 2):
         out.append(pool_tokens(F.col("emb"), 8, side, how).alias(f"image_emb_{side}x{side}"))
-        out.append(F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)),
-                               lambda p, side=side: pos_vector(t, p, side, pos_dim)).alias(f"pos_emb_{side}x{side}"))
+        out.append(_positions(t, side, pos_dim).alias(f"pos_emb_{side}x{side}"))
     return encoded.select(*out)
 
 
@@ -263,7 +266,7 @@ def assemble_tokens(samples: DataFrame, tokens: DataFrame, features: DataFrame,
         F.struct("_pos", "image", "pos", "state"))).alias("_m"))
     out = samples.join(packed, [*keys, "step_idx"], "left")
     for name, field in (("static_image_emb", "image"), ("static_pos_emb", "pos"), ("static_state_emb", "state")):
-        values = F.transform("_m", lambda m, f=field: m[f])
+        values = F.col(f"_m.{field}")
         zero = F.transform(F.get(values, F.lit(0)), lambda x: x * 0)
         out = out.withColumn(name, v.pad_right(values, budget, zero))
     size = F.coalesce(F.size("_m"), F.lit(0))
@@ -281,7 +284,7 @@ def assemble_frames(samples: DataFrame, features: DataFrame, budget: int = 512,
     size = F.size("history")
     per_frame = per_image * views
     for name, field in (("static_image_emb", payload[0]), ("static_pos_emb", payload[1])):
-        values = F.flatten(F.transform("history", lambda h, f=field: h[f]))
+        values = F.flatten(f"history.{field}")
         zero = F.transform(F.get(values, F.lit(0)), lambda x: x * 0)
         out = out.withColumn(name, v.pad_right(values, frames_max * per_frame, zero))
     states = F.flatten(F.transform("history", lambda h: F.array_repeat(h["state"], per_frame)))
@@ -305,6 +308,6 @@ def assemble_recurrent(samples: DataFrame, features: DataFrame, horizon: int = 1
 
     for name, field, depth in (("recur_image_emb", payload[0], 1), ("recur_pos_emb", payload[1], 1),
                                ("recur_state_emb", "state", 0)):
-        values = F.transform("history", lambda h, f=field: h[f])
+        values = F.col(f"history.{field}")
         out = out.withColumn(name, v.pad_left(values, max_steps, deep_zero(values, depth)))
     return out.withColumn("recur_mask", v.mask_left(size, max_steps)).drop("history")

@@ -241,22 +241,23 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], step: str, before: int,
             .where(F.col(OWN)).drop(OWN))
 
 
-def number_all(df: DataFrame, bucket: Column, order: Sequence[str | Column], name: str,
-               weight: Column | None = None) -> DataFrame:
-    """0-based global position (or running weight before the row) without a single-task window.
+def number_all(df: DataFrame, bucket: Column, order: Sequence[str | Column],
+               weights: Mapping[str, Column]) -> DataFrame:
+    """Running weight before each row, over all rows, without a single-task window; weight 1 numbers rows.
 
     ``bucket`` is monotone in ``order`` and takes a bounded number of values (at most MAX_SPLITS), so the
     table of bucket offsets is broadcast with a proven bound.
     """
-    weight = F.lit(1) if weight is None else weight
-    marked = df.withColumn("_bucket", bucket).withColumn("_w", weight)
-    sizes = marked.groupBy("_bucket").agg(F.sum("_w").alias("_size"))
+    marked = df.withColumn("_bucket", bucket)
+    sizes = marked.groupBy("_bucket").agg(*[F.sum(w).alias(f"_size_{n}") for n, w in weights.items()])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    offsets = sizes.select("_bucket", *[
+        F.coalesce(F.sum(f"_size_{n}").over(before), F.lit(0)).alias(f"_offset_{n}") for n in weights])
     inside = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = marked.withColumn(name, F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-    return (numbered.join(F.broadcast(offsets), "_bucket")
-            .withColumn(name, F.col(name) + F.col("_offset")).drop("_bucket", "_offset", "_w"))
+    numbered = marked.select(*marked.columns, *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(n)
+                                                for n, w in weights.items()])
+    joined = numbered.join(F.broadcast(offsets), "_bucket")
+    return joined.select(*df.columns, *[(F.col(n) + F.col(f"_offset_{n}")).alias(n) for n in weights])
 
 
 def range_bucket(df: DataFrame, column: str) -> Column:

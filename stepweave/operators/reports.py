@@ -37,8 +37,8 @@ def with_excluded(progress: DataFrame, exclude: Sequence[str], episodes: int = 5
         return progress
     spark = progress.sparkSession
     failed = spark.createDataFrame([(t,) for t in exclude], "task string").select(
-        "task", F.explode(F.sequence(F.lit(0), F.lit(episodes - 1))).cast("string").alias("episode"),
-        F.lit("false").alias("status"))
+        "task", F.explode(F.sequence(F.lit(0), F.lit(episodes - 1))).alias("episode"), F.lit("false").alias("status"))
+    failed = failed.withColumn("episode", F.col("episode").cast("string"))
     kept = progress.where(~F.col("task").isin(*exclude)).select("task", F.col("episode").cast("string").alias("episode"), "status")
     return kept.unionByName(failed)
 

@@ -19,7 +19,7 @@ def shuffle(df: DataFrame, seed: int, key: str, rank: str = "rank") -> DataFrame
     """
     hashed = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
     bucket = F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
-    return o.number_all(hashed, bucket, ["_h", key], rank).drop("_h")
+    return o.number_all(hashed, bucket, ["_h", key], {rank: F.lit(1)}).drop("_h")
 
 
 def batches(df: DataFrame, size: int, rank: str = "rank") -> DataFrame:
@@ -35,7 +35,7 @@ def stack(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows of a batch as arrays in slot order (a batch has a fixed size)."""
     rows = F.array_sort(F.collect_list(F.struct("slot", *columns)))
     packed = df.groupBy("batch").agg(rows.alias("_rows"))
-    return packed.select("batch", *[F.transform("_rows", lambda r, c=c: r[c]).alias(c) for c in columns])
+    return packed.select("batch", *[F.col(f"_rows.{c}").alias(c) for c in columns])
 
 
 def take_batches(df: DataFrame, size: int, count: int, rank: str = "rank") -> DataFrame:

@@ -37,7 +37,7 @@ def vector_stats(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFram
     checked = (F.when(F.col("count") < 2, F.raise_error(F.lit("fewer than 2 vectors")).cast("bigint"))
                .when(F.col("count") != F.col("_most"), F.raise_error(F.lit("vectors differ in length")).cast("bigint"))
                .otherwise(F.col("count")))
-    return packed.select(*by, *[F.transform("_r", lambda r, n=n: r[n]).alias(n) for n in names], checked.alias("count"))
+    return packed.select(*by, *[F.col(f"_r.{n}").alias(n) for n in names], checked.alias("count"))
 
 
 def hist_quantiles(df: DataFrame, column: str, qs: Sequence[float] = (0.01, 0.99), bins: int = BINS,

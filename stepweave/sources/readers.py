@@ -94,8 +94,8 @@ def read_run_logs(spark: SparkSession, root: str, model: str, checkpoints: Seque
     if not statuses:
         return spark.createDataFrame([], empty)
     logs = (spark.read.text(f"{root}/{model}/*/*{tail}/log.json", wholetext=True)
-            .withColumn("_path", F.col("_metadata.file_path")))
-    parts = F.split(F.regexp_extract("_path", r"([^/]+/[^/]+)" + tail + r"/log\.json$", 1), "/")
+            .withColumn("_path", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))))
+    parts = F.split(F.regexp_extract("_path", r"([^/]+/[^/]+)" + tail + r"/log\.json(?:/[^/]+)?$", 1), "/")
     parsed = logs.select(F.get(parts, F.lit(0)).alias("checkpoint"), F.get(parts, F.lit(1)).alias("seed"),
                          F.from_json("value", LOG).alias("log"))
     wanted = parsed.where(F.col("checkpoint").isin(*checkpoints) & F.col("seed").isin(*seeds)
