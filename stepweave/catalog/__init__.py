@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("tables",)
+MODULES = ("tables", "joining", "windowing")
 
 
 def load():

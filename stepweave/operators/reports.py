@@ -68,15 +68,19 @@ def summarize_runs(scores: DataFrame) -> DataFrame:
     return grouped.select(name.alias("checkpoint"), "score", "mean", "std", "runs")
 
 
+def two_digits(x: Column) -> Column:
+    """Two decimals, rounded from the exact binary value, half to even."""
+    return F.call_function("format_number", x, F.lit("0.00"))
+
+
 def format_cell(mean: Column, std: Column, separator: str = " ± ") -> Column:
-    shown = F.coalesce(F.format_string("%.2f", std), F.lit("nan"))
-    return F.concat(F.format_string("%.2f", mean), F.lit(separator), shown)
+    return F.concat(two_digits(mean), F.lit(separator), F.coalesce(two_digits(std), F.lit("nan")))
 
 
 def report_table(summary: DataFrame, checkpoints: Sequence[str] | None = None, mean_only: bool = False,
                  scores: Sequence[str] = SCORES) -> DataFrame:
     """Scores as columns, checkpoints as rows in the given order, ALL last."""
-    cell = F.format_string("%.2f", F.col("mean")) if mean_only else format_cell(F.col("mean"), F.col("std"))
+    cell = two_digits(F.col("mean")) if mean_only else format_cell(F.col("mean"), F.col("std"))
     wide = summary.withColumn("_cell", cell).groupBy("checkpoint").pivot("score", list(scores)).agg(F.first("_cell"))
     if checkpoints is not None:
         wide = wide.where(F.col("checkpoint").isin(*checkpoints, "ALL"))

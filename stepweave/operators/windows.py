@@ -70,7 +70,7 @@ def transitions(df: DataFrame, subgoal: str = "subgoal", sentinel: str = "comple
         change = F.when(strided, on_grid).otherwise(change)
         closing = closing & ~(strided & on_grid)
     kinds = F.array_compact(F.array(F.when(change, F.lit(0)), F.when(closing, F.lit(1))))
-    return seen.drop("_now", "_before").withColumn("kind", F.explode(kinds))
+    return seen.withColumn("kind", F.explode(kinds)).drop("_now", "_before")
 
 
 def merge_keyframes(df: DataFrame, flag: Column, threshold: int = 10) -> DataFrame:
