@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("tables", "joining", "windowing")
+MODULES = ("tables", "joining", "windowing", "memories", "streams")
 
 
 def load():
