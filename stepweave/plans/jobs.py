@@ -86,18 +86,21 @@ def _carried_texts(rows: DataFrame, columns: Sequence[str], sentinel: str) -> Da
     return rows
 
 
-def chat_selection(steps: DataFrame, sentinel: str = "complete") -> DataFrame:
+def chat_selection(steps: DataFrame, sentinel: str = "complete", stride: int = 16, slow_stride: int = 32,
+                   subgoal: str = "subgoal") -> DataFrame:
     """Selected steps with duplicate counts and the texts of those steps."""
-    picked = windows.select_frames(windows.transitions(steps, sentinel=sentinel))
+    found = windows.transitions(steps, subgoal, sentinel)
+    picked = windows.select_frames(found, stride, slow_stride=slow_stride)
     chosen = picked.select(*KEYS, "step_idx", "duplicates")
     return steps.join(chosen, [*KEYS, "step_idx"])
 
 
 def build_chat_single(steps: DataFrame, goal: str = "goal", simple: str = "subgoal", grounded: str = "grounded",
-                      sentinel: str = "complete", duplicate: bool = True, noise_seed: int | None = 0) -> DataFrame:
+                      sentinel: str = "complete", duplicate: bool = True, noise_seed: int | None = 0,
+                      stride: int = 16, slow_stride: int = 32) -> DataFrame:
     """Single-image chat records, two rows (simple, grounded) per selected step and copy."""
     lowered = steps.withColumns({simple: F.lower(simple), grounded: F.lower(grounded)})
-    chosen = _carried_texts(chat_selection(lowered, sentinel), [simple, grounded], sentinel)
+    chosen = _carried_texts(chat_selection(lowered, sentinel, stride, slow_stride, simple), [simple, grounded], sentinel)
     shown = F.coalesce(F.col(grounded), F.lit("None"))
     chosen = chosen.withColumns({"_boxes": text.points(shown), "_masked": text.mask_points(shown)})
     rows = windows.history(chosen, simple, "_simple_history")
