@@ -32,10 +32,10 @@ def srt02(spark, sf):
                       F.element_at("o_orderkey", -1).alias("last"))
 
 
-@query("srt03_wrapped_batches", f"""WITH {RANKED}, d AS (SELECT i AS draw, i % (SELECT max(n) // 4096 FROM r) AS batch FROM range(7) x(i))
-SELECT draw, count(*) AS size, sum(o_orderkey)::BIGINT AS keys FROM d JOIN r ON rank // 4096 = batch GROUP BY draw""")
+@query("srt03_wrapped_batches", f"""WITH {RANKED}, d AS (SELECT i AS draw, i % (SELECT max(n) // 512 FROM r) AS batch FROM range(40) x(i))
+SELECT draw, count(*) AS size, sum(o_orderkey)::BIGINT AS keys FROM d JOIN r ON rank // 512 = batch GROUP BY draw""")
 def srt03(spark, sf):
-    out = sampling.take_batches(shuffled(spark, sf), 4096, 7)
+    out = sampling.take_batches(shuffled(spark, sf), 512, 40)
     return out.groupBy("draw").agg(F.count(F.lit(1)).alias("size"), F.sum("o_orderkey").alias("keys"))
 
 

@@ -15,6 +15,7 @@ from stepweave.functions import vectors as v
 from stepweave.functions.indices import even_indices, recurrent_indices
 from stepweave.operators import ordered as o
 from stepweave.operators.joins import gather_history
+from stepweave.session import cut_lineage
 
 GRID = 8
 FIRST_SCORE = 1000.0
@@ -141,6 +142,7 @@ def online_tokens(samples: DataFrame, scores: DataFrame, budget: int = 512, keep
 
     heap_type = "array<array<double>>"
     if o.is_split(rows):
+        rows = cut_lineage(rows)
         ident = o._ddl(rows, [*keys, o.BLOCK])
         hot = rows.where(F.col(o.BLOCK).isNotNull() & (F.col("kind") == 0))
         tops = o._sorted_groups(hot, [*keys, o.BLOCK], "_at", summarize, f"{ident}, _top {heap_type}")

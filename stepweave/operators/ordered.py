@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from stepweave.session import cut_lineage
+
 BLOCK = "_blk"
 SPLIT_ROWS = "spark.stepweave.splitRows"
 DEFAULT_SPLIT_ROWS = 1 << 16
@@ -74,6 +76,13 @@ def is_split(df: DataFrame) -> bool:
     return BLOCK in df.columns and df.schema[BLOCK].metadata != WHOLE
 
 
+def _settled(df: DataFrame) -> tuple[DataFrame, int]:
+    """A split frame that is about to be read more than once, and how often its plan was doubled since the
+    last checkpoint. A frame that was doubled before is checkpointed, so a chain of scans stays linear."""
+    depth = df.schema[BLOCK].metadata.get("depth", 0)
+    return (cut_lineage(df), 0) if depth else (df, depth)
+
+
 def group_keys(df: DataFrame, keys: Sequence[str]) -> list[str]:
     return [*keys, BLOCK] if is_split(df) else list(keys)
 
@@ -130,11 +139,15 @@ def scan(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], specs:
     order = [order] if isinstance(order, str) else list(order)
     df = split(df, keys, order[0])
     parts = group_keys(df, keys)
-    joined = df.join(F.broadcast(_context(df, keys, order, specs)), parts, "left") if is_split(df) else df
+    joined, block = df, F.col(BLOCK)
+    if is_split(df):
+        df, depth = _settled(df)
+        joined = df.join(F.broadcast(_context(df, keys, order, specs)), parts, "left")
+        block = block.alias(BLOCK, metadata={"depth": depth + 1})
 
     ordered = Window.partitionBy(*parts).orderBy(*order)
     group = Window.partitionBy(*parts)
-    out = [F.col(c) for c in df.columns if c not in specs]
+    out = [block if c == BLOCK else F.col(c) for c in df.columns if c not in specs]
     for name, spec in specs.items():
         carry = F.col(f"_c_{name}") if is_split(df) else F.lit(None)
         up_to = ordered.rowsBetween(Window.unboundedPreceding, 0 if spec.inclusive else -1)
@@ -194,6 +207,8 @@ def prefix_list(df: DataFrame, keys: Sequence[str], order: str, value: Column, n
     skew handling may split, and gathered per row, so that no task holds more than one row's list.
     """
     df = split(df, keys, order)
+    if is_split(df):
+        df = cut_lineage(df)
     window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     plain = df.withColumn(name, F.collect_list(value).over(window))
     if not is_split(df):
@@ -311,6 +326,7 @@ def finite_scan(df: DataFrame, keys: Sequence[str], order: str, states: int, sta
             yield pdf.drop(columns=["_moves", "_entry"]).assign(**{name: seen})
 
     if is_split(df):
+        df = cut_lineage(df)
         ident = _ddl(df, block_keys)
         hot = df.where(F.col(BLOCK).isNotNull()).select(*block_keys, order, "_moves")
         effects = _sorted_groups(hot, block_keys, order, compose, f"{ident}, _map array<bigint>")
