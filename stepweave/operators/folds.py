@@ -64,7 +64,7 @@ def local_minima(df: DataFrame, threshold: float = 0.001, min_distance: int = 5)
         "_i": o.running(F.lit(1), inclusive=False)})
     x = F.col("_x")
     dip = (x < threshold) & (x < F.col("_left._x")) & (x < F.col("_right._x"))
-    found = o.scan(seen.where(dip).drop("_x", "_left", "_right", "state", "action"), KEYS, STEP,
+    found = o.scan(seen.where(dip).drop("_x", "_left", "_right", "state", "action", "subgoal"), KEYS, STEP,
                    {"_prev": o.lag(F.col("_i"))})
     found = found.withColumn("_gap", F.coalesce(F.col("_i") - F.col("_prev"), F.lit(FAR)))
 

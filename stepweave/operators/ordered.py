@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -313,16 +315,20 @@ def finite_scan(df: DataFrame, keys: Sequence[str], order: str, states: int, sta
                 state = int(move[state])
             yield pdf[block_keys].assign(_entry=seen)
 
-    def replay(batches):
-        state = None
+    def replay(parts, batches):
+        # Row by row over whole batches: a group costs nothing of its own.
+        current, state, previous = None, start, None
         for pdf in batches:
-            if state is None:
-                entry = pdf["_entry"].iloc[0]
-                state = start if pd.isna(entry) else int(entry)
-            seen = np.empty(len(pdf), dtype="int32")
-            for i, move in enumerate(pdf["_moves"]):
-                seen[i] = state
-                state = int(move[state])
+            marks, moves = _group_marks(pdf, parts), np.stack(pdf["_moves"].to_numpy()).tolist()
+            seen = []
+            for mark, entry, at, move in zip(marks, pdf["_entry"].tolist(), pdf[order].tolist(), moves):
+                if mark != current:
+                    current, state = mark, start if pd.isna(entry) else int(entry)
+                elif at < previous:
+                    raise ValueError(f"rows arrived out of {order} order")
+                previous = at
+                seen.append(state)
+                state = move[state]
             yield pdf.drop(columns=["_moves", "_entry"]).assign(**{name: seen})
 
     if is_split(df):
@@ -335,7 +341,9 @@ def finite_scan(df: DataFrame, keys: Sequence[str], order: str, states: int, sta
     else:
         marked = df.withColumn("_entry", F.lit(None).cast("int"))
     kept = [c for c in marked.columns if c not in ("_moves", "_entry")]
-    out = _sorted_groups(marked, group_keys(df, keys), order, replay, f"{_ddl(marked, kept)}, `{name}` int")
+    parts = group_keys(df, keys)
+    out = _arranged(marked, parts, order).mapInPandas(lambda batches: replay(parts, batches),
+                                                      f"{_ddl(marked, kept)}, `{name}` int")
     if BLOCK in df.columns and not is_split(df):
         out = out.withColumn(BLOCK, F.lit(None).cast("int").alias(BLOCK, metadata=WHOLE))
     return out
@@ -345,22 +353,39 @@ def _ddl(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
+def _arranged(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """All rows of a group in one partition, contiguous and in order."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, order)
+
+
+def _group_marks(pdf: pd.DataFrame, keys: Sequence[str]) -> list[tuple]:
+    columns = [pdf[k].astype(object).where(pdf[k].notna(), None).tolist() for k in keys]
+    return list(zip(*columns))
+
+
 def _sorted_groups(df: DataFrame, keys: Sequence[str], order: str, fn, schema: str) -> DataFrame:
-    """Apply an iterator function to each group with its rows in order.
+    """Apply a function of an iterator of frames to each group, rows in order.
 
-    The sort by (keys, order) satisfies the sort by keys that the grouped map asks for, so Spark adds none.
+    Groups are cut out of the Arrow batches of a sorted partition, so a small group needs no batch of its
+    own and a large one is never held whole.
     """
-
-    def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def watch():
-            previous = None
-            for pdf in batches:
-                values = pdf[order].to_numpy()
-                if (previous is not None and len(values) and values[0] < previous) or (np.diff(values) < 0).any():
+    def pieces(batches: Iterator[pd.DataFrame]):
+        previous = None
+        for pdf in batches:
+            marks, values = _group_marks(pdf, keys), pdf[order].tolist()
+            first = 0
+            for i, mark in enumerate(marks):
+                if previous is not None and previous[0] == mark and values[i] < previous[1]:
                     raise ValueError(f"rows arrived out of {order} order")
-                previous = values[-1] if len(values) else previous
-                yield pdf
-        yield from fn(watch())
-
-    arranged = df.repartition(*keys).sortWithinPartitions(*keys, order)
-    return arranged.groupBy(*keys).applyInPandas(checked, schema)
+                if i and mark != marks[i - 1]:
+                    yield marks[first], pdf.iloc[first:i]
+                    first = i
+                previous = (mark, values[i])
+            if len(pdf):
+                yield marks[first], pdf.iloc[first:]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, parts in groupby(pieces(batches), key=itemgetter(0)):
+            yield from fn(part for _, part in parts)
+
+    return _arranged(df, keys, order).mapInPandas(run, schema)
