@@ -11,6 +11,7 @@ from stepweave.catalog.memories import SCORES_SQL
 from stepweave.catalog.registry import CHUNK_ROWS, STEPS, query, work_dir
 from stepweave.catalog.windowing import even_sql, joined
 from stepweave.operators import stats, windows
+from stepweave.operators.ordered import order_value
 from stepweave.sources import sinks, views
 from stepweave.streaming import memory as live
 from stepweave.streaming import run
@@ -36,8 +37,9 @@ def event_stream(spark, sf, folder):
 
     Chunks carry one sequence number: microseconds, with the last digits of the id to break ties.
     """
-    ts = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = views.table(spark, sf, "events").select(
+    events = views.table(spark, sf, "events")
+    ts = F.round(order_value(events, "ts")).cast("bigint")
+    rows = events.select(
         F.col("user_id").cast("int").alias("epis_idx"), (ts * 1000 + F.col("event_id") % 1000).alias("seq"),
         F.lit(1).alias("frames"), (F.col("user_id") % 5).cast("int").alias("exec_start"), F.lit(False).alias("reset"))
     run.write_slices(rows, F.col("seq"), f"{folder}/in", SLICES)

@@ -32,11 +32,17 @@ MAX_SPLITS = 1 << 16
 WHOLE = {"stepweave": "no group is split"}
 
 
-def _numeric(df: DataFrame, order: str) -> Column:
-    kind = df.schema[order].dataType.typeName()
-    if kind.startswith("timestamp") or kind == "date":
-        return F.unix_micros(F.col(order).cast("timestamp")).cast("double")
-    return F.col(order).cast("double")
+def order_value(df: DataFrame, order: str) -> Column:
+    """Order column as a double, monotone in the column; times in microseconds whatever the session zone."""
+    kind, value = df.schema[order].dataType.typeName(), F.col(order)
+    if kind == "timestamp":
+        return F.unix_micros(value).cast("double")
+    if kind == "date":
+        return F.unix_date(value).cast("double")
+    if kind == "timestamp_ntz":
+        whole = F.unix_date(value.cast("date")) * 86400.0 + F.hour(value) * 3600 + F.minute(value) * 60
+        return (whole + F.extract(F.lit("SECOND"), value).cast("double")) * 1e6
+    return value.cast("double")
 
 
 def oversized(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame | None:
@@ -45,7 +51,7 @@ def oversized(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame | Non
     At most MAX_SPLITS rows by the choice of the limit, so the table may pass through the driver.
     """
     floor = int(df.sparkSession.conf.get(SPLIT_ROWS, str(DEFAULT_SPLIT_ROWS)))
-    value = _numeric(df, order)
+    value = order_value(df, order)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     rows = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
     limit = F.greatest(F.lit(floor), F.ceil(rows / MAX_SPLITS))
@@ -68,7 +74,7 @@ def split(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     large = oversized(df, keys, order)
     if large is None:
         return df.withColumn(BLOCK, F.lit(None).cast("int").alias(BLOCK, metadata=WHOLE))
-    value = _numeric(df, order)
+    value = order_value(df, order)
     joined = df.join(F.broadcast(large), list(keys), "left")
     return joined.withColumn(BLOCK, F.when(F.col("_nb").isNotNull(), _position(value))).drop("_lo", "_hi", "_nb")
 
@@ -245,7 +251,7 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], step: str, before: int,
         columns = build(Window.partitionBy(*keys).orderBy(step))
         kept = [F.col(c) for c in base.columns if c not in columns]
         return base.select(*kept, *[c.alias(n) for n, c in columns.items()])
-    value = _numeric(base, step)
+    value = order_value(base, step)
     joined = base.join(F.broadcast(large), list(keys), "left")
     home = F.when(F.col("_nb").isNotNull(), _position(value))
     blocks = F.when(F.col("_nb").isNull(), F.array(F.lit(None).cast("int"))).otherwise(
@@ -279,7 +285,7 @@ def number_all(df: DataFrame, bucket: Column, order: Sequence[str | Column],
 
 def range_bucket(df: DataFrame, column: str) -> Column:
     """Equal-width bucket of a number column, at most MAX_SPLITS values; monotone in the column."""
-    value = _numeric(df, column)
+    value = order_value(df, column)
     ends = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("r")).scalar()
     return F.floor((value - ends["lo"]) / (ends["hi"] - ends["lo"] + 1) * MAX_SPLITS).cast("int")
 

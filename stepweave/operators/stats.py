@@ -41,18 +41,19 @@ def vector_stats(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFram
 
 
 def hist_quantiles(df: DataFrame, column: str, qs: Sequence[float] = (0.01, 0.99), bins: int = BINS,
-                   exact_bins: bool = True) -> DataFrame:
+                   exact_bins: bool = True, ends: DataFrame | None = None) -> DataFrame:
     """One row per dimension with a column ``q01``-like per quantile: the left edge of the first bin whose
     cumulative count reaches q * n. Two passes: range, then counts per (dim, bin).
 
     ``exact_bins=False`` uses Spark's approximate percentile in one pass instead. The range table has one
-    row per dimension of a vector and is broadcast.
+    row per dimension of a vector and is broadcast; pass it as ``ends`` (dim, lo, hi, n) when it is known.
     """
     names = [f"q{round(q * 100):02d}" for q in qs]
     cells = _exploded(df, column)
     if not exact_bins:
         return cells.groupBy("dim").agg(*[F.percentile_approx("x", q, 10000).alias(n) for q, n in zip(qs, names)])
-    ends = cells.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n"))
+    if ends is None:
+        ends = cells.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n"))
     width = F.col("hi") - F.col("lo")
     raw = F.when(width > 0, F.floor((F.col("x") - F.col("lo")) / width * bins)).otherwise(F.lit(0))
     counts = (cells.join(F.broadcast(ends), "dim")
@@ -130,12 +131,15 @@ class NormStats:
 
 
 def collect_norm_stats(df: DataFrame, column: str) -> NormStats:
-    """Moments and quantiles of a vector column (as many values as the vector is long)."""
-    rows = {r["dim"]: r for r in vector_moments(df, column).join(hist_quantiles(df, column), "dim").collect()}
-    if not rows or min(r["count"] for r in rows.values()) < 2:
+    """Moments and quantiles of a vector column: two passes over the rows, a row per dimension to the driver."""
+    moments = sorted(vector_moments(df, column).collect(), key=lambda r: r["dim"])
+    if not moments or min(r["count"] for r in moments) < 2:
         raise ValueError("cannot compute statistics for fewer than 2 vectors")
-    ordered = [rows[i] for i in sorted(rows)]
-    return NormStats(*[[float(r[n]) for r in ordered] for n in ("mean", "std", "q01", "q99")])
+    ends = df.sparkSession.createDataFrame([(r["dim"], r["min"], r["max"], r["count"]) for r in moments],
+                                           "dim int, lo double, hi double, n bigint")
+    quantiles = sorted(hist_quantiles(df, column, ends=ends).collect(), key=lambda r: r["dim"])
+    return NormStats(*[[float(r[n]) for r in moments] for n in ("mean", "std")],
+                     *[[float(r[n]) for r in quantiles] for n in ("q01", "q99")])
 
 
 def _apply(df: DataFrame, stats: dict[str, NormStats] | None, use_quantiles: bool, by_z, by_q) -> DataFrame:
