@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stepweave.functions import rng, text, vectors
 from stepweave.operators import joins, memory, reports, sampling, shape, stats, windows
 from stepweave.operators import ordered as o
+from stepweave.session import cut_lineage
 
 KEYS = ["epis_idx"]
 
@@ -41,6 +42,8 @@ def number_samples(steps: DataFrame, file: str | None = None, episode: str = "ep
     group = [file, episode] if file else [episode]
     sizes = steps.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"), F.count_if(~F.col("is_demo")).alias("_exec"),
                                       F.min(F.when(~F.col("is_demo"), F.col("step_idx"))).alias("_start"))
+    # One row per episode, read three times below: written once instead of recomputed from the steps.
+    sizes = cut_lineage(sizes)
     if file:
         # File names are ordered by a dense rank first: far fewer files than episodes.
         names = sizes.select(file).distinct()
