@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
+import os
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,17 +35,34 @@ def local_session(cores: int | str = 8, memory: str = "12g", app: str = "stepwea
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach (``spark.checkpoint.dir``).
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else one in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stepweave"
+
 
-    A cluster names it; only where it is unset (a local test) is a temporary folder made.
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application, so that Python functions can import it.
+
+    The archive goes through the shared folder, not through the driver's own disk.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        folder = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    if getattr(context, "_stepweave_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    target = f"{shared_dir(spark)}/package-{uuid.uuid4().hex}/stepweave.zip"
+    jvm = context._jvm
+    place = jvm.org.apache.hadoop.fs.Path(target)
+    stream = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place, True)
+    stream.write(held.getvalue())
+    stream.close()
+    context.addPyFile(place.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(place).toString())
+    context._stepweave_shipped = True
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
