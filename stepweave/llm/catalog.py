@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import decontamination
+from stepweave.llm import decontamination, quality
 from stepweave.llm.common import table
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.decontaminate(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 QUERIES = {
+    "op4_quality_classifier": op4,
     "op10_benchmark_decontamination": op10,
 }
 ORACLES: dict[str, str] = {}
