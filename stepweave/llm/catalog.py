@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import decontamination, quality
+from stepweave.llm import decontamination, quality, secrets
 from stepweave.llm.common import table
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -18,7 +22,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scans": op1,
     "op4_quality_classifier": op4,
     "op10_benchmark_decontamination": op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_secret_scans": secrets.SQL,
+}
