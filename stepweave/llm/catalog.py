@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import decontamination, quality, secrets
+from stepweave.llm import decontamination, lines, quality, secrets
 from stepweave.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.dedup(table(spark, sf_dir, "documents")))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -23,9 +27,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scans": op1,
+    "op3_line_dedup": op3,
     "op4_quality_classifier": op4,
     "op10_benchmark_decontamination": op10,
 }
 ORACLES = {
     "op1_secret_scans": secrets.SQL,
+    "op3_line_dedup": lines.SQL,
 }
