@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import decontamination, lines, quality, secrets
+from stepweave.llm import decontamination, lines, markov, quality, secrets, toxicity
 from stepweave.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markov.score(table(spark, sf_dir, "documents"))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.decontaminate(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -29,6 +37,8 @@ QUERIES = {
     "op1_secret_scans": op1,
     "op3_line_dedup": op3,
     "op4_quality_classifier": op4,
+    "op5_hidden_markov_lm": op5,
+    "op8_toxicity": op8,
     "op10_benchmark_decontamination": op10,
 }
 ORACLES = {
