@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import decontamination, lines, markov, quality, secrets, toxicity
+from stepweave.llm import decontamination, jaccard, lines, markov, quality, secrets, toxicity
 from stepweave.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.decontaminate(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -39,6 +43,7 @@ QUERIES = {
     "op4_quality_classifier": op4,
     "op5_hidden_markov_lm": op5,
     "op8_toxicity": op8,
+    "op9_ngram_jaccard_join": op9,
     "op10_benchmark_decontamination": op10,
 }
 ORACLES = {
