@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import decontamination, jaccard, lines, markov, neighbours, quality, secrets, toxicity
+from stepweave.llm import decontamination, jaccard, lines, markov, neighbours, pieces, quality, secrets, toxicity
 from stepweave.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup(table(spark, sf_dir, "documents")))
 
@@ -43,6 +47,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scans": op1,
+    "op2_sentencepiece_sampling": op2,
     "op3_line_dedup": op3,
     "op4_quality_classifier": op4,
     "op5_hidden_markov_lm": op5,
@@ -53,5 +58,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_secret_scans": secrets.SQL,
+    "op2_sentencepiece_sampling": op2,
     "op3_line_dedup": lines.SQL,
 }
