@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import decontamination, jaccard, lines, markov, neighbours, pieces, quality, secrets, toxicity
+from stepweave.llm import decontamination, jaccard, licences, lines, markov, neighbours, pieces, quality, secrets, toxicity
 from stepweave.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markov.score(table(spark, sf_dir, "documents"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digest(licences.scan(table(spark, sf_dir, "documents")))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_line_dedup": op3,
     "op4_quality_classifier": op4,
     "op5_hidden_markov_lm": op5,
+    "op6_license_scans": op6,
     "op7_approximate_neighbours": op7,
     "op8_toxicity": op8,
     "op9_ngram_jaccard_join": op9,
