@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepweave.llm.common import text_chunks, to_batch
 
@@ -438,4 +439,4 @@ def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
             texts = [vocabulary.decode(x or []).decode() for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              names=[*batch.schema.names, "text"])
-    return rows.mapInArrow(run, rows.schema.add("text", "string"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))
