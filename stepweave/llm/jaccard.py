@@ -308,8 +308,9 @@ def link(docs: DataFrame) -> DataFrame:
     of_class = signed.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("least"))
     merged = of_class.join(named, "print")
     least = merged.groupBy("component").agg(F.min("least").alias("component_least"))
-    of_class = of_class.join(merged.join(least, "component").select("print", "component_least"), "print", "left").select(
-        "print", F.coalesce("component_least", "least").alias("least"))
+    # a table, so that the last join can be split where one class has very many copies
+    of_class = written(of_class.join(merged.join(least, "component").select("print", "component_least"), "print", "left")
+                       .select("print", F.coalesce("component_least", "least").alias("least")), "least")
     return (signed.select("doc_id", "n", "print").join(of_class, "print", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")))
