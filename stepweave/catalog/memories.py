@@ -93,12 +93,15 @@ def on(mask):
 
 
 @query("mem04_token_memory", f"""WITH {OFFLINE_SQL}
-SELECT t.epis_idx, t.t AS step_idx, 64 AS length, count(*)::INT AS used, round(sum(f.pixels[t.patch + 1]::DOUBLE), 5) AS image,
-       round(sum(f.pixels[1]::DOUBLE + f.pixels[2]::DOUBLE), 5) AS state, round(sum({pos_sql('t.step', 't.patch', 8)}), 4) AS pos
-FROM v_tok t JOIN v_frames f ON f.epis_idx = t.epis_idx AND f.step_idx = t.step GROUP BY t.epis_idx, t.t""")
+SELECT s.epis_idx, s.step_idx, 64 AS length, count(t.step)::INT AS used,
+       round(coalesce(sum(f.pixels[t.patch + 1]::DOUBLE), 0), 5) AS image,
+       round(coalesce(sum(f.pixels[1]::DOUBLE + f.pixels[2]::DOUBLE), 0), 5) AS state,
+       round(coalesce(sum({pos_sql('t.step', 't.patch', 8)}), 0), 4) AS pos
+FROM v_frames s LEFT JOIN v_tok t ON t.epis_idx = s.epis_idx AND t.t = s.step_idx
+LEFT JOIN v_frames f ON f.epis_idx = t.epis_idx AND f.step_idx = t.step GROUP BY s.epis_idx, s.step_idx""")
 def mem04(spark, sf):
     rows = views.frames(spark, sf).select("epis_idx", "step_idx")
-    picked = memory.budget_tokens(rows, kept(spark, sf), 64).where(F.size("tokens") > 0)
+    picked = memory.budget_tokens(rows, kept(spark, sf), 64)
     out = memory.assemble_tokens(picked.drop("tokens"), picked, features(spark, sf), 64)
     return out.select("epis_idx", "step_idx", F.size("static_image_emb").alias("length"), on("static_mask").alias("used"),
                       F.round(deep_sum("static_image_emb"), 5).alias("image"),

@@ -38,12 +38,13 @@ FORMATS = {
 
 @query("str02_prompt_formats", f"""
 WITH d AS (SELECT doc_id, lang, {CLEAN.format('text')} AS c, {CLEAN_LOWER.format('text')} AS l, {BINS} AS s, {RAW_BINS} AS r
-           FROM documents JOIN embeddings ON doc_id = vec_id)
+           FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings))
 SELECT doc_id, {', '.join(f'md5({sql}) AS {name}' for name, sql in FORMATS.items())} FROM d""")
 def str02(spark, sf):
-    state = views.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 8).alias("state"))
-    rows = views.table(spark, sf, "documents").join(state, "doc_id")
+    vectors = views.table(spark, sf, "embeddings")
+    state = vectors.select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 8).alias("state"))
+    docs = views.table(spark, sf, "documents").withColumn("vec_id", F.col("doc_id") % vectors.count())
+    rows = docs.join(state, "vec_id")
     return rows.select("doc_id", *[F.md5(text.build_prompt(F.col("text"), f, F.col("state"), F.col("lang"))).alias(f) for f in FORMATS])
 
 

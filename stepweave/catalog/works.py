@@ -160,18 +160,21 @@ def agg11(spark, sf):
 
 
 @query("job04_norm_statistics", f"""WITH {CHUNK_ROWS},
-v AS (SELECT 0 AS dim, a0 - s0 AS x FROM v_chunk UNION ALL SELECT 1, a1 FROM v_chunk),
-r AS (SELECT dim, min(x) AS lo, max(x) AS hi, count(*) AS n FROM v GROUP BY dim),
-b AS (SELECT dim, least(4999, floor((x - lo) / (hi - lo) * 5000)) AS bin, lo, hi, n FROM v JOIN r USING (dim)),
-c AS (SELECT dim, bin, lo, hi, n, sum(count(*)) OVER (PARTITION BY dim ORDER BY bin) AS cum FROM b GROUP BY dim, bin, lo, hi, n),
-q AS (SELECT dim, min(lo + bin * (hi - lo) / 5000) FILTER (WHERE cum >= 0.01 * n) AS q01,
-        min(lo + bin * (hi - lo) / 5000) FILTER (WHERE cum >= 0.99 * n) AS q99 FROM c GROUP BY dim)
-SELECT 'actions' AS name, dim::INT AS dim, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std, round(any_value(q01), 4) AS q01,
-       round(any_value(q99), 4) AS q99 FROM v JOIN q USING (dim) GROUP BY dim""")
+v AS (SELECT 'actions' AS name, 0 AS dim, a0 - s0 AS x FROM v_chunk UNION ALL SELECT 'actions', 1, a1 FROM v_chunk
+      UNION ALL SELECT 'state', 0, value FROM v_steps UNION ALL SELECT 'state', 1, k FROM v_steps),
+r AS (SELECT name, dim, min(x) AS lo, max(x) AS hi, count(*) AS n FROM v GROUP BY name, dim),
+b AS (SELECT name, dim, least(4999, floor((x - lo) / (hi - lo) * 5000)) AS bin, lo, hi, n FROM v JOIN r USING (name, dim)),
+c AS (SELECT name, dim, bin, lo, hi, n, sum(count(*)) OVER (PARTITION BY name, dim ORDER BY bin) AS cum FROM b
+      GROUP BY name, dim, bin, lo, hi, n),
+q AS (SELECT name, dim, min(lo + bin * (hi - lo) / 5000) FILTER (WHERE cum >= 0.01 * n) AS q01,
+        min(lo + bin * (hi - lo) / 5000) FILTER (WHERE cum >= 0.99 * n) AS q99 FROM c GROUP BY name, dim)
+SELECT name, dim::INT AS dim, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std, round(any_value(q01), 4) AS q01,
+       round(any_value(q99), 4) AS q99 FROM v JOIN q USING (name, dim) GROUP BY name, dim""")
 def job04(spark, sf):
     chunks = windows.action_chunks(views.steps(spark, sf), 20)
-    found = jobs.compute_norm_stats(chunks, mask=v.bool_mask(1, -1))["actions"]
-    rows = [("actions", i, float(found.mean[i]), float(found.std[i]), float(found.q01[i]), float(found.q99[i])) for i in range(2)]
+    stats = jobs.compute_norm_stats(chunks, mask=v.bool_mask(1, -1))
+    rows = [(name, i, float(s.mean[i]), float(s.std[i]), float(s.q01[i]), float(s.q99[i]))
+            for name, s in stats.items() for i in range(len(s.mean))]
     out = spark.createDataFrame(rows, "name string, dim int, mean double, std double, q01 double, q99 double")
     return out.select("name", "dim", *[F.round(c, 4).alias(c) for c in ("mean", "std", "q01", "q99")])
 

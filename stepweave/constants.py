@@ -62,5 +62,5 @@ GRIPPER_ANGULAR = (0.5476, 1.6296)
 GRIPPER_JOINT = (-0.6213, 1.4910)
 GRIPPER_ARM, GRIPPER_HORN = 0.036, 0.022
 
-# Finite scalar quantization: bins per dimension by codebook size (log2).
-FSQ_BINS = {8: (8, 6, 5), 10: (8, 5, 5, 5), 12: (7, 5, 5, 5, 5), 14: (8, 8, 8, 6, 5), 16: (8, 8, 8, 5, 5, 5)}
+# Finite scalar quantization: bins per dimension by codebook size.
+FSQ_BINS = {256: (8, 6, 5), 1024: (8, 5, 5, 5), 4096: (7, 5, 5, 5, 5), 16384: (8, 8, 8, 6, 5), 65536: (8, 8, 8, 5, 5, 5)}

@@ -9,15 +9,9 @@ from pyspark.sql import functions as F
 
 from stepweave.constants import SUITES
 
-BROADCAST_ROWS = 100_000
 RANGE_WIDTH = 1024
 
 
-def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting that the table is small; otherwise Spark's own choice."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def gather_history(samples: DataFrame, features: DataFrame, indices: str, payload: Sequence[str],
                    keys: Sequence[str] = ("epis_idx",), step: str = "step_idx", name: str = "history") -> DataFrame:
     """For each sample the feature rows of the listed steps, in list order, as an array of structs.
@@ -59,7 +53,7 @@ def prompt_from_task(df: DataFrame, tasks: DataFrame, index: str = "task_index",
     """Prompt of the row's task index; a missing column or an unknown index raises."""
     if index not in df.columns:
         raise ValueError(f"column {index} is missing")
-    lookup = small_or_plain(tasks.select(F.col(index), F.col(task).alias("prompt")))
+    lookup = tasks.select(F.col(index), F.col(task).alias("prompt"))
     missing = F.raise_error(F.concat(F.lit("no task for index "), F.col(index).cast("string"))).cast("string")
     return df.join(lookup, index, "left").withColumn("prompt", F.coalesce(F.col("prompt"), missing))
 
@@ -73,10 +67,12 @@ def pending_episodes(all_episodes: DataFrame, progress: DataFrame, redo: Sequenc
 
 
 def attach_pos(tokens: DataFrame, pos: DataFrame, views: int = 1, step: str = "step_idx") -> DataFrame:
-    """Positional rows ``step * V + view`` of the table for each (step, view, patch) token."""
-    table = pos.select(F.col("t").alias("_t"), "patch", F.col("emb").alias("pos_emb"))
-    return (tokens.withColumn("_t", F.col(step) * views + F.col("view"))
-            .join(table, ["_t", "patch"]).drop("_t"))
+    """Positional rows ``step * V + view`` of the table for each (step, view, patch) token; a missing row raises."""
+    table = pos.select(F.col("t").alias("_t"), "patch", F.col("emb").alias("pos_emb"), F.lit(True).alias("_found"))
+    joined = tokens.withColumn("_t", F.col(step) * views + F.col("view")).join(table, ["_t", "patch"], "left")
+    missing = F.raise_error(F.concat(F.lit("no position row for "), F.col("_t").cast("string")))
+    return joined.withColumn("pos_emb", F.when(F.col("_found"), F.col("pos_emb")).otherwise(
+        missing.cast(pos.schema["emb"].dataType))).drop("_t", "_found")
 
 
 def with_suite(df: DataFrame, task: str = "task") -> DataFrame:

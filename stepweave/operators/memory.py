@@ -263,16 +263,22 @@ def assemble_tokens(samples: DataFrame, tokens: DataFrame, features: DataFrame,
                            F.posexplode(F.arrays_zip(F.col("image_emb_8x8").alias("i"), F.col("pos_emb_8x8").alias("p")))
                            .alias("patch", "_e")).select(*keys, "_at", "view", "patch", "state",
                                                          F.col("_e.i").alias("image"), F.col("_e.p").alias("pos"))
-    joined = wanted.join(rows, [*keys, "_at", "view", "patch"])
+    joined = wanted.join(rows.withColumn("_found", F.lit(True)), [*keys, "_at", "view", "patch"], "left")
+    missing = F.raise_error(F.concat_ws(" ", F.lit("no feature row for step"), F.col("_at").cast("string")))
+    joined = joined.withColumn("_pos", F.when(F.col("_found"), F.col("_pos")).otherwise(missing.cast("int")))
+    widths = features.select(F.size(F.get("image_emb_8x8", F.lit(0))), F.size(F.get("pos_emb_8x8", F.lit(0))),
+                             F.size("state")).head() or (0, 0, 0)
     packed = joined.groupBy(*keys, "step_idx").agg(F.array_sort(F.collect_list(
         F.struct("_pos", "image", "pos", "state"))).alias("_m"))
     out = samples.join(packed, [*keys, "step_idx"], "left")
-    for name, field in (("static_image_emb", "image"), ("static_pos_emb", "pos"), ("static_state_emb", "state")):
-        values = F.col(f"_m.{field}")
-        zero = F.transform(F.get(values, F.lit(0)), lambda x: x * 0)
+    kinds = {f.name: f.dataType for f in packed.schema["_m"].dataType.elementType}
+    for name, field, width in zip(("static_image_emb", "static_pos_emb", "static_state_emb"), ("image", "pos", "state"), widths):
+        # a sample without tokens is all zeros, of the features' width
+        zero = F.array_repeat(F.lit(0), width).cast(kinds[field])
+        values = F.coalesce(F.col(f"_m.{field}"), F.array().cast(T.ArrayType(kinds[field])))
         out = out.withColumn(name, v.pad_right(values, budget, zero))
-    size = F.coalesce(F.size("_m"), F.lit(0))
-    return out.withColumn("static_mask", v.mask_right(F.greatest(size, F.lit(0)), budget)).drop("_m")
+    size = F.when(F.col("_m").isNull(), 0).otherwise(F.size("_m"))
+    return out.withColumn("static_mask", v.mask_right(size, budget)).drop("_m")
 
 
 def assemble_frames(samples: DataFrame, features: DataFrame, budget: int = 512, per_image: int = 16, views: int = 1,

@@ -29,6 +29,7 @@ BLOCK = "_blk"
 SPLIT_ROWS = "spark.stepweave.splitRows"
 DEFAULT_SPLIT_ROWS = 1 << 16
 MAX_SPLITS = 1 << 16
+MAX_BUCKETS, SAMPLED = 4096, 16
 WHOLE = {"stepweave": "no group is split"}
 
 
@@ -45,26 +46,53 @@ def order_value(df: DataFrame, order: str) -> Column:
     return value.cast("double")
 
 
+def split_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(SPLIT_ROWS, str(DEFAULT_SPLIT_ROWS)))
+
+
 def oversized(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame | None:
-    """Range of ``order`` and number of blocks of each group above the limit; None when there is none.
+    """Block borders of each group above the limit (``_edges``, ascending order values); None when there is none.
 
-    At most MAX_SPLITS rows by the choice of the limit, so the table may pass through the driver.
+    Borders are quantiles of the group's order values, so blocks hold about as many rows each however the values
+    are spread; rows of one order value stay together. By the choice of the limit there are at most MAX_SPLITS
+    groups and 2 * MAX_SPLITS borders, so the table may pass through the driver.
     """
-    floor = int(df.sparkSession.conf.get(SPLIT_ROWS, str(DEFAULT_SPLIT_ROWS)))
+    floor = split_rows(df)
     value = order_value(df, order)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     rows = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
     limit = F.greatest(F.lit(floor), F.ceil(rows / MAX_SPLITS))
     large = (sizes.where((F.col("_n") > floor) & (F.col("_n") > limit))
-             .select(*keys, "_lo", "_hi", F.ceil(F.col("_n") / limit).cast("int").alias("_nb")))
+             .select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_nb")))
     found = large.collect()
-    return df.sparkSession.createDataFrame(found, large.schema) if found else None
+    if not found:
+        return None
+    table = df.sparkSession.createDataFrame(found, large.schema)
+    finest = max(r["_nb"] for r in found)
+    shares = [i / finest for i in range(1, finest)]
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    rows_of = df.select(*keys, value.alias("_v")).alias("l").join(F.broadcast(table.alias("r")), same)
+    cuts = F.percentile_approx("_v", F.array(*[F.lit(s) for s in shares]), F.lit(8 * finest))
+    nth = F.sequence(F.lit(1), F.col("_nb") - 1)
+    picked = F.transform(nth, lambda i: F.get(F.col("_cuts"), F.round(i * finest / F.col("_nb")).cast("int") - 1))
+    edges = (rows_of.groupBy(*[f"l.{k}" for k in keys], "_nb").agg(cuts.alias("_cuts"))
+             .select(*keys, F.coalesce(F.array_distinct(picked), F.array().cast("array<double>")).alias("_edges")))
+    return df.sparkSession.createDataFrame(edges.collect(), edges.schema)
+
+
+def _halvings(n: int) -> Column:
+    return F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+
+
+def _reached(value: Column, edges: Column, most: int) -> Column:
+    """How many of the ascending ``edges`` (at most ``most``) are not above the value, by halving."""
+    return F.aggregate(_halvings(most), F.lit(0), lambda at, jump: F.when(
+        (at + jump <= F.size(edges)) & (F.get(edges, at + jump - 1) <= value), at + jump).otherwise(at))
 
 
 def _position(value: Column) -> Column:
     """Block of an order value; monotone in the value. Null order values sort first, so block 0."""
-    raw = F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * F.col("_nb")).cast("int")
-    return F.coalesce(F.least(F.col("_nb") - 1, F.greatest(F.lit(0), raw)), F.lit(0))
+    return F.coalesce(_reached(value, F.col("_edges"), MAX_SPLITS), F.lit(0))
 
 
 def split(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -76,7 +104,7 @@ def split(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
         return df.withColumn(BLOCK, F.lit(None).cast("int").alias(BLOCK, metadata=WHOLE))
     value = order_value(df, order)
     joined = df.join(F.broadcast(large), list(keys), "left")
-    return joined.withColumn(BLOCK, F.when(F.col("_nb").isNotNull(), _position(value))).drop("_lo", "_hi", "_nb")
+    return joined.withColumn(BLOCK, F.when(F.col("_edges").isNotNull(), _position(value))).drop("_edges")
 
 
 def is_split(df: DataFrame) -> bool:
@@ -210,28 +238,26 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: str | Sequence[str],
 def prefix_list(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str) -> DataFrame:
     """List of the non-null values before each row.
 
-    The lists of a group are together quadratic in its length, whatever computes them. Groups under the
-    limit use a growing window. For an oversized group the pairs are spread by a join that the adaptive
-    skew handling may split, and gathered per row, so that no task holds more than one row's list.
+    Within a block the list grows by a window over the block's rows; what earlier blocks hold comes as one list per
+    block, joined on (keys, block). The lists are as long as the history, so the work is linear in the output.
     """
     df = split(df, keys, order)
     if is_split(df):
         df = cut_lineage(df)
-    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    plain = df.withColumn(name, F.collect_list(value).over(window))
+    parts = group_keys(df, keys)
+    window = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.collect_list(value).over(window)
     if not is_split(df):
-        return plain
-    empty = F.array().cast(plain.schema[name].dataType)
-    hot = scan(df.where(F.col(BLOCK).isNotNull()).withColumn("_value", value), keys, order,
-               {"_ord": running(F.col("_value").isNotNull().cast("int"), inclusive=False)})
-    entries = hot.where(F.col("_value").isNotNull()).select(*keys, F.col("_ord").alias("_at"), F.col("_value").alias("_v"))
-    pairs = hot.select(*keys, order, "_ord").join(entries, list(keys)).where(F.col("_at") < F.col("_ord"))
-    lists = (pairs.groupBy(*keys, order).agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_l"))
-             .select(*keys, order, F.transform("_l", lambda p: p["_v"]).alias(name)))
-    gathered = (hot.drop("_ord", "_value").join(lists, [*keys, order], "left")
-                .withColumn(name, F.coalesce(F.col(name), empty)).select(*plain.columns))
-    small = df.where(F.col(BLOCK).isNull()).withColumn(name, F.collect_list(value).over(window))
-    return small.unionByName(gathered)
+        return df.withColumn(name, own)
+    held = F.filter(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order, value.alias("_v"))))),
+                    lambda x: x.isNotNull())
+    blocks = (df.where(F.col(BLOCK).isNotNull()).groupBy(*keys, BLOCK)
+              .agg(F.transform(held, lambda x: x["_v"]).alias("_held")))
+    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select(*keys, BLOCK, F.flatten(F.collect_list("_held").over(earlier)).alias("_before"))
+    listed = df.withColumn(name, own).join(before, parts, "left")
+    return listed.withColumn(name, F.when(F.col("_before").isNull(), F.col(name)).otherwise(
+        F.concat("_before", name))).drop("_before").select(*df.columns, name)
 
 
 OWN = "_own"
@@ -253,11 +279,11 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], step: str, before: int,
         return base.select(*kept, *[c.alias(n) for n, c in columns.items()])
     value = order_value(base, step)
     joined = base.join(F.broadcast(large), list(keys), "left")
-    home = F.when(F.col("_nb").isNotNull(), _position(value))
-    blocks = F.when(F.col("_nb").isNull(), F.array(F.lit(None).cast("int"))).otherwise(
+    home = F.when(F.col("_edges").isNotNull(), _position(value))
+    blocks = F.when(F.col("_edges").isNull(), F.array(F.lit(None).cast("int"))).otherwise(
         F.sequence(_position(value - after), _position(value + before)))
     copied = (joined.withColumn(OWN, home).withColumn(BLOCK, F.explode(blocks))
-              .withColumn(OWN, F.col(OWN).eqNullSafe(F.col(BLOCK))).drop("_lo", "_hi", "_nb"))
+              .withColumn(OWN, F.col(OWN).eqNullSafe(F.col(BLOCK))).drop("_edges"))
     columns = build(Window.partitionBy(*keys, BLOCK).orderBy(step))
     kept = [F.col(c) for c in base.columns if c not in columns]
     return (copied.select(*kept, BLOCK, OWN, *[c.alias(n) for n, c in columns.items()])
@@ -269,7 +295,7 @@ def number_all(df: DataFrame, bucket: Column, order: Sequence[str | Column],
     """Running weight before each row, over all rows, without a single-task window; weight 1 numbers rows.
 
     ``bucket`` is monotone in ``order`` and takes a bounded number of values (at most MAX_SPLITS), so the
-    table of bucket offsets is broadcast with a proven bound.
+    table of bucket offsets is broadcast with a proven bound. See ``quantile_bucket``.
     """
     marked = df.withColumn("_bucket", bucket)
     sizes = marked.groupBy("_bucket").agg(*[F.sum(w).alias(f"_size_{n}") for n, w in weights.items()])
@@ -283,11 +309,20 @@ def number_all(df: DataFrame, bucket: Column, order: Sequence[str | Column],
     return joined.select(*df.columns, *[(F.col(n) + F.col(f"_offset_{n}")).alias(n) for n in weights])
 
 
-def range_bucket(df: DataFrame, column: str) -> Column:
-    """Equal-width bucket of a number column, at most MAX_SPLITS values; monotone in the column."""
-    value = order_value(df, column)
-    ends = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("r")).scalar()
-    return F.floor((value - ends["lo"]) / (ends["hi"] - ends["lo"] + 1) * MAX_SPLITS).cast("int")
+def quantile_bucket(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Bucket of a row by its place in the order of ``columns``: at most MAX_BUCKETS, of about equal numbers of rows.
+
+    Borders come from a sample of the rows of least hash, SAMPLED per border, which bounds what the driver sees; they
+    only balance the buckets.
+    """
+    buckets = min(MAX_BUCKETS, -(-df.count() // split_rows(df)))
+    if buckets < 2:
+        return F.lit(0)
+    drawn = df.select(*columns).orderBy(F.xxhash64(*columns), *columns).limit(SAMPLED * buckets).orderBy(*columns).collect()
+    kinds = [df.schema[c].dataType for c in columns]
+    edges = [drawn[i * len(drawn) // buckets] for i in range(1, buckets)]
+    borders = F.array(*[F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(e, kinds, columns)]) for e in edges])
+    return _reached(F.struct(*columns), borders, buckets)
 
 
 def finite_scan(df: DataFrame, keys: Sequence[str], order: str, states: int, start: int, moves: Column,

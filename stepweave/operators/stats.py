@@ -92,10 +92,18 @@ def final_stats(state: DataFrame) -> DataFrame:
 
 
 def fixed_histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int) -> DataFrame:
-    """Counts per (dim, bin) on given edges; histograms of parts add up."""
-    bin_id = F.least(F.floor((F.col("x") - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
-    inside = _exploded(df, column).where((F.col("x") >= lo) & (F.col("x") <= hi))
-    return inside.groupBy("dim", bin_id.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    """Counts per (dim, bin) on given edges; histograms of parts add up.
+
+    Values below ``lo`` are bin -1 and values above ``hi`` are bin ``bins``, so no value is lost.
+    """
+    return _exploded(df, column).groupBy("dim", bin_of(F.col("x"), lo, hi, bins).alias("bin")).agg(
+        F.count(F.lit(1)).alias("count"))
+
+
+def bin_of(x: Column, lo: float, hi: float, bins: int) -> Column:
+    """Bin of a value on equal edges; -1 below them, ``bins`` above them."""
+    inner = F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+    return F.when(x < lo, F.lit(-1)).when(x > hi, F.lit(bins)).otherwise(inner)
 
 
 def masked_mean(df: DataFrame, values: str, mask: str, leading: bool = False) -> DataFrame:

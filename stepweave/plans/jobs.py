@@ -44,15 +44,7 @@ def number_samples(steps: DataFrame, file: str | None = None, episode: str = "ep
                                       F.min(F.when(~F.col("is_demo"), F.col("step_idx"))).alias("_start"))
     # One row per episode, read three times below: written once instead of recomputed from the steps.
     sizes = cut_lineage(sizes)
-    if file:
-        # File names are ordered by a dense rank first: far fewer files than episodes.
-        names = sizes.select(file).distinct()
-        spread = F.conv(F.hex(F.substring(F.encode(F.rpad(F.col(file), 2, " "), "utf-8"), 1, 2)), 16, 10).cast("int")
-        ranked = o.number_all(names, spread, [file], {"_file": F.lit(1)})
-        sizes = sizes.join(joins.small_or_plain(ranked), file)
-        bucket, order = F.least(F.col("_file"), F.lit(o.MAX_SPLITS - 1)).cast("int"), ["_file", episode]
-    else:
-        bucket, order = o.range_bucket(sizes, episode), [episode]
+    bucket, order = o.quantile_bucket(sizes, group), group
     numbered = o.number_all(sizes, bucket, order, {
         "epis_number": F.lit(1), "_total0": F.col("_rows"), "_sample0": F.col("_exec")})
     offsets = numbered.select(*group, "epis_number", "_total0", "_sample0", "_start")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,29 +11,28 @@ from pyspark.sql import functions as F
 
 from stepweave.functions.indices import even_indices, recurrent_indices
 from stepweave.operators.memory import FIRST_SCORE, MIN_SCORE
-from stepweave.operators.stats import _exploded
+from stepweave.operators.stats import _exploded, fixed_histogram
 
 # Progress of an episode: newest step and first execution step.
 PROGRESS = "last int, exec_start int"
 
 
-def append_chunk(state: tuple[int, int], frames: int, exec_start: int | None, reset: bool):
-    """New progress and the steps of the appended frames; a reset starts over before the frames are added."""
-    last, start = (-1, 0) if reset else state
-    if exec_start is not None and exec_start > 0:
-        start = exec_start
-    return (last + frames, start), range(last + 1, last + 1 + frames)
-
-
 def number_frames(rows: Iterator[pd.DataFrame], state: tuple[int, int], keys: dict) -> tuple[tuple[int, int], pd.DataFrame]:
     """All frames of one micro-batch of an episode, in ``seq`` order."""
     batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-    out = []
-    for seq, frames, start, reset in zip(batch["seq"], batch["frames"], batch["exec_start"], batch["reset"]):
-        given = None if pd.isna(start) else int(start)
-        state, steps = append_chunk(state, int(frames), given, bool(reset))
-        out += [(seq, step, state[1], step == steps[-1]) for step in steps]
-    found = pd.DataFrame(out, columns=["seq", "step_idx", "exec_start", "newest"])
+    frames, reset = batch["frames"].to_numpy(dtype="int64"), batch["reset"].to_numpy(dtype=bool)
+    # frames before each chunk since its last reset; without one, since the state
+    total = np.concatenate([[0], np.cumsum(frames)])
+    run = np.cumsum(reset)
+    opened = np.concatenate([[0], np.flatnonzero(reset)])[run]
+    first = total[:-1] - total[opened] + np.where(run > 0, 0, state[0] + 1)
+    given = pd.to_numeric(batch["exec_start"]).reset_index(drop=True)
+    start = given.where(given > 0, pd.Series(np.where(reset, 0.0, np.nan))).ffill().fillna(state[1]).to_numpy().astype("int64")
+    at = np.arange(total[-1]) - np.repeat(total[:-1], frames)
+    found = pd.DataFrame({"seq": np.repeat(batch["seq"].to_numpy(), frames), "step_idx": np.repeat(first, frames) + at,
+                          "exec_start": np.repeat(start, frames), "newest": at == np.repeat(frames - 1, frames)})
+    if len(frames):
+        state = (int(first[-1] + frames[-1]) - 1, int(start[-1]))
     return state, found.assign(**keys)
 
 
@@ -92,26 +90,30 @@ def running_stats(stream: DataFrame, column: str) -> DataFrame:
 
 
 def running_histogram(stream: DataFrame, column: str, lo: float, hi: float, bins: int) -> DataFrame:
-    """Counts per (dim, bin) on fixed edges so far; output mode ``complete``."""
-    bin_id = F.least(F.floor((F.col("x") - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
-    return _exploded(stream, column).where((F.col("x") >= lo) & (F.col("x") <= hi)).groupBy(
-        "dim", bin_id.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-
-
-def push_frame(heap: list, step: int, pixels: np.ndarray, previous: np.ndarray | None, stride: int, keep: int):
-    """Score one frame against the scored frame before; frame 0 enters whole and never evicts."""
-    if step == 0:
-        for patch in range(len(pixels)):
-            heapq.heappush(heap, (FIRST_SCORE, 0, 0, patch))
-        return pixels
-    if (step + 1) % stride:
-        return previous
-    for patch, score in enumerate(np.abs(previous - pixels)):
-        if score >= MIN_SCORE:
-            heapq.heappush(heap, (float(score), step, 0, patch))
-            if len(heap) > keep:
-                heapq.heappop(heap)
-    return pixels
+    """Counts per (dim, bin) on fixed edges so far, outer bins included; output mode ``complete``."""
+    return fixed_histogram(stream, column, lo, hi, bins)
+
+
+def merge_tokens(kept: np.ndarray, steps: np.ndarray, pixels: np.ndarray, previous: np.ndarray | None, stride: int,
+                 keep: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Kept tokens (score, step, view, patch) with those of new frames, and the frame that the next is scored against.
+
+    ``pixels`` holds one row per frame, in order of step. Scored frames are compared with the scored frame before, all at
+    once; of all tokens the greatest remain, as many as ``keep`` or as frame 0 has.
+    """
+    scored = (steps == 0) | ((steps + 1) % stride == 0)
+    steps, pixels = steps[scored], pixels[scored]
+    if not len(steps):
+        return kept, previous
+    base = pixels[:1] if previous is None else previous[None]
+    score = np.abs(np.diff(np.vstack([base, pixels]), axis=0))
+    score[steps == 0] = FIRST_SCORE
+    frame, patch = np.nonzero(score >= MIN_SCORE)
+    new = np.stack([score[frame, patch], steps[frame], np.zeros(len(frame)), patch], axis=1)
+    merged = np.vstack([kept, new])
+    most = max(keep, int((merged[:, 1] == 0).sum()))
+    order = np.lexsort(merged.T[::-1])[-most:]
+    return merged[order], pixels[-1]
 
 
 def running_top_tokens(stream: DataFrame, keep: int = 2048, stride: int = 8, key: str = "epis_idx") -> DataFrame:
@@ -131,16 +133,16 @@ def running_top_tokens(stream: DataFrame, keep: int = 2048, stride: int = 8, key
 
         def handleInputRows(self, ident, rows, timerValues):
             batch = pd.concat(list(rows), ignore_index=True).sort_values("step_idx", kind="stable")
-            heap = [tuple(t) for t in self.tokens.get()] if self.tokens.exists() else []
-            heapq.heapify(heap)
+            held = [tuple(t) for t in self.tokens.get()] if self.tokens.exists() else []
             previous = np.asarray(self.scored.get()[0]) if self.scored.exists() else None
-            for step, pixels in zip(batch["step_idx"], batch["pixels"]):
-                previous = push_frame(heap, int(step), np.asarray(pixels, dtype="float64"), previous, stride, keep)
+            kept, previous = merge_tokens(np.array(held, dtype="float64").reshape(-1, 4), batch["step_idx"].to_numpy(),
+                                          np.stack(batch["pixels"].to_numpy()).astype("float64"), previous, stride, keep)
             if previous is not None:
-                self.scored.update(([float(p) for p in previous],))
-            if heap:
-                self.tokens.put([(float(a), int(b), int(c), int(d)) for a, b, c, d in heap])
-            found = pd.DataFrame(sorted(heap), columns=["score", "step_idx", "view", "patch"])
+                self.scored.update((previous.tolist(),))
+            if len(kept):
+                self.tokens.put([(float(a), int(b), int(c), int(d)) for a, b, c, d in kept.tolist()])
+            found = pd.DataFrame(kept, columns=["score", "step_idx", "view", "patch"]).astype(
+                {"step_idx": "int32", "view": "int32", "patch": "int32"})
             yield found.assign(**{key: ident[0], "as_of": int(batch["step_idx"].iloc[-1])})[
                 [key, "as_of", "step_idx", "view", "patch", "score"]]
 

@@ -3,6 +3,7 @@
 import heapq
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +241,55 @@ def test_gather_history_misses_raise(spark):
     features = spark.createDataFrame([(0, 0, 5)], "epis_idx int, step_idx int, x int")
     with pytest.raises(Exception, match="no feature row for step 1"):
         gather_history(samples, features, "i", ["x"]).collect()
+
+
+def test_blocks_hold_equal_numbers_of_rows(spark):
+    from stepweave.operators import ordered
+
+    rows = [(0, t, t) for t in range(1999)] + [(0, 10 ** 9, 1999)] + [(1, t, t) for t in range(40)]
+    df = spark.createDataFrame(rows, "k int, at long, n int")
+    spark.conf.set(ordered.SPLIT_ROWS, "100")
+    try:
+        cut = ordered.split(df, ["k"], "at")
+        sizes = [r["count"] for r in cut.where("k = 0").groupBy(ordered.BLOCK).count().collect()]
+        assert len(sizes) >= 19 and max(sizes) <= 200 and cut.where(f"k = 1 AND {ordered.BLOCK} IS NOT NULL").count() == 0
+        names = spark.createDataFrame([(f"data_{i % 97}", i) for i in range(1000)], "file string, episode int")
+        marked = names.withColumn("b", ordered.quantile_bucket(names, ["file", "episode"]))
+        sizes = [r["count"] for r in marked.groupBy("b").count().collect()]
+        assert len(sizes) == 10 and max(sizes) <= 200
+        numbered = ordered.number_all(names, ordered.quantile_bucket(names, ["file", "episode"]), ["file", "episode"],
+                                      {"i": F.lit(1)}).orderBy("file", "episode").collect()
+        assert [r.i for r in numbered] == list(range(1000))
+        lists = ordered.prefix_list(df, ["k"], "at", F.when(F.col("n") % 3 == 0, F.col("n")), "before")
+        for r in lists.collect():
+            assert r.before == list(range(0, r.n, 3))
+    finally:
+        spark.conf.unset(ordered.SPLIT_ROWS)
+
+
+def test_merged_tokens_keep_the_greatest():
+    from stepweave.operators.memory import FIRST_SCORE, MIN_SCORE
+    from stepweave.streaming.memory import merge_tokens
+
+    rng = np.random.default_rng(0)
+    pixels = rng.normal(size=(60, 5)).round(1)
+    want, previous = [], pixels[0]
+    for step in range(60):
+        if step and (step + 1) % 4 == 0:
+            want += [(s, step, 0, p) for p, s in enumerate(np.abs(pixels[step] - previous).tolist()) if s >= MIN_SCORE]
+            previous = pixels[step]
+    want = sorted([(FIRST_SCORE, 0, 0, p) for p in range(5)] + want)[-12:]
+    kept, last = np.zeros((0, 4)), None
+    for a, b in ((0, 1), (1, 2), (2, 30), (30, 60)):
+        kept, last = merge_tokens(kept, np.arange(a, b), pixels[a:b], last, 4, 12)
+    assert np.allclose(kept, want)
+    one, _ = merge_tokens(np.zeros((0, 4)), np.arange(0, 8), pixels[:8], None, 4, 2)
+    assert len(one) == 5
+
+
+def test_histograms_keep_values_outside(spark):
+    from stepweave.operators import stats
+
+    df = spark.createDataFrame([([0.5],), ([5.0],), ([-3.0],), ([1.0],)], "x array<double>")
+    got = {r.bin: r["count"] for r in stats.fixed_histogram(df, "x", 0.0, 1.0, 4).collect()}
+    assert got == {2: 1, 4: 1, -1: 1, 3: 1}
