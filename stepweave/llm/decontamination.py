@@ -5,7 +5,8 @@ tokens: for each term the ascending positions, in a position space where documen
 takes the test items' windows to every shard. For each window whose terms all occur there, the posting list of its
 rarest term, shifted by the term's offset, gives the candidate starts; the shifted lists of the other terms, by rising
 length, are intersected with them one after another. What is left are exact phrase matches. Proximity matches are
-items whose rarest distinct terms all lie within ``GAP`` tokens of the rarest.
+items whose ``NEAR_TERMS`` rarest distinct terms, by their number in the whole corpus and then by name, all lie less than
+``GAP`` tokens from one place of the rarest.
 
 Test items go to the shards in blocks of at most about ``BLOCK_BYTES`` of text: one pass over the index per block, so
 the size of what is sent is bounded whatever the size of the benchmark.
@@ -17,7 +18,7 @@ length; repeated document rows give one result each; other columns are not read.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,8 +71,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = codes << 32 | places
         keys.sort()
         counts = np.bincount(codes, minlength=len(vocabulary)).astype(np.int32)
-        yield to_batch(INDEX_ARROW, shard=[f"{part}-{number}"], doc_ids=[ids], starts=[starts.astype(np.int32)], lengths=[sizes.astype(np.int32)],
-                       terms=[b" ".join(vocabulary)], counts=[counts.tobytes()],
+        yield to_batch(INDEX_ARROW, shard=[f"{part}-{number}"], doc_ids=[ids], starts=[starts.astype(np.int32)],
+                       lengths=[sizes.astype(np.int32)], terms=[b" ".join(vocabulary)], counts=[counts.tobytes()],
                        positions=[(keys & 0xFFFFFFFF).astype(np.int32).tobytes()])
 
 
@@ -101,7 +102,16 @@ class Windows:
         self.lengths = (self.terms >= 0).sum(1)
         self.owners = [sorted(x) for x in owners.values()]
         self.items = sorted(of_item)
-        self.item_terms = [np.array(sorted(of_item[name])) for name in self.items]
+        self.item_terms = [sorted(of_item[name]) for name in self.items]
+        self.rare: list[tuple[int, list[int]]] = []
+
+    def rank(self, counts: dict[bytes, int]) -> None:
+        """Choose the terms of proximity search by their counts in the whole corpus; an item with an absent term has none."""
+        names = list(self.vocabulary)
+        for row, terms in enumerate(self.item_terms):
+            if all(counts.get(names[t]) for t in terms):
+                first = sorted(terms, key=lambda t: (counts[names[t]], names[t]))[:NEAR_TERMS]
+                self.rare.append((row, [*first, *[first[0]] * (NEAR_TERMS - len(first))]))
 
 
 class Shard:
@@ -162,12 +172,7 @@ def phrases(shard: Shard, block: Windows) -> tuple[np.ndarray, np.ndarray]:
 
 def proximities(shard: Shard, block: Windows) -> tuple[np.ndarray, np.ndarray]:
     """Items whose rarest distinct terms lie close together: item and position of its rarest term."""
-    rare = []
-    for row, terms in enumerate(block.item_terms):
-        there = shard.count[terms]
-        if there.all():
-            first = terms[np.argsort(there, kind="stable")[:NEAR_TERMS]]
-            rare.append((row, [*first, *[first[0]] * (NEAR_TERMS - len(first))]))
+    rare = [(row, terms) for row, terms in block.rare if shard.count[terms].all()]
     if not rare:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rows, terms = np.array([r for r, _ in rare]), np.array([t for _, t in rare], np.int64)
@@ -178,6 +183,19 @@ def proximities(shard: Shard, block: Windows) -> tuple[np.ndarray, np.ndarray]:
     return rows[which], places
 
 
+def _counted(index: DataFrame, vocabulary: dict[bytes, int]) -> dict[bytes, int]:
+    """Corpus counts of a block's terms: at most as many rows as the block has terms."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            for terms, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                total.update({t: n for t, n in zip(terms.split(), np.frombuffer(counts, np.int32).tolist()) if t in vocabulary})
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())],
+                                         names=["term", "n"])
+    rows = index.select("terms", "counts").mapInArrow(run, "term binary, n bigint")
+    return {bytes(r.term): r.n for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+
+
 def _search(block: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,6 +242,7 @@ def search(index: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTE
     for number in range(blocks):
         held = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number).collect()
         block = Windows([(r.item_id, r.text.encode()) for r in held])
+        block.rank(_counted(index, block.vocabulary))
         one = index.mapInArrow(_search(block), FOUND)
         found = one if found is None else found.unionByName(one)
     if blocks > 1:
@@ -251,3 +270,37 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, all columns kept; rows without an id are told apart by their text."""
     found = decontaminate(docs, benchmark).where(F.size("hits") > 0).select("doc_id").distinct()
     return docs.join(found.where("doc_id IS NOT NULL"), "doc_id", "left_anti").select(docs.columns)
+
+
+def _sql() -> str:
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    words += "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row_at, doc_id, {words} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT item, w[i + 1:i + {WINDOW}] AS part FROM (
+  SELECT item, w, unnest(range(greatest(len(w) - {WINDOW - 1}, 1))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(part) AS n FROM iw),
+dw AS (SELECT row_at, i, n, w[i + 1:i + n] AS part FROM (
+  SELECT row_at, w, n, unnest(range(greatest(len(w) - n + 1, 0))) AS i FROM d, sizes)),
+m AS (SELECT row_at, i, n, item FROM dw JOIN iw USING (part)),
+hit AS (SELECT row_at, count(DISTINCT i + s)::BIGINT AS n_hit FROM m, range({WINDOW}) r(s) WHERE s < n GROUP BY row_at),
+named AS (SELECT row_at, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row_at, item FROM m) GROUP BY row_at),
+place AS (SELECT row_at, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d),
+df AS (SELECT term, count(*) AS c FROM place GROUP BY term),
+terms AS (SELECT DISTINCT item, unnest(w) AS term FROM b),
+ranked AS (SELECT item, term, c, row_number() OVER (PARTITION BY item ORDER BY c, encode(term)) AS k,
+  count(*) OVER (PARTITION BY item) - count(c) OVER (PARTITION BY item) AS absent FROM terms LEFT JOIN df USING (term)),
+rare AS (SELECT item, term, k, max(k) OVER (PARTITION BY item) AS most FROM ranked WHERE absent = 0 AND k <= {NEAR_TERMS}),
+seed AS (SELECT r.item, r.most, a.row_at, a.pos FROM rare r JOIN place a USING (term) WHERE k = 1),
+met AS (SELECT s.item, s.row_at, s.pos, any_value(s.most) AS most, count(DISTINCT r.k) AS k FROM seed s
+  JOIN rare r ON r.item = s.item JOIN place a ON a.term = r.term AND a.row_at = s.row_at AND abs(a.pos - s.pos) < {GAP}
+  GROUP BY s.item, s.row_at, s.pos),
+near AS (SELECT row_at, count(DISTINCT item)::BIGINT AS n_near FROM met WHERE k = most GROUP BY row_at)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN hit USING (row_at) LEFT JOIN named USING (row_at) LEFT JOIN near USING (row_at)"""
+
+
+SQL = _sql()
