@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("tables", "joining", "windowing", "memories", "arrays", "texts", "sampled", "works", "streams")
+MODULES = ("tables", "joining", "windowing", "memories", "arrays", "texts", "sampled", "works", "streams", "forms")
 
 
 def load():

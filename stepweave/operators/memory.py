@@ -259,7 +259,10 @@ def assemble_tokens(samples: DataFrame, tokens: DataFrame, features: DataFrame,
         *keys, "step_idx", "_pos", F.col("_tok.step").alias("_at"), F.col("_tok.view").alias("view"),
         F.col("_tok.patch").alias("patch"))
     view = [F.col("view")] if "view" in features.columns else [F.lit(0).alias("view")]
-    rows = features.select(*keys, F.col("step_idx").alias("_at"), *view, "state",
+    # only the steps that some sample asks for are taken apart into patches
+    asked = wanted.select(*keys, F.col("_at").alias("step_idx")).distinct()
+    used = features.join(asked, [*keys, "step_idx"], "left_semi")
+    rows = used.select(*keys, F.col("step_idx").alias("_at"), *view, "state",
                            F.posexplode(F.arrays_zip(F.col("image_emb_8x8").alias("i"), F.col("pos_emb_8x8").alias("p")))
                            .alias("patch", "_e")).select(*keys, "_at", "view", "patch", "state",
                                                          F.col("_e.i").alias("image"), F.col("_e.p").alias("pos"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -221,15 +222,16 @@ def step_windows(df: DataFrame, horizon: int = 16) -> DataFrame:
 
 def offset_sequence(df: DataFrame, value: str, horizon: int, fps: float, rate: float, keys: Sequence[str] = KEYS,
                     step: str = STEP) -> DataFrame:
-    """Values at time offsets k/fps for data recorded at ``rate`` Hz; clamped to the last row with ``is_pad``."""
-    stride = round(rate / fps)
-    reach = (horizon - 1) * stride
+    """Values at time offsets k/fps for data recorded at ``rate`` Hz: the nearest row, the later one halfway; clamped to
+    the last row with ``is_pad``."""
+    offsets = [math.floor(k * rate / fps + 0.5) for k in range(horizon)]
+    reach = offsets[-1]
 
     def build(window):
         return {"_ahead": F.collect_list(value).over(window.rangeBetween(0, reach))}
 
     listed = o.with_neighbours(df, keys, step, 0, reach, build)
-    wanted = F.sequence(F.lit(0), F.lit(reach), F.lit(stride))
+    wanted = F.array(*[F.lit(k) for k in offsets])
     top = F.size("_ahead") - 1
     return (listed.withColumn("values", F.transform(wanted, lambda i: F.get("_ahead", F.least(i, top))))
             .withColumn("is_pad", F.transform(wanted, lambda i: i > top)).drop("_ahead"))

@@ -24,6 +24,12 @@ def episode_summary(steps: DataFrame, extra: Sequence = ()) -> DataFrame:
         "exec_start", F.coalesce("_first", F.raise_error(F.lit("episode has only demo steps")).cast("int"))).drop("_first")
 
 
+def with_kept_tokens(summary: DataFrame, kept: DataFrame) -> DataFrame:
+    """The summary with ``kept_tokens``, the number of kept tokens of each episode."""
+    counts = kept.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("kept_tokens"))
+    return summary.join(counts, KEYS, "left").withColumn("kept_tokens", F.coalesce("kept_tokens", F.lit(0)))
+
+
 def exec_start(steps: DataFrame) -> DataFrame:
     """First execution step on every row of its episode."""
     found = o.scan(steps.drop("exec_start"), KEYS, "step_idx", {
@@ -229,11 +235,11 @@ def compute_norm_stats(samples: DataFrame, structure: dict | None = None, profil
 # Trajectories
 
 def trajectory_frames(frames: DataFrame, ranges: DataFrame | None = None, horizon: int = 16, seed: int = 0,
-                      epoch: int = 0, action_space: str = "joint_position") -> DataFrame:
-    """Training frames of successful trajectories: picked instruction, action chunk, range filter.
+                      epoch: int = 0, action_space: str = "joint_position", images: Sequence[str] = ()) -> DataFrame:
+    """Training frames of successful trajectories: picked instruction, picked image, action chunk, range filter.
 
     Chunks need the frames after them, so the filter comes after the chunk window; a shuffle of the result
-    is left to the caller. The draw is per trajectory and epoch.
+    is left to the caller. The draws are per trajectory and epoch; one of the columns ``images`` becomes ``image``.
     """
     ok = shape.success_only(frames)
     acted = ok.withColumn("action", F.concat(action_space, "gripper_position"))
@@ -241,6 +247,9 @@ def trajectory_frames(frames: DataFrame, ranges: DataFrame | None = None, horizo
     key = F.concat_ws("--", "recording_folderpath", "file_path")
     kept = joins.filter_ranges(chunked, ranges, key, F.col("t"))
     index = rng.below(3, f"{seed}.{epoch}", F.col("recording_folderpath"), F.col("file_path"))
+    if images:
+        view = rng.below(len(images), f"{seed}.{epoch}.image", F.col("recording_folderpath"), F.col("file_path"))
+        kept = kept.withColumn("image", F.element_at(F.array(*images), view + 1))
     return kept.withColumn("prompt", F.element_at("instructions", index + 1)).withColumn(
         "step_id", text.frame_key(F.col("recording_folderpath"), F.col("file_path"), F.col("t")))
 

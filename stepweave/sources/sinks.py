@@ -16,7 +16,7 @@ EPISODES_PER_BUCKET = 1024
 
 
 def refuse_collisions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The frame itself if its keys are unique; raises otherwise."""
+    """The frame itself if its keys are unique; raises otherwise. Reads the key columns only."""
     clash = df.groupBy(*keys).count().where(F.col("count") > 1).limit(1).collect()
     if clash:
         raise ValueError(f"collision at {clash[0].asDict()}")
@@ -25,9 +25,15 @@ def refuse_collisions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, keys: Sequence[str], episode: str = "epis_idx",
                 width: int = EPISODES_PER_BUCKET) -> None:
-    """Overwrite a keyed table, in folders of ``width`` episodes so that a lookup reads one folder."""
-    bucketed = refuse_collisions(df, keys).withColumn("epis_bucket", F.floor(F.col(episode) / width))
-    bucketed.write.mode("overwrite").partitionBy("epis_bucket").parquet(path)
+    """Overwrite a keyed table, in folders of ``width`` episodes so that a lookup reads one folder.
+
+    Rows are dealt by ranges of (folder, keys), so a folder gets few files and a large one several tasks. Keys are checked
+    on what was written; a collision raises and leaves the table to be written again.
+    """
+    bucketed = df.withColumn("epis_bucket", F.floor(F.col(episode) / width))
+    dealt = bucketed.repartitionByRange("epis_bucket", *keys)
+    dealt.write.mode("overwrite").partitionBy("epis_bucket").parquet(path)
+    refuse_collisions(df.sparkSession.read.parquet(path).select(*keys), keys)
 
 
 def write_samples(df: DataFrame, path: str) -> None:
