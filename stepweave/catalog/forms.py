@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stepweave.catalog.memories import KEPT_SQL, kept
+from stepweave.catalog.memories import KEPT_SQL, RECUR, SCORES_SQL, kept
 from stepweave.catalog.registry import EVAL, STEPS, TRAJ, query, rnd, work_dir
-from stepweave.catalog.streams import SLICES, few_partitions
+from stepweave.catalog.streams import SLICES, event_stream, few_partitions
 from stepweave.operators import shape, stats, windows
 from stepweave.plans import jobs
 from stepweave.sources import readers, sinks, views
@@ -118,3 +118,33 @@ def join06_between(spark, sf):
     out = windows.offset_sequence(steps, "value", 4, fps=20, rate=30)
     return out.select("epis_idx", "step_idx", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
                       F.size(F.filter("is_pad", lambda x: x)).cast("bigint").alias("padded"))
+
+
+STREAM_RECUR = RECUR.replace("(SELECT *, epis_idx * 3 AS e FROM v_frames)",
+                             "(SELECT epis_idx, step_idx, epis_idx % 5 AS e FROM v_steps)")
+
+
+@query("stm02_recurrent", f"""WITH {STEPS}, {STREAM_RECUR}
+SELECT y.epis_idx, y.step_idx, string_agg(y.at::VARCHAR, ',' ORDER BY y.at) AS steps FROM y GROUP BY y.epis_idx, y.step_idx""")
+def stm02_recurrent(spark, sf):
+    folder = work_dir(spark)
+    with few_partitions(spark):
+        run.use_state_store(spark)
+        out = run.run_to_table(live.online_selection(event_stream(spark, sf, folder), "recurrent", horizon=4, max_steps=8,
+                                                     max_video=5), folder)
+    return out.where("step_idx >= exec_start").select("epis_idx", "step_idx", F.array_join(
+        F.transform("indices", lambda i: i.cast("string")), ",").alias("steps"))
+
+
+@query("stm02_online_tokens", f"""WITH {SCORES_SQL},
+k AS (SELECT *, row_number() OVER (PARTITION BY epis_idx ORDER BY score DESC, step_idx DESC, patch DESC) AS r FROM v_scores)
+SELECT epis_idx, step_idx, patch, round(score, 6) AS score FROM k WHERE r <= 64""")
+def stm02_tokens(spark, sf):
+    folder = work_dir(spark)
+    run.write_slices(views.frames(spark, sf).drop("_blk"), F.col("step_idx"), f"{folder}/in", SLICES)
+    with few_partitions(spark):
+        run.use_state_store(spark)
+        out = run.run_to_table(live.online_selection(run.replay(spark, f"{folder}/in"), "tokens", budget=64, keep=300), folder)
+    latest = out.groupBy("epis_idx").agg(F.max("as_of").alias("as_of"))
+    return out.join(latest, ["epis_idx", "as_of"]).select(
+        "epis_idx", "step_idx", F.col("patch").cast("bigint").alias("patch"), F.round("score", 6).alias("score"))

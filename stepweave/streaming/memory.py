@@ -67,11 +67,14 @@ def episode_memory(stream: DataFrame, key: str = "epis_idx") -> DataFrame:
 
 
 def online_selection(stream: DataFrame, mode: str = "frames", key: str = "epis_idx", budget: int = 32, horizon: int = 16,
-                     max_steps: int = 64, max_video: int = 40) -> DataFrame:
+                     max_steps: int = 64, max_video: int = 40, keep: int | None = None) -> DataFrame:
     """After each appended chunk, the step indices that memory uses at the newest step.
 
-    The indices are column expressions of the newest step, so only the numbering keeps state.
+    The indices are column expressions of the newest step, so only the numbering keeps state. In mode ``tokens`` the input
+    are frames as for ``running_top_tokens`` and the result its best ``budget`` tokens after each micro-batch.
     """
+    if mode == "tokens":
+        return running_top_tokens(stream, key=key, budget=budget, **({"keep": keep} if keep else {}))
     newest = episode_memory(stream, key).where("newest")
     if mode == "frames":
         chosen = even_indices(F.col("step_idx"), budget)
@@ -116,9 +119,12 @@ def merge_tokens(kept: np.ndarray, steps: np.ndarray, pixels: np.ndarray, previo
     return merged[order], pixels[-1]
 
 
-def running_top_tokens(stream: DataFrame, keep: int = 2048, stride: int = 8, key: str = "epis_idx") -> DataFrame:
+def running_top_tokens(stream: DataFrame, keep: int = 2048, stride: int = 8, key: str = "epis_idx",
+                       budget: int | None = None) -> DataFrame:
     """Kept tokens of each episode after each micro-batch: (key, as_of, step_idx, view, patch, score).
 
+    With ``budget`` only the greatest so many are given out; all kept ones stay in the state.
+
     Input rows are frames (key, step_idx, pixels) of one value per patch. The state is the last scored frame
     and a heap of at most ``keep`` tokens (frame 0 alone may exceed it).
     """
@@ -141,7 +147,8 @@ def running_top_tokens(stream: DataFrame, keep: int = 2048, stride: int = 8, key
                 self.scored.update((previous.tolist(),))
             if len(kept):
                 self.tokens.put([(float(a), int(b), int(c), int(d)) for a, b, c, d in kept.tolist()])
-            found = pd.DataFrame(kept, columns=["score", "step_idx", "view", "patch"]).astype(
+            shown = kept if budget is None else kept[-budget:]
+            found = pd.DataFrame(shown, columns=["score", "step_idx", "view", "patch"]).astype(
                 {"step_idx": "int32", "view": "int32", "patch": "int32"})
             yield found.assign(**{key: ident[0], "as_of": int(batch["step_idx"].iloc[-1])})[
                 [key, "as_of", "step_idx", "view", "patch", "score"]]
