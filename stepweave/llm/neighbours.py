@@ -3,8 +3,8 @@
 Rows are dealt by hash to shards of about ``SHARD_ROWS`` vectors of one dimension. A shard keeps its distinct vectors,
 the least ids of each, and per layer a flat array of neighbours (-1: none). Nodes enter in order of falling level; a node
 is tied to earlier nodes that are nearer to it than to each other, and ties are mutual, up to ``2 * DEGREE`` (``DEGREE``
-above the lowest layer). For inner products, vectors get one more coordinate that makes all of a shard equally long, so
-the largest product is the nearest vector. Every row is indexed; nothing is sampled.
+above the lowest layer). Nearness in the graph is the inner product itself, for building as for searching, so long
+vectors become the hubs that searches for large products pass through. Every row is indexed; nothing is sampled.
 
 Queries meet each shard in groups of at most ``GROUP``: greedy descent through the upper layers, then a beam of ``BEAM``
 over the lowest, for all queries of the group at once. Scores are computed again in double precision on the original
@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from stepweave.llm.common import written
 
-SHARD_ROWS = 4096
-DEGREE, CANDIDATES, BEAM, GROUP = 16, 64, 128, 2048
+SHARD_ROWS = 32768
+DEGREE, CANDIDATES, BEAM, EXPANDED, GROUP = 16, 64, 128, 8, 2048
 ASKED, EVERY, SEED = 20, 20, 5
+ROWS = 256  # at a time against a whole shard while building
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -42,12 +43,6 @@ def usable(vectors: DataFrame) -> DataFrame:
             .where(F.exists("embedding", lambda x: x != 0)).distinct().withColumn("dim", F.size("embedding")))
 
 
-def _lengthened(x: np.ndarray) -> np.ndarray:
-    squares = (x.astype(np.float64) ** 2).sum(1)
-    rest = np.sqrt(np.maximum(squares.max(initial=0) - squares, 0))
-    return np.hstack([x, rest[:, None].astype(np.float32)])
-
-
 def _spread(x: np.ndarray, nodes: np.ndarray, found: np.ndarray, near: np.ndarray, degree: int) -> np.ndarray:
     """Of each node's candidates, by falling similarity, those nearer to it than to any chosen before; -1 elsewhere."""
     chosen = np.full((len(nodes), degree), -1, np.int32)
@@ -75,8 +70,8 @@ def layer(x: np.ndarray, degree: int, most: int) -> np.ndarray:
     """Neighbour lists (n, most) of nodes in order of entry."""
     n = len(x)
     ties = np.full((n, degree), -1, np.int32)
-    for at in range(0, n, 1024):
-        rows = np.arange(at, min(at + 1024, n))
+    for at in range(0, n, ROWS):
+        rows = np.arange(at, min(at + ROWS, n))
         near = x[rows] @ x[:rows[-1] + 1].T
         near[np.arange(rows[-1] + 1)[None] >= rows[:, None]] = -np.inf  # earlier nodes only
         k = min(CANDIDATES, near.shape[1])
@@ -93,8 +88,8 @@ def layer(x: np.ndarray, degree: int, most: int) -> np.ndarray:
     lists = np.full((n, max(int(size.max(initial=0)), most)), -1, np.int32)
     lists[source, rank] = target
     full = np.flatnonzero(size > most)
-    for at in range(0, len(full), 1024):
-        rows = full[at:at + 1024]
+    for at in range(0, len(full), ROWS):
+        rows = full[at:at + ROWS]
         width = int(size[rows].max())
         found = lists[rows, :width]
         near = np.empty(found.shape, np.float32)
@@ -113,7 +108,6 @@ class Graph:
 
     def __init__(self, x: np.ndarray, sizes: list[int], lists: list[np.ndarray], first: np.ndarray, ids: np.ndarray) -> None:
         self.x, self.sizes, self.lists, self.first, self.ids = x, sizes, lists, first, ids
-        self.long = _lengthened(x)
 
     @staticmethod
     def build(ids: np.ndarray, x: np.ndarray) -> "Graph":
@@ -132,22 +126,20 @@ class Graph:
         size = np.bincount(of, minlength=len(one))
         first = np.concatenate([[0], np.cumsum(size)])
         distinct = x[one[enter]]
-        long = _lengthened(distinct)
         sizes = [int((level >= l).sum()) for l in range(level.max(initial=0) + 1)]
-        lists = [layer(long[:n], DEGREE, DEGREE * (2 if l == 0 else 1)) for l, n in enumerate(sizes)]
+        lists = [layer(distinct[:n], DEGREE, DEGREE * (2 if l == 0 else 1)) for l, n in enumerate(sizes)]
         return Graph(distinct, sizes, lists, first, ids[group])
 
     def search(self, q: np.ndarray) -> np.ndarray:
         """For each query the nodes of its beam (-1: none)."""
         n = len(q)
-        q = np.hstack([q, np.zeros((n, 1), np.float32)])
         now = np.zeros(n, np.int64)
-        best = q @ self.long[0]
+        best = q @ self.x[0]
         for lists in self.lists[:0:-1]:
             moving = np.arange(n)
             while len(moving):
                 near = lists[now[moving]]
-                like = np.einsum("nkd,nd->nk", self.long[near], q[moving])
+                like = np.einsum("nkd,nd->nk", self.x[near], q[moving])
                 like[near < 0] = -np.inf
                 at = like.argmax(1)
                 up = like[np.arange(len(moving)), at] > best[moving]
@@ -161,22 +153,29 @@ class Graph:
         seen[np.arange(n), now] = True
         live = np.arange(n)
         while len(live):
+            # the nearest unexpanded nodes of each beam, several at a time
             open_ = np.where(done[live], -np.inf, like[live])
-            at = open_.argmax(1)
-            going = ~np.isneginf(open_[np.arange(len(live)), at])
-            live, at = live[going], at[going]
+            at = np.argpartition(-open_, EXPANDED - 1, axis=1)[:, :EXPANDED]
+            value = np.take_along_axis(open_, at, 1)
+            going = ~np.isneginf(value.max(1))
+            live, at, value = live[going], at[going], value[going]
             if not len(live):
                 break
-            done[live, at] = True
-            near = self.lists[0][beam[live, at]].astype(np.int64)
+            done[live[:, None], at] = True
+            near = self.lists[0][np.where(np.isneginf(value), 0, beam[live[:, None], at])].astype(np.int64)
+            near[np.isneginf(value)] = -1
+            near = np.sort(near.reshape(len(live), -1), axis=1)
             fresh = (near >= 0) & ~seen[live[:, None], near]
-            seen[live[:, None], np.where(fresh, near, beam[live, at][:, None])] = True
-            score = np.einsum("nkd,nd->nk", self.long[near], q[live])
-            score[~fresh] = -np.inf
+            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
+            row, column = np.nonzero(fresh)
+            node = near[row, column]
+            seen[live[row], node] = True
+            score = np.full(near.shape, -np.inf, np.float32)
+            score[row, column] = np.einsum("nd,nd->n", self.x[node], q[live[row]])
             all_like = np.hstack([like[live], score])
             top = np.argpartition(-all_like, BEAM - 1, axis=1)[:, :BEAM]
             like[live] = np.take_along_axis(all_like, top, 1)
-            beam[live] = np.take_along_axis(np.hstack([beam[live], np.where(fresh, near, -1)]), top, 1)
+            beam[live] = np.take_along_axis(np.hstack([beam[live], near]), top, 1)
             done[live] = np.take_along_axis(np.hstack([done[live], ~fresh]), top, 1)
         return np.where(np.isneginf(like), -1, beam)
 
