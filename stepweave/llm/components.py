@@ -15,14 +15,14 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of its neighbours and itself."""
     near = _both(edges)
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = written(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     return near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is tied to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     tied = down.join(least, "a")
     return (tied.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
@@ -31,7 +31,8 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b: bigint); the component is its least node.
 
-    Each round is written to the shared folder; rounds end when the edges are stars, which takes about as many rounds as
+    Each round is written to the shared folder, and so are the least neighbours, so that the join with them can be split
+    where one node has very many edges; rounds end when the edges are stars, which takes about as many rounds as
     the logarithm of the number of nodes.
     """
     state, last = written(edges.where("a <> b").distinct(), "edges"), None

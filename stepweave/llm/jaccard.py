@@ -297,8 +297,10 @@ def link(docs: DataFrame) -> DataFrame:
                .withColumn("centre", F.coalesce("centre", "c"))
                .join(tied.withColumnRenamed("node", "c"), "c", "left")
                .withColumn("component", F.coalesce("component", "c")))
-    parts = members.groupBy("centre").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    # tables, like those below, so that the joins can be split where one star or component is very large
+    members = written(members, "members")
+    parts = written(members.groupBy("centre").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts")), "parts")
+    sizes = written(members.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
     placed = written(members.join(parts, "centre").join(sizes, "component").select(
         "c", "centre", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"), "component", "size"), "placed")
     more = _across(index, sets, placed)
@@ -306,9 +308,8 @@ def link(docs: DataFrame) -> DataFrame:
 
     named = sets.select("c", "print").join(tied, F.col("c") == F.col("node")).select("print", "component")
     of_class = signed.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("least"))
-    merged = of_class.join(named, "print")
-    least = merged.groupBy("component").agg(F.min("least").alias("component_least"))
-    # a table, so that the last join can be split where one class has very many copies
+    merged = written(of_class.join(named, "print"), "merged")
+    least = written(merged.groupBy("component").agg(F.min("least").alias("component_least")), "component-least")
     of_class = written(of_class.join(merged.join(least, "component").select("print", "component_least"), "print", "left")
                        .select("print", F.coalesce("component_least", "least").alias("least")), "least")
     return (signed.select("doc_id", "n", "print").join(of_class, "print", "left")
