@@ -1,15 +1,16 @@
 """LM scoring: a hidden Markov model of the corpus' words, with an add-one unigram score beside it.
 
 ``encode`` stores the corpus as blocks of documents in the shared folder: the block's distinct words, and the tokens as
-indices into them. Word counts of the training rows are summed over the blocks by a shuffle on the word and stay a table.
-A word's class is its own for the ``TOP`` most frequent words and a hash for all others, so a state's emissions have a
-fixed size; within a hashed class a word has its add-one share of the class' tokens. Each Baum-Welch step runs over every
-training token: tasks add up expected counts of starts, transitions and emissions, Spark sums them, and the driver
-normalises the sums. Training cuts documents into segments of ``SEGMENT`` tokens, later segments starting from a learned
-distribution of their own. Scoring does not cut: segments give scaled transfer matrices, multiplied in order from the
-start distribution, which is the forward recursion over the whole document.
+indices into them. Word counts of the training rows are summed over the blocks by a shuffle on the word and stay a table;
+a block's counts come back by a join on the word, so no task or driver holds the vocabulary. A word's class is its own
+for the ``TOP`` most frequent words and a hash for all others, so a state's emissions have a fixed size; within a hashed
+class a word has its add-one share of the class' tokens. What is stored then are class sequences and each document's sums
+over its words.
 
-Counts of a block's words come back by a join on the word, so no task or driver holds the vocabulary.
+Each Baum-Welch step runs over every training token: tasks add up expected counts of starts, transitions and emissions,
+Spark sums them, and the driver normalises the sums. Training cuts documents into segments of ``SEGMENT`` tokens, later
+segments starting from a learned distribution of their own. Scoring does not cut: the scaled forward recursion runs over
+whole documents, all documents of a block side by side.
 
 Defined results: null and empty texts are the end token alone; rows without an id are scored, held out and never learned
 from; repeated rows count and are scored each; other columns are not read. Without training rows all counts are 0.
@@ -34,6 +35,7 @@ STATES, TOP, HASHED = 6, 1024, 1024
 CLASSES = TOP + HASHED + 1
 END = CLASSES - 1
 SEGMENT, ROUNDS, SEED = 64, 4, 11
+BLOCK_BYTES, STEP_TOKENS = 16 << 20, 1 << 18
 SMOOTH = 0.1
 #: The first model: states that last, with emissions spread by chance around the class counts.
 STAY, SPREAD = 100, 0.5
@@ -41,11 +43,19 @@ STAY, SPREAD = 100, 0.5
 #: A-Z to lower case; all else stays.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-_BLOCKS = ("block string, doc_ids array<bigint>, held binary, lengths binary, words array<binary>, seen array<int>, "
-           "codes binary")
-_BLOCKS_ARROW = pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.binary()),
-                           ("lengths", pa.binary()), ("words", pa.list_(pa.binary())),
-                           ("seen", pa.list_(pa.int32())), ("codes", pa.binary())])
+_BLOCKS = ("block bigint, doc_ids array<bigint>, held binary, lengths binary, words array<binary>, seen array<int>, "
+           "hashed binary, codes binary")
+_BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.binary()),
+                           ("lengths", pa.binary()), ("words", pa.list_(pa.binary())), ("seen", pa.list_(pa.int32())),
+                           ("hashed", pa.binary()), ("codes", pa.binary())])
+
+
+def packed(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(held: bytes, kind: type, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(held, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -55,7 +65,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
-    for number, (batch, texts) in enumerate(text_chunks(batches)):
+    for number, (batch, texts) in enumerate(text_chunks(batches, BLOCK_BYTES)):
         vocabulary: defaultdict = defaultdict()
         vocabulary.default_factory = vocabulary.__len__
         parts = []
@@ -66,9 +76,11 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.array([len(p) for p in parts], np.int32)
         codes = np.concatenate(parts)
         seen = np.bincount(codes[np.repeat(~held, lengths)], minlength=len(vocabulary)).astype(np.int32)
-        yield to_batch(_BLOCKS_ARROW, block=[f"{part}-{number}"], doc_ids=[batch.column(0).to_pylist()],
-                       held=[held.tobytes()], lengths=[lengths.tobytes()], words=[list(vocabulary)], seen=[seen],
-                       codes=[codes.tobytes()])
+        words = list(vocabulary)
+        hashed = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % HASHED
+        yield to_batch(_BLOCKS_ARROW, block=[part << 36 | number], doc_ids=[batch.column(0).to_pylist()],
+                       held=[held.tobytes()], lengths=[lengths.tobytes()], words=[words], seen=[seen],
+                       hashed=[packed(hashed.astype(np.int16))], codes=[packed(codes)])
 
 
 def encode(docs: DataFrame) -> DataFrame:
@@ -77,23 +89,6 @@ def encode(docs: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(_encode, _BLOCKS), "blocks", compression="zstd")
 
 
-class Classes:
-    """The class of a word and what is known of each class: tokens and distinct words among the training rows."""
-
-    def __init__(self, top: list[bytes], tokens: np.ndarray, distinct: np.ndarray) -> None:
-        self.top = {word: at for at, word in enumerate(top)}
-        self.tokens, self.distinct = tokens, distinct
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        top = self.top
-        return np.fromiter((top[w] if w in top else TOP + zlib.crc32(w) % HASHED for w in words), np.int64, len(words))
-
-    def log_share(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 of a word's share of its class."""
-        inner = np.log10((counts + 1) / (self.tokens[classes] + self.distinct[classes] + 1))
-        return np.where((classes < TOP) | (classes == END), 0.0, inner)
-
-
 class Model:
     """Start distributions (of a document, of a later segment), transitions and emissions by class."""
 
@@ -120,68 +115,121 @@ def segments(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, np.minimum(np.repeat(sizes, per) - rank * SEGMENT, SEGMENT), rank
 
 
-def _tokens(row: dict, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per document size with its end, and per token its class and its word (-1: end); whether a document is held out."""
-    lengths = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
-    codes = np.frombuffer(row["codes"], np.int32).astype(np.int64)
-    word = np.insert(codes, np.cumsum(lengths), -1)
-    of = np.append(classes.of(row["words"]), END)
-    return lengths + 1, of[word], word, np.frombuffer(row["held"], bool)
-
-
 def expected(model: Model, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected starts, moves and emissions over the segments: scaled forward and backward recursions, all at once."""
-    starts, moves, emits = np.zeros((2, STATES)), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
+    starts, moves = np.zeros((2, STATES)), np.zeros((STATES, STATES))
     if not len(sizes):
-        return starts, moves, emits
+        return starts, moves, np.zeros((STATES, CLASSES))
     first, length, rank = segments(sizes)
     order = np.argsort(-length, kind="stable")
     first, length, rank = first[order], length[order], rank[order]
-    steps = int(length[0])
-    active = [int(np.searchsorted(-length, -t, "left")) for t in range(steps)]  # length > t
+    active = [int(np.searchsorted(-length, -t, "left")) for t in range(int(length[0]))]  # length > t
+    ends = np.cumsum([0, *active])
+    # by step: the tokens of all segments that have one there lie side by side
+    token = classes[np.concatenate([first[:n] + t for t, n in enumerate(active)])]
+    emits, go = model.emits.astype(np.float32)[token], model.moves.astype(np.float32)
+    one = np.ones((STATES, 1), np.float32)
     later = (rank > 0).astype(int)
-    ahead, scale = [], []
-    a = model.start[later] * model.emits[classes[first]]
-    for t in range(steps):
-        n = active[t]
-        if t:
-            a = (a[:n] @ model.moves) * model.emits[classes[first[:n] + t]]
-        c = a.sum(1, keepdims=True)
-        a = a / c
-        ahead.append(a)
-        scale.append(c)
-    back = np.ones((0, STATES))
-    weights = np.zeros((len(classes), STATES))
-    for t in range(steps - 1, -1, -1):
-        n = active[t]
-        here = np.ones((n, STATES))
-        if len(back):
-            m = len(back)
-            push = back * model.emits[classes[first[:m] + t + 1]] / scale[t + 1]
-            here[:m] = push @ model.moves.T
-            moves += model.moves * (ahead[t][:m].T @ push)
-        gamma = ahead[t] * here
-        weights[first[:n] + t] = gamma
-        if t == 0:
-            for k in (0, 1):
-                starts[k] = gamma[later == k].sum(0)
-        back = here
-    for s in range(STATES):
-        emits[s] = np.bincount(classes, weights[:, s], CLASSES)
-    return starts, moves, emits
+    ahead, scale = np.empty_like(emits), np.empty((len(emits), 1), np.float32)
+    a = model.start.astype(np.float32)[later]
+    for t, n in enumerate(active):
+        a = (a[:n] @ go if t else a) * emits[ends[t]:ends[t + 1]]
+        c = a @ one
+        a /= c
+        ahead[ends[t]:ends[t + 1]], scale[ends[t]:ends[t + 1]] = a, c
+    emits /= scale
+    pushed = np.zeros((STATES, STATES))
+    for t in range(len(active) - 2, -1, -1):
+        n, at = active[t + 1], ends[t]
+        push = emits[ends[t + 1]:ends[t + 2]]  # by now times what lies behind it
+        pushed += ahead[at:at + n].T @ push
+        emits[at:at + n] *= push @ go.T
+    # emits holds b * beta / c; times the state's chance before the token, that is gamma: bring it there from the ahead
+    weights = np.empty_like(emits)
+    before = model.start.astype(np.float32)[later]
+    for t, n in enumerate(active):
+        reached = ahead[ends[t - 1]:ends[t - 1] + n] @ go if t else before
+        weights[ends[t]:ends[t + 1]] = reached * emits[ends[t]:ends[t + 1]]
+    for k in (0, 1):
+        starts[k] = weights[:active[0]][later == k].sum(0, dtype=float)
+    counts = np.stack([np.bincount(token, weights[:, s], CLASSES) for s in range(STATES)])
+    return starts, moves + model.moves * pushed, counts
+
+
+def log_likelihood(model: Model, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each text's classes: the scaled forward recursion over whole texts."""
+    order = np.argsort(-sizes, kind="stable")
+    first, length = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    logs = np.zeros(len(sizes))
+    one = np.ones((STATES, 1))
+    ending = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")  # length > t
+    a = np.repeat(model.start[:1], len(sizes), 0)
+    for t, n in enumerate(ending.tolist()):
+        a = (a[:n] @ model.moves if t else a) * model.emits[classes[first[:n] + t]]
+        c = a @ one
+        a /= c
+        logs[:n] += np.log10(c[:, 0])
+    out = np.empty(len(sizes))
+    out[order] = logs
+    return out
 
 
 _COUNTS = pa.schema([("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("v", pa.float64())])
+_CLASSED = "doc_ids array<bigint>, held binary, sizes binary, classes binary, known binary, base binary, inner binary"
+_CLASSED_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), *[(n, pa.binary()) for n in (
+    "held", "sizes", "classes", "known", "base", "inner")]])
 
 
-def _expect(model: Model, classes: Classes):
+def _classify(total: int, ends: int, class_tokens: np.ndarray, class_words: np.ndarray):
+    """Blocks with their found counts to class sequences and sums over words. total: tokens and distinct tokens."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = dict(zip(batch.schema.names, (c[at] for c in batch.columns)))
+                lengths = np.frombuffer(row["lengths"].as_py(), np.int32).astype(np.int64)
+                n = row["n_words"].as_py()
+                count, of = np.zeros(n + 1), np.empty(n + 1, np.int64)
+                of[:n], of[n] = TOP + unpacked(row["hashed"].as_py(), np.int16, n), END
+                if row["places"].is_valid:
+                    places = row["places"].values.to_numpy()
+                    rank = row["ranks"].values.to_numpy()
+                    count[places] = row["counts"].values.to_numpy()
+                    of[places[rank >= 0]] = rank[rank >= 0]
+                count[n] = ends
+                inner = np.log10((count + 1) / (class_tokens[of] + class_words[of] + 1))
+                inner[(of < TOP) | (of == END)] = 0
+                word = np.insert(unpacked(row["codes"].as_py(), np.int32, int(lengths.sum())), np.cumsum(lengths), n)
+                sizes = lengths + 1
+                start = np.cumsum(sizes) - sizes
+                sums = {"known": (count > 0).astype(np.int64), "base": np.log10((count + 1) / total), "inner": inner}
+                yield to_batch(_CLASSED_ARROW, doc_ids=[row["doc_ids"].as_py()], held=[row["held"].as_py()],
+                               sizes=[sizes.tobytes()], classes=[packed(of[word].astype(np.int16))],
+                               **{k: [np.add.reduceat(v[word], start).tobytes()] for k, v in sums.items()})
+    return run
+
+
+def _sequences(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, classes and the held-out marks of a row of classed documents."""
+    held, sizes, classes = (batch.column(batch.schema.get_field_index(n))[at].as_py() for n in ("held", "sizes", "classes"))
+    sizes = np.frombuffer(sizes, np.int64)
+    return sizes, unpacked(classes, np.int16, int(sizes.sum())), np.frombuffer(held, bool)
+
+
+def _expect(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros((2, STATES)), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))]
         for batch in batches:
             for at in range(batch.num_rows):
-                sizes, of, _, held = _tokens(batch.slice(at, 1).to_pylist()[0], classes)
-                for whole, part in zip(total, expected(model, of[np.repeat(~held, sizes)], sizes[~held])):
-                    whole += part
+                sizes, classes, held = _sequences(batch, at)
+                classes, sizes = classes[np.repeat(~held, sizes)], sizes[~held]
+                ends = np.cumsum(sizes)
+                # documents are taken about STEP_TOKENS at a time
+                part = np.searchsorted(ends, np.arange(0, int(sizes.sum()) + STEP_TOKENS, STEP_TOKENS))
+                for a, b in zip(part, [*part[1:], len(sizes)]):
+                    if a < b:
+                        found = expected(model, classes[ends[a] - sizes[a]:ends[b - 1]], sizes[a:b])
+                        for whole, one in zip(total, found):
+                            whole += one
         for kind, whole in enumerate(total):
             i, j = np.nonzero(whole)
             yield to_batch(_COUNTS, kind=np.full(len(i), kind, np.int32), i=i.astype(np.int32), j=j.astype(np.int32),
@@ -189,11 +237,12 @@ def _expect(model: Model, classes: Classes):
     return run
 
 
-def train(blocks: DataFrame, classes: Classes) -> Model:
-    model = Model.first(classes.tokens)
-    read = blocks.select("held", "lengths", "words", "codes")
+def train(classed: DataFrame, tokens: np.ndarray) -> Model:
+    """Baum-Welch over the training documents; ``tokens``: of each class, for the first model."""
+    model = Model.first(tokens)
+    read = classed.select("held", "sizes", "classes")
     for _ in range(ROUNDS):
-        sums = (read.mapInArrow(_expect(model, classes), "kind int, i int, j int, v double")
+        sums = (read.mapInArrow(_expect(model), "kind int, i int, j int, v double")
                 .groupBy("kind", "i", "j").agg(F.sum("v").alias("v")).collect())  # of fixed size
         total = [np.zeros((2, STATES)), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))]
         for r in sums:
@@ -202,65 +251,21 @@ def train(blocks: DataFrame, classes: Classes) -> Model:
     return model
 
 
-def log_likelihood(model: Model, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each text's classes: the forward recursion over the whole text."""
-    first, length, rank = segments(sizes)
-    order = np.argsort(-length, kind="stable")
-    steps = int(length.max(initial=0))
-    active = [int((length > t).sum()) for t in range(steps)]
-    place = first[order]
-    held = np.repeat(np.eye(STATES)[None], len(first), 0)  # row: state before the segment
-    logs = np.zeros(len(first))
-    opens = rank[order] == 0
-    for t in range(steps):
-        n = active[t]
-        now = held[:n]
-        if t:
-            moved = (now.reshape(-1, STATES) @ model.moves).reshape(n, STATES, STATES)
-        else:  # the first token of a text comes from the start distribution, that of a later segment by a move
-            moved = np.where(opens[:n, None, None], now, np.broadcast_to(model.moves, now.shape))
-        moved = moved * model.emits[classes[place[:n] + t]][:, None, :]
-        c = moved.max((1, 2))
-        held[:n] = moved / c[:, None, None]
-        logs[:n] += np.log10(c)
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    held, logs = held[back], logs[back]
-    per = -(-sizes // SEGMENT)
-    begin = np.cumsum(per) - per
-    texts = np.argsort(-per, kind="stable")
-    state = np.repeat(model.start[:1], len(sizes), 0)
-    total = np.zeros(len(sizes))
-    for k in range(int(per.max(initial=0))):
-        now = texts[:int((per > k).sum())]
-        state[now] = np.einsum("ni,nij->nj", state[now], held[begin[now] + k])
-        c = state[now].sum(1)
-        state[now] /= c[:, None]
-        total[now] += np.log10(c) + logs[begin[now] + k]
-    return total
-
-
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                      ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(model: Model, classes: Classes, tokens: int, distinct: int, ends: int):
+def _score(model: Model, tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                sizes, of, word, held = _tokens(row, classes)
-                count = np.zeros(len(row["words"]) + 1)
-                for r in row["known"] or ():
-                    count[r["at"]] = r["c"]
-                count[-1] = ends
-                count, start = count[word], np.cumsum(sizes) - sizes
-                base = np.log10((count + 1) / (tokens + distinct + 1))
-                inner = np.add.reduceat(classes.log_share(of, count), start)
+                sizes, classes, held = _sequences(batch, at)
+                row = {n: batch.column(batch.schema.get_field_index(n))[at].as_py() for n in (
+                    "doc_ids", "known", "base", "inner")}
                 yield to_batch(_SCORES, doc_id=row["doc_ids"], held_out=held, n_tokens=sizes,
-                               n_known=np.add.reduceat((count > 0).astype(np.int64), start),
-                               train_tokens=np.full(len(sizes), tokens), base_score=np.add.reduceat(base, start),
-                               score=log_likelihood(model, of, sizes) + inner)
+                               n_known=np.frombuffer(row["known"], np.int64), train_tokens=np.full(len(sizes), tokens),
+                               base_score=np.frombuffer(row["base"]),
+                               score=log_likelihood(model, classes, sizes) + np.frombuffer(row["inner"]))
     return run
 
 
@@ -277,24 +282,23 @@ def score(docs: DataFrame) -> DataFrame:
     ends = docs.where(~fold(FOLDS, HELD)).count()
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.orderBy(F.col("c").desc(), "word").limit(TOP).collect()
-    if len(top) == TOP:  # below the last of the top words in the same order
-        last = top[-1]
-        rest = counts.where((F.col("c") < last.c) | ((F.col("c") == last.c) & (F.col("word") > F.lit(bytes(last.word)))))
-    else:
-        rest = counts.where(F.lit(False))
-    known, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    ranks = docs.sparkSession.createDataFrame([(bytearray(r.word), i) for i, r in enumerate(top)], "word binary, rank int")
+    # TOP rows at most
+    ranked = counts.join(F.broadcast(ranks), "word", "left").withColumn("rank", F.coalesce("rank", F.lit(-1)))
+    tokens, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for at, r in enumerate(top):
-        known[at] = r.c
-    for r in rest.groupBy((F.crc32("word") % HASHED).alias("k")).agg(
+        tokens[at] = r.c
+    for r in ranked.where("rank < 0").groupBy((F.crc32("word") % HASHED).alias("k")).agg(
             F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
-        known[TOP + r.k], kinds[TOP + r.k] = r.c, r.n
-    known[END] = ends
-    classes = Classes([bytes(r.word) for r in top], known, kinds)
-    model = train(blocks, classes)
+        tokens[TOP + r.k], kinds[TOP + r.k] = r.c, r.n
+    tokens[END] = ends
     asked = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    found = (asked.join(counts, "word").groupBy("block")
-             .agg(F.collect_list(F.struct("at", "c")).alias("known")))
-    return blocks.select("block", "doc_ids", "held", "lengths", "words", "codes").join(found, "block", "left").drop(
-        "block").mapInArrow(_score(model, classes, words + ends, distinct + (ends > 0), ends),
-                            "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
-                            "base_score double, score double")
+    found = (asked.join(ranked, "word").groupBy("block").agg(F.collect_list(F.struct("at", "c", "rank")).alias("x"))
+             .select("block", F.col("x.at").alias("places"), F.col("x.c").alias("counts"), F.col("x.rank").alias("ranks")))
+    total = words + ends + distinct + (ends > 0) + 1
+    classed = written(
+        blocks.select("block", "doc_ids", "held", "lengths", F.size("words").alias("n_words"), "hashed", "codes")
+        .join(found, "block", "left").mapInArrow(_classify(total, ends, tokens, kinds), _CLASSED), "classed")
+    return classed.mapInArrow(_score(train(classed, tokens), words + ends),
+                              "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
+                              "base_score double, score double")
