@@ -6,12 +6,14 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.session import shared_dir
 
 CHUNK_BYTES = 4 << 20
+SPARE = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,22 +38,35 @@ def fold(of: int, held: int) -> "F.Column":
     return (F.crc32(id_text().cast("binary")) % of == held) | F.col("doc_id").isNull()
 
 
+def drawn(df: DataFrame, hashed: "F.Column", n: int, *ties: str) -> DataFrame:
+    """The ``n`` rows of least hash. Rows are counted first, and only about SPARE * n of least hash are sorted, so what
+    tasks send on does not grow with their number. ``hashed`` is a 64-bit hash that spreads the rows evenly."""
+    total = df.count()
+    if total > SPARE * n:
+        df = df.where(hashed <= int(-(1 << 63) + SPARE * n / total * (1 << 64)))
+    return df.orderBy(hashed, *ties).limit(n)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches with about ``limit`` bytes of text each, and their texts as bytes (null: empty).
 
     A single longer text makes a slice of its own; texts are never cut.
     """
+    def texts(part: pa.RecordBatch) -> list[bytes]:
+        return [t or b"" for t in part.column(part.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
+
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_pylist()
         first, held = 0, 0
-        for at, text in enumerate(texts):
-            size = len(text) if text else 0
+        for at, size in enumerate(sizes):
             if held and held + size > limit:
-                yield batch.slice(first, at - first), [t or b"" for t in texts[first:at]]
+                part = batch.slice(first, at - first)
+                yield part, texts(part)
                 first, held = at, 0
             held += size + 16
-        if first < len(texts):
-            yield batch.slice(first), [t or b"" for t in texts[first:]]
+        if first < len(sizes):
+            part = batch.slice(first)
+            yield part, texts(part)
 
 
 def to_batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
