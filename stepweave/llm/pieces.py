@@ -20,6 +20,7 @@ not read. Texts are encoded whole.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ from stepweave.llm.common import text_chunks, to_batch
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, TEMPERATURE, SEED = 2, 1.0, 17
 WIDEST = 16
+BLOCK_BYTES = 1 << 19
 MARK = 0x2581
 _LITERAL = 0x110000  # stands for a mark that was in the text
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -56,6 +58,11 @@ def chance(keys: np.ndarray) -> np.ndarray:
     return ((mixed(keys) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
+def slot_of(hashes: np.ndarray) -> np.ndarray:
+    """The first bits of a mixed hash."""
+    return (hashes * _BASE >> np.uint64(64 - _BITS)).astype(np.int32)
+
+
 class Vocabulary:
     """Pieces by hash, their log weights, and the bytes of each id."""
 
@@ -78,10 +85,12 @@ class Vocabulary:
             hashes[at] = h
         order = np.argsort(hashes)
         self.hashes, self.ids, self.log = hashes[order], np.array(ids, np.int32)[order], log[order].astype(np.float32)
-        self.maybe = np.zeros(1 << _BITS, bool)
-        self.maybe[(self.hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        slots = slot_of(self.hashes)
+        self.slot = np.full(1 << _BITS, -1, np.int32)  # row of a piece by its slot
+        self.slot[slots] = np.arange(len(slots))
+        self.shared = np.bincount(slots, minlength=1 << _BITS) > 1  # where several pieces have it
         self.longer = np.zeros(1 << _BITS, bool)  # hashes that may begin a longer piece
-        self.longer[(np.array(sorted(starts), np.uint64) >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.longer[slot_of(np.array(sorted(starts), np.uint64))] = True
 
     @staticmethod
     def load(path: str = MODEL) -> "Vocabulary":
@@ -96,8 +105,12 @@ class Vocabulary:
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the hashes, the places of those that are pieces, and their rows."""
-        at = np.flatnonzero(self.maybe[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])
-        row = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        slot = slot_of(hashes)
+        row = self.slot[slot]
+        at = np.flatnonzero(row >= 0)
+        row = row[at]
+        several = np.flatnonzero(self.shared[slot[at]])
+        row[several] = np.minimum(np.searchsorted(self.hashes, hashes[at[several]]), len(self.hashes) - 1)
         good = self.hashes[row] == hashes[at]
         return at[good], row[good]
 
@@ -109,63 +122,113 @@ class Vocabulary:
 
 
 class Lattice:
-    """The units one after another: codes, and per node the ids and probabilities of its edges by width."""
+    """Nodes of all units, and the edges of every node with their probabilities given the node.
+
+    Nodes are numbered by level, the number of characters up to the end of their unit, and within a level by the units of
+    falling size: so the nodes of a level lie side by side, and so do their edges.
+    """
 
     def __init__(self, vocabulary: Vocabulary, units: list[str]) -> None:
         self.vocabulary = vocabulary
-        codes = np.frombuffer("".join(" " + u for u in units).encode("utf-32-le"), np.uint32).astype(np.int64)
-        codes = np.where(codes == MARK, _LITERAL, np.where(codes == 32, MARK, codes))
+        codes = np.frombuffer("".join(" " + u for u in units).encode("utf-32-le"), np.uint32)
+        codes = np.where(codes == MARK, np.uint32(_LITERAL), np.where(codes == 32, np.uint32(MARK), codes))
         size = np.array([len(u) + 1 for u in units], np.int64)
-        self.codes, self.end = codes, np.cumsum(size)
-        self.start = self.end - size
         n = len(codes)
-        left = np.repeat(self.end, size) - np.arange(n)
-        self.ids = np.full((n, WIDEST), -1, np.int32)
-        log = np.full((n, WIDEST), -np.inf, np.float32)
-        h = np.zeros(n, np.uint64)
-        plain = codes.astype(np.uint64) + np.uint64(1)
-        where = np.arange(n)
-        for width in range(1, WIDEST + 1):
-            where = where[(left[where] >= width) & vocabulary.longer[(h[where] >> np.uint64(64 - _BITS)).astype(np.int64)]]
-            if not len(where):
-                break
-            h[where] = h[where] * _BASE + plain[where + width - 1]
-            at, row = vocabulary.find(h[where])
-            self.ids[where[at], width - 1] = vocabulary.ids[row]
-            log[where[at], width - 1] = vocabulary.log[row]
-        bare = np.flatnonzero(self.ids[:, 0] == -1)
-        self.ids[bare, 0] = _FALLBACK
-        log[bare, 0] = vocabulary.byte_log * (1 + (codes[bare] > 127) + (codes[bare] > 2047) + (
-            (codes[bare] > 65535) & (codes[bare] != _LITERAL)))
-        # backward sums, by distance from the end of the unit
-        below = np.full(n + WIDEST + 1, -np.inf)
-        by_size = np.argsort(-size, kind="stable")
-        ends, sizes = self.end[by_size], size[by_size]
-        total = np.zeros(n)
-        for r in range(1, int(size.max(initial=0)) + 1):
-            k = int(np.searchsorted(-sizes, -r, "right"))
-            at = ends[:k] - r
-            width = min(r, WIDEST)
-            part = log[at, :width].astype(np.float64)
-            for w in range(1, width + 1):
-                part[:, w - 1] += total[at + w] if w < r else 0.0
-            top = part.max(1)
-            total[at] = top + np.log(np.exp(part - top[:, None]).sum(1))
-            log[at, :width] = np.exp(part - total[at][:, None])
-            log[at, width:] = 0
-        self.chance = log  # now the probability of each edge given its node
+        order = np.argsort(-size, kind="stable")
+        rank = np.empty(len(units), np.int64)
+        rank[order] = np.arange(len(units))
+        # units that reach each level, and the first node of the level
+        reach = np.searchsorted(-size[order], -np.arange(1, int(size.max(initial=0)) + 1), "right")
+        begin = np.concatenate([[0], np.cumsum(reach)])
+        self.nodes, self.size, self.start = n, size, begin[size - 1] + rank
+        self.level = np.repeat(np.arange(1, len(reach) + 1, dtype=np.int32), reach)
+        level = np.repeat(np.cumsum(size), size) - np.arange(n)
+        self.codes = np.empty(n, np.uint32)
+        self.codes[begin[level - 1] + np.repeat(rank, size)] = codes
+        found = self._pieces(reach)
+        count = np.zeros(n, np.int32)
+        for node, *_ in found:
+            count[node] += 1
+        self.count, self.first = count, np.cumsum(count) - count
+        edges = int(count.sum())
+        self.width, self.piece, self.target = (np.empty(edges, np.int32) for _ in range(3))
+        log, at = np.empty(edges), self.first.copy()
+        for node, target, width, piece, weight in found:
+            e = at[node]
+            self.width[e], self.piece[e], self.target[e], log[e] = width, piece, target, weight
+            at[node] += 1
+        # backward sums, level by level
+        total = np.zeros(n + 1)
+        ends = np.append(self.first, edges)
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+            e, f = ends[a], ends[b]
+            log[e:f] += total[self.target[e:f]]
+            total[a:b] = np.logaddexp.reduceat(log[e:f], self.first[a:b] - e)
+        log -= np.repeat(total[:n], count)
+        self.log, self.chance = log, np.exp(log)
         # the likeliest edge of each node, and the mass beside it
-        nodes = np.arange(n)
-        self.best = log.argmax(1)
-        self.best_chance = log[nodes, self.best].astype(np.float64)
-        others = log.copy()
-        others[nodes, self.best] = 0
-        with np.errstate(divide="ignore"):
-            self.best_log, self.best_rest = np.log(self.best_chance), np.log(others.sum(1, dtype=np.float64))
+        self.best, self.best_rest = np.zeros(n, np.int64), np.zeros(n)
+        if n:
+            top = np.maximum.reduceat(self.chance, self.first)
+            equal = np.flatnonzero(self.chance == np.repeat(top, count))
+            of = np.repeat(np.arange(n, dtype=np.int32), count)[equal]
+            self.best = equal[np.flatnonzero(np.diff(of, prepend=-1))]
+            others = self.chance.copy()
+            others[self.best] = 0
+            with np.errstate(divide="ignore"):
+                self.best_rest = np.log(np.add.reduceat(others, self.first))
+
+    def _pieces(self, reach: np.ndarray) -> list[tuple]:
+        """Per width the edges by node: node, node behind the edge (or the number of nodes), width, id, log weight."""
+        vocabulary, n, found = self.vocabulary, self.nodes, []
+        plain, reach = self.codes.astype(np.uint64) + np.uint64(1), np.append(0, reach).astype(np.int32)
+        where, level, h = np.arange(n, dtype=np.int32), self.level, plain
+        last = where  # the node of the last character so far; the next one lies a level below
+        for width in range(1, WIDEST + 1):
+            if width > 1:
+                on = np.flatnonzero((level > 1) & vocabulary.longer[slot_of(h)])
+                if not len(on):
+                    break
+                where, level, h = where[on], level[on], h[on]
+                last = last[on] - reach[level - 1]
+                level = level - 1
+                h = h * _BASE + plain[last]
+            at, row = vocabulary.find(h)
+            below = np.where(level[at] > 1, last[at] - reach[level[at] - 1], n)
+            node, piece, weight = where[at], vocabulary.ids[row], vocabulary.log[row].astype(np.float64)
+            if width == 1:  # characters without a piece become bytes
+                bare = np.ones(n, bool)
+                bare[node] = False
+                bare = np.flatnonzero(bare)
+                of = self.codes[bare]
+                size = 1 + (of > 127) + (of > 2047) + ((of > 65535) & (of != _LITERAL))
+                found.append((bare, np.where(level[bare] > 1, bare - reach[level[bare] - 1], n), 1, _FALLBACK,
+                              vocabulary.byte_log * size))
+            found.append((node, below, width, piece, weight))
+        return found
+
+    def weights(self, node: np.ndarray) -> np.ndarray:
+        """The probabilities of the nodes' edges by width, 0 where there is none."""
+        size = self.count[node]
+        row = np.repeat(np.arange(len(node)), size)
+        edge = np.arange(len(row)) + np.repeat(self.first[node] - (np.cumsum(size) - size), size)
+        dense = np.zeros((len(node), WIDEST))
+        dense[row, self.width[edge] - 1] = self.chance[edge]
+        return dense
+
+    def edge(self, node: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """The edge of that width of each node: one of its ``count`` from ``first`` on, by rising width."""
+        at = self.first[node].copy()
+        wrong = np.flatnonzero(self.width[at] != width)
+        while len(wrong):
+            at[wrong] += 1
+            wrong = wrong[self.width[at[wrong]] != width[wrong]]
+        return at
 
 
 class Path:
-    """Steps of the texts' segmentations in order: unit place, node, edge, log probability and log mass left."""
+    """Steps of the texts' segmentations in order: unit place, node, edge of the lattice, its log probability and the log
+    mass left."""
 
     def __init__(self, token: np.ndarray, node: np.ndarray, edge: np.ndarray, log: np.ndarray, rest: np.ndarray) -> None:
         self.token, self.node, self.edge, self.log, self.rest = token, node, edge, log, rest
@@ -193,69 +256,69 @@ class Sampler:
     """The texts of a block over a lattice of their distinct units."""
 
     def __init__(self, vocabulary: Vocabulary, texts: list[str], keys: np.ndarray) -> None:
-        known: dict[str, int] = {}
+        known: defaultdict = defaultdict()
+        known.default_factory = known.__len__
         parts = []
         for text in texts:
             words = units_of(text)
-            parts.append(np.fromiter([known.setdefault(w, len(known)) for w in words], np.int64, len(words)))
+            parts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
         self.lattice = Lattice(vocabulary, list(known))
         self.keys = mixed(keys.astype(np.uint64) + np.uint64(SEED << 32))
         self.counts = np.array([len(p) for p in parts], np.int64)
         self.unit = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
-        size = (self.lattice.end - self.lattice.start)[self.unit]
+        size = self.lattice.size[self.unit]
         ends = np.cumsum(size)
         first = np.cumsum(self.counts) - self.counts
         begin = np.concatenate([[0], ends])[first]
         self.place = ends - size - begin[self.doc]  # of each unit in its text
 
     def draw(self, descent: int, kind: int, token: np.ndarray, node: np.ndarray) -> np.ndarray:
-        place = self.place[token] + node - self.lattice.start[self.unit[token]]
-        salt = mixed(np.array([descent * 4 + kind + 1], np.uint64))[0]
-        return chance(self.keys[self.doc[token]] ^ mixed(place.astype(np.uint64) + salt))
+        place = self.place[token] + self.lattice.size[self.unit[token]] - self.lattice.level[node]
+        return chance(self.keys[self.doc[token]] ^ mixed(place.astype(np.uint64) + self.salt(descent, kind)))
+
+    @staticmethod
+    def salt(descent: int, kind: int) -> np.uint64:
+        return mixed(np.array([descent * 4 + kind + 1], np.uint64))[0]
 
-    def _choose(self, node: np.ndarray, luck: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Edges drawn by ``luck`` from the open weights, their log probabilities, and the log mass not taken."""
+    def _choose(self, node: np.ndarray, luck: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges drawn by ``luck`` from the open weights (by width), and the log mass not taken."""
         running = weight.cumsum(1)
         aim = np.minimum(luck * running[:, -1], np.nextafter(running[:, -1], 0))
-        edge = (running <= aim[:, None]).sum(1)
-        row = np.arange(len(node))
-        weight[row, edge] = 0
+        column = (running <= aim[:, None]).sum(1)
+        weight[np.arange(len(node)), column] = 0
         with np.errstate(divide="ignore"):
-            return edge, np.log(self.lattice.chance[node, edge].astype(np.float64)), np.log(weight.sum(1))
+            return self.lattice.edge(node, column + 1), np.log(weight.sum(1))
 
     def walk(self, descent: int, token: np.ndarray, node: np.ndarray) -> Path:
         """Descend from the nodes, one per unit in order, to the ends of the units."""
         lattice, steps = self.lattice, []
-        at, end = np.arange(len(token)), lattice.end[self.unit[token]]
+        at, place = np.arange(len(token)), self.place[token] + lattice.size[self.unit[token]]
+        key, salt = self.keys[self.doc[token]], self.salt(descent, 0)
         count = np.zeros(len(token), np.int64)
-        while len(token):
-            luck = self.draw(descent, 0, token, node)
-            edge, log, rest = lattice.best[node], lattice.best_log[node], lattice.best_rest[node]
-            top = lattice.best_chance[node]
-            off = np.flatnonzero(luck >= top)
+        while len(at):
+            luck = chance(key ^ mixed((place - lattice.level[node]).astype(np.uint64) + salt))
+            edge, rest = lattice.best[node], lattice.best_rest[node]
+            likely = lattice.chance[edge]
+            off = np.flatnonzero(luck >= likely)
             off = off[~np.isneginf(rest[off])]
             if len(off):
-                weight = lattice.chance[node[off]].astype(np.float64)
-                row = np.arange(len(off))
-                likely = weight[row, edge[off]]
-                weight[row, edge[off]] = 0
-                other, log[off], rest[off] = self._choose(
-                    node[off], np.minimum((luck[off] - likely) / (1 - likely), 1.0), weight)
-                rest[off] = np.logaddexp(rest[off], np.log(likely))
-                edge[off] = other
-            steps.append((at, count[at], token, node, edge, log, rest))
+                weight = lattice.weights(node[off])
+                weight[np.arange(len(off)), lattice.width[edge[off]] - 1] = 0
+                taken = likely[off]
+                edge[off], other = self._choose(node[off], np.minimum((luck[off] - taken) / (1 - taken), 1.0), weight)
+                rest[off] = np.logaddexp(other, np.log(taken))
+            steps.append((at, count[at], node, edge, rest))
             count[at] += 1
-            node = node + edge + 1
-            on = node < end
-            at, token, node, end = at[on], token[on], node[on], end[on]
+            node = lattice.target[edge]
+            on = np.flatnonzero(node < lattice.nodes)
+            at, node, place, key = at[on], node[on], place[on], key[on]
         start = np.cumsum(count) - count
-        fields = [np.empty(int(count.sum()), t) for t in (np.int64, np.int64, np.int64, float, float)]
+        nodes, edges, rests = (np.empty(int(count.sum()), t) for t in (np.int64, np.int64, float))
         for at, nth, *found in steps:
             to = start[at] + nth
-            for field, values in zip(fields, found):
-                field[to] = values
-        return Path(*fields)
+            nodes[to], edges[to], rests[to] = found
+        return Path(np.repeat(token, count), nodes, edges, lattice.log[edges], rests)
 
     def samples(self, asked: int) -> Iterator[tuple[np.ndarray, Path, np.ndarray, np.ndarray]]:
         """Per descent: the texts it has, its path, and their log probability and perturbed value."""
@@ -329,21 +392,21 @@ class Sampler:
             tokens.append(old.token[turn])
             nodes.append(old.node[turn])
             again = np.where(splits[d][who] == place[who], useds[d][who], 0)
-            taken.append(again | (1 << old.edge[turn]))
+            taken.append(again | (1 << self.lattice.width[old.edge[turn]] - 1))
             split[who], used[who] = place[who], taken[-1]
         turn, node, taken = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(taken)
         order = np.argsort(turn)
         turn, node, taken = turn[order], node[order], taken[order]
-        weight = np.where(taken[:, None] >> np.arange(WIDEST) & 1, 0.0, self.lattice.chance[node].astype(np.float64))
-        edge, log, rest = self._choose(node, self.draw(descent, 0, turn, node), weight)
-        path = Path(turn, node, edge, log, rest)
+        weight = np.where(taken[:, None] >> np.arange(WIDEST) & 1, 0.0, self.lattice.weights(node))
+        edge, rest = self._choose(node, self.draw(descent, 0, turn, node), weight)
+        path = Path(turn, node, edge, self.lattice.log[edge], rest)
         for old in kept:
             path = Path.joined(old, path, len(self.doc))
         last = np.full(n, np.iinfo(np.int64).max)
         last[self.doc[turn]] = turn
         later = np.flatnonzero(np.arange(len(self.doc)) > last[self.doc])
-        node = node + edge + 1
-        on = node < self.lattice.end[self.unit[turn]]
+        node = self.lattice.target[edge]
+        on = node < self.lattice.nodes
         walkers = np.concatenate([turn[on], later])
         order = np.argsort(walkers)
         fresh = self.walk(descent, walkers[order],
@@ -352,7 +415,7 @@ class Sampler:
 
     def ids(self, path: Path) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the path's pieces, and how many of them each text has."""
-        ids = self.lattice.ids[path.node, path.edge]
+        ids = self.lattice.piece[path.edge]
         doc = self.doc[path.token]
         spare = np.flatnonzero(ids == _FALLBACK)
         if len(spare):
@@ -423,7 +486,7 @@ def encode(docs: DataFrame, path: str = MODEL, samples: int = SAMPLES) -> DataFr
     vocabulary = Vocabulary.load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches):
+        for batch, texts in text_chunks(batches, BLOCK_BYTES):
             yield from encode_block(vocabulary, batch.column(0).to_pylist(), texts, samples)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, RESULT)
