@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from stepweave.llm.common import written
 
 SHARD_ROWS = 32768
-DEGREE, CANDIDATES, BEAM, EXPANDED, GROUP = 16, 64, 128, 8, 2048
+DEGREE, CANDIDATES, BEAM, EXPANDED, GROUP = 16, 64, 192, 8, 2048
 ASKED, EVERY, SEED = 20, 20, 5
 ROWS = 256  # at a time against a whole shard while building
 
