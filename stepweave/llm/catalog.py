@@ -63,7 +63,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_secret_scans": secrets.SQL,
-    "op2_sentencepiece_sampling": op2,
     "op3_line_dedup": lines.SQL,
     "op9_ngram_jaccard_join": jaccard.SQL,
     "op10_benchmark_decontamination": decontamination.SQL,
