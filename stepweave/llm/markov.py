@@ -35,7 +35,7 @@ STATES, TOP, HASHED = 6, 1024, 1024
 CLASSES = TOP + HASHED + 1
 END = CLASSES - 1
 SEGMENT, ROUNDS, SEED = 64, 4, 11
-BLOCK_BYTES, STEP_TOKENS = 16 << 20, 1 << 18
+BLOCK_BYTES, STEP_TOKENS = 12 << 20, 1 << 18
 SMOOTH = 0.1
 #: The first model: states that last, with emissions spread by chance around the class counts.
 STAY, SPREAD = 100, 0.5
