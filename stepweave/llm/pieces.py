@@ -130,9 +130,9 @@ class Lattice:
 
     def __init__(self, vocabulary: Vocabulary, units: list[str]) -> None:
         self.vocabulary = vocabulary
-        codes = np.frombuffer("".join(" " + u for u in units).encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer("".join((" ", " ".join(units)) if units else ()).encode("utf-32-le"), np.uint32)
         codes = np.where(codes == MARK, np.uint32(_LITERAL), np.where(codes == 32, np.uint32(MARK), codes))
-        size = np.array([len(u) + 1 for u in units], np.int64)
+        size = np.fromiter(map(len, units), np.int64, len(units)) + 1
         n = len(codes)
         order = np.argsort(-size, kind="stable")
         rank = np.empty(len(units), np.int64)
@@ -345,19 +345,21 @@ class Sampler:
             useds.append(used)
             doc = self.doc[path.token]
             at = np.arange(len(doc)) - starts[doc]
-            mass = before + path.rest
-            luck = np.log(-np.log(self.draw(descent, 1, path.token, path.node)))
+            # only steps with other edges, and none that the parent's queue holds already
+            left = np.flatnonzero(~np.isneginf(path.rest) & (at >= split[doc]))
+            doc, mass = doc[left], before[left] + path.rest[left]
+            luck = np.log(-np.log(self.draw(descent, 1, path.token[left], path.node[left])))
             limit = mass - np.logaddexp(mass - value[doc], luck)
-            limit[(at < split[doc]) | np.isneginf(path.rest)] = -np.inf
-            for _ in range(asked + 1 - descent):
+            heads = np.searchsorted(doc, np.arange(n + 1))
+            has = np.flatnonzero(heads[1:] > heads[:-1])
+            for _ in range(asked - descent):  # as many as may still be popped, the threshold included
                 best = np.full(n, -np.inf)
                 if len(limit):
-                    has = np.flatnonzero(starts[1:] > starts[:-1])
-                    best[has] = np.maximum.reduceat(limit, starts[has])
+                    best[has] = np.maximum.reduceat(limit, heads[has])
                 where = np.flatnonzero((limit == best[doc]) & ~np.isneginf(limit))
                 who, first = np.unique(doc[where], return_index=True)
                 chosen = np.full(n, -1, np.int64)
-                chosen[who] = where[first]
+                chosen[who] = left[where[first]]
                 limit[where[first]] = -np.inf
                 bound = np.hstack([bound, best[:, None]])
                 of = np.hstack([of, np.full((n, 1), descent)])
