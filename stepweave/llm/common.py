@@ -33,6 +33,19 @@ def id_text() -> "F.Column":
     return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
 
 
+def text_key() -> "F.Column":
+    """128-bit hash of the text; a missing text reads as the empty one."""
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+
+
+def matched(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """``docs`` with (left_semi) or without (left_anti) the ``rows`` (doc_id, text_key); missing ids equal each other."""
+    keyed = docs.select("*", F.col("doc_id").cast("bigint").alias("row_id"), text_key().alias("row_key"))
+    rows = rows.select(F.col("doc_id").alias("judged_id"), F.col("text_key").alias("judged_key"))
+    return keyed.join(rows, F.col("row_id").eqNullSafe(F.col("judged_id")) & (F.col("row_key") == F.col("judged_key")),
+                      how).select(docs.columns)
+
+
 def fold(of: int, held: int) -> "F.Column":
     """True where crc32(doc_id as text) mod ``of`` is ``held``; a row without an id is never learned from."""
     return (F.crc32(id_text().cast("binary")) % of == held) | F.col("doc_id").isNull()

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import text_chunks, to_batch, written
+from stepweave.llm.common import matched, text_chunks, text_key, to_batch, written
 
 WINDOW = 10
 GAP = 32
@@ -37,16 +37,16 @@ BLOCK_BYTES = 16 << 20
 #: A-Z to lower case, every other ASCII byte but digits and letters to a space.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-INDEX = ("shard string, doc_ids array<bigint>, starts array<int>, lengths array<int>, terms binary, "
-         "counts binary, positions binary")
-INDEX_ARROW = pa.schema([("shard", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())),
-                         ("lengths", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()),
-                         ("positions", pa.binary())])
-FOUND = ("shard string, doc_at int, doc_id bigint, n_words bigint, hits array<int>, items array<string>, "
-         "near array<string>")
+INDEX = ("shard string, doc_ids array<bigint>, text_keys array<binary>, starts array<int>, lengths array<int>, "
+         "terms binary, counts binary, positions binary")
+INDEX_ARROW = pa.schema([("shard", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("text_keys", pa.list_(pa.binary())),
+                         ("starts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("terms", pa.binary()),
+                         ("counts", pa.binary()), ("positions", pa.binary())])
+FOUND = ("shard string, doc_at int, doc_id bigint, text_key binary, n_words bigint, hits array<int>, "
+         "items array<string>, near array<string>")
 FOUND_ARROW = pa.schema([("shard", pa.string()), ("doc_at", pa.int32()), ("doc_id", pa.int64()),
-                         ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string())),
-                         ("near", pa.list_(pa.string()))])
+                         ("text_key", pa.binary()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())),
+                         ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -56,7 +56,7 @@ def words_of(text: bytes) -> list[bytes]:
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     for number, (batch, texts) in enumerate(text_chunks(batches)):
-        ids = batch.column(0).to_pylist()
+        ids, text_keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         vocabulary: defaultdict = defaultdict()
         vocabulary.default_factory = vocabulary.__len__
         lengths, parts = [], []
@@ -71,14 +71,15 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = codes << 32 | places
         keys.sort()
         counts = np.bincount(codes, minlength=len(vocabulary)).astype(np.int32)
-        yield to_batch(INDEX_ARROW, shard=[f"{part}-{number}"], doc_ids=[ids], starts=[starts.astype(np.int32)],
-                       lengths=[sizes.astype(np.int32)], terms=[b" ".join(vocabulary)], counts=[counts.tobytes()],
+        yield to_batch(INDEX_ARROW, shard=[f"{part}-{number}"], doc_ids=[ids], text_keys=[text_keys],
+                       starts=[starts.astype(np.int32)], lengths=[sizes.astype(np.int32)], terms=[b" ".join(vocabulary)], counts=[counts.tobytes()],
                        positions=[(keys & 0xFFFFFFFF).astype(np.int32).tobytes()])
 
 
 def build_index(docs: DataFrame) -> DataFrame:
     """Posting lists of all tokens of ``docs`` (doc_id, text), one row per shard, stored in the shared folder."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       text_key().alias("text_key"))
     return written(docs.mapInArrow(_shards, INDEX), "postings", compression="zstd")
 
 
@@ -228,8 +229,8 @@ def _found(row: dict, block: Windows) -> pa.RecordBatch:
     if len(item):
         for doc, i in np.unique(np.stack([np.searchsorted(starts, place, "right") - 1, item], 1), axis=0).tolist():
             near[doc].add(block.items[i])
-    return to_batch(FOUND_ARROW, shard=[row["shard"]] * len(ids), doc_at=list(range(len(ids))), doc_id=ids, n_words=lengths,
-                    hits=hits, items=[sorted(x) for x in items], near=[sorted(x) for x in near])
+    return to_batch(FOUND_ARROW, shard=[row["shard"]] * len(ids), doc_at=list(range(len(ids))), doc_id=ids,
+                    text_key=row["text_keys"], n_words=lengths, hits=hits, items=[sorted(x) for x in items], near=[sorted(x) for x in near])
 
 
 def search(index: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -249,7 +250,7 @@ def search(index: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTE
         def merged(name: str) -> "F.Column":
             return F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
         found = (found.groupBy("shard", "doc_at")
-                 .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+                 .agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("n_words").alias("n_words"),
                       merged("hits"), merged("items"), merged("near")))
     return found.drop("shard", "doc_at")
 
@@ -267,9 +268,9 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit, all columns kept; rows without an id are told apart by their text."""
-    found = decontaminate(docs, benchmark).where(F.size("hits") > 0).select("doc_id").distinct()
-    return docs.join(found.where("doc_id IS NOT NULL"), "doc_id", "left_anti").select(docs.columns)
+    """The documents without a hit, all columns kept; a row is known by its id, which may be missing, and its text."""
+    found = decontaminate(docs, benchmark).where(F.size("hits") > 0).select("doc_id", "text_key").distinct()
+    return matched(docs, found, "left_anti")
 
 
 def _sql() -> str:

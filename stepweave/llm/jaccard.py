@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import text_chunks, to_batch, written
+from stepweave.llm.common import matched, text_chunks, text_key, to_batch, written
 from stepweave.llm.components import components
 
 WORDS = 5
@@ -86,15 +86,15 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)) if parts else pa.array([], pa.int64()))
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("f", pa.int64()),
-                     ("low", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n", pa.int64()), ("print", pa.binary()),
+                     ("f", pa.int64()), ("low", pa.list_(pa.int64()))])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in text_chunks(batches):
         sets = shingle_sets(texts)
         prints = [fingerprint(s) for s in sets]
-        yield to_batch(_SIGNED, doc_id=batch.column(0), n=[len(s) for s in sets], print=prints,
+        yield to_batch(_SIGNED, doc_id=batch.column(0), text_key=batch.column(2), n=[len(s) for s in sets], print=prints,
                        f=[int.from_bytes(p[:8], "little", signed=True) for p in prints],
                        low=_lists([s[:np.searchsorted(s, _HASH_LIMIT)] for s in sets]))
 
@@ -201,6 +201,7 @@ def _centred(index: DataFrame, sets: DataFrame) -> DataFrame:
         _overlaps, "c bigint, centre bigint, both bigint, n bigint, m bigint"), "overlaps")
 
 
+PLACE = "struct(doc_id IS NULL AS none, doc_id, text_key)"
 LINK = "9 * both >= 4 * (n + m)"
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -279,11 +280,13 @@ def _across(index: DataFrame, sets: DataFrame, placed: DataFrame) -> DataFrame:
         _compare, "a bigint, b bigint")
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(docs.mapInArrow(_sign, "doc_id bigint, n bigint, print binary, f bigint, low array<bigint>"),
-                     "signed")
+def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n, print, ...) of every row of ``docs`` (doc_id, text), and (print, first) of every class of
+    rows with words: the first row (none, doc_id, text_key) of its component, rows without an id last."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       text_key().alias("text_key"))
+    signed = written(docs.mapInArrow(
+        _sign, "doc_id bigint, text_key binary, n bigint, print binary, f bigint, low array<bigint>"), "signed")
     classes = _not_alone(signed)
     sets = _sets(docs, classes)
     index = _index(sets)
@@ -307,22 +310,29 @@ def link(docs: DataFrame) -> DataFrame:
     tied = components(links.unionByName(more))
 
     named = sets.select("c", "print").join(tied, F.col("c") == F.col("node")).select("print", "component")
-    of_class = signed.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("least"))
+    of_class = signed.where("n > 0").groupBy("print").agg(F.min(F.expr(PLACE)).alias("first"))
     merged = written(of_class.join(named, "print"), "merged")
-    least = written(merged.groupBy("component").agg(F.min("least").alias("component_least")), "component-least")
-    of_class = written(of_class.join(merged.join(least, "component").select("print", "component_least"), "print", "left")
-                       .select("print", F.coalesce("component_least", "least").alias("least")), "least")
+    least = written(merged.groupBy("component").agg(F.min("first").alias("component_first")), "component-first")
+    of_class = written(of_class.join(merged.join(least, "component").select("print", "component_first"), "print", "left")
+                       .select("print", F.coalesce("component_first", "first").alias("first")), "first")
+    return signed, of_class
+
+
+def link(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+    signed, of_class = _judged(docs)
     return (signed.select("doc_id", "n", "print").join(of_class, "print", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")))
+                    F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that are the least of their component; rows without an id stay unless a document with one equals
-    them or links to them."""
-    found = link(docs).where("component_id IS NOT NULL")
-    gone = found.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    them or links to them. A row is known by its id, which may be missing, and its text."""
+    signed, of_class = _judged(docs)
+    rows = signed.where("n > 0").select("doc_id", "text_key", "print").distinct().join(of_class, "print")
+    gone = rows.where("first.doc_id IS NOT NULL AND NOT doc_id <=> first.doc_id")
+    return matched(docs, gone, "left_anti")
 
 
 SQL = f"""

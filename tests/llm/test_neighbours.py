@@ -82,6 +82,14 @@ def test_one_of_each(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_copies_without_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(7, text), (None, text), (None, text), (None, near), (None, "own words of a row without an id"), (None, None)]
+    kept = jaccard.one_of_each(frame(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([rows[0], *rows[4:]], key=repr)
+
+
 def test_no_documents_to_link(spark):
     assert jaccard.link(frame(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard.link(frame(spark, [(4, None)])).collect()] == [(4, 0, 4)]

@@ -171,3 +171,13 @@ def test_clean_keeps_columns_and_rows(spark):
     near = decontamination.search(decontamination.build_index(
         frame(spark, [(1, "eleven b ten nine a eight c seven six five four three two one")])), bench).first()
     assert near.near == ["1"] and near.hits == []
+
+
+def test_clean_without_ids(spark):
+    passage = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, passage)], "item_id int, text string")
+    rows = [(None, f"x {passage} y"), (None, f"x {passage} y"), (None, "z"), (None, None), (3, f"x {passage} y"), (4, "z"),
+            (5, f"a {passage}"), (5, "an unrelated text")]
+    kept = decontamination.clean(frame(spark, rows), bench)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(
+        [(None, "z"), (None, None), (4, "z"), (5, "an unrelated text")], key=repr)
