@@ -23,7 +23,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies."""
+    """One row, of least id, of each group of near copies."""
     return jaccard.one_of_each(docs)
 
 

@@ -327,12 +327,17 @@ def link(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are the least of their component; rows without an id stay unless a document with one equals
-    them or links to them. A row is known by its id, which may be missing, and its text."""
+    """One row of each component: that of least id, rows without an id last, then of least hash of its text; of rows that
+    repeat both, one. Rows without words are components of their own and stay. Repeated rows are counted before they meet
+    their class, and merged in each task before the shuffle."""
     signed, of_class = _judged(docs)
-    rows = signed.where("n > 0").select("doc_id", "text_key", "print").distinct().join(of_class, "print")
-    gone = rows.where("first.doc_id IS NOT NULL AND NOT doc_id <=> first.doc_id")
-    return matched(docs, gone, "left_anti")
+    rows = (signed.where("n > 0").groupBy("doc_id", "text_key", "print").agg(F.count(F.lit(1)).alias("copies"))
+            .join(of_class, "print").withColumn("own", F.expr(PLACE) == F.col("first")))
+    judged = written(rows.where("NOT own OR copies > 1").select("doc_id", "text_key", "own"), "judged")
+    # a table of its own: mostly empty, so that the documents are not shuffled for it
+    repeated = written(judged.where("own"), "repeated")
+    return matched(docs, judged, "left_anti").unionByName(
+        matched(docs, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 SQL = f"""

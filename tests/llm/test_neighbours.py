@@ -90,6 +90,17 @@ def test_copies_without_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([rows[0], *rows[4:]], key=repr)
 
 
+def test_one_of_repeated_rows(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(7, text)] * 40 + [(8, text), (8, "unrelated text with the id of a copy"), (9, "alone")] + [(7, near)] * 2
+    rows += [(None, "copied text without any id")] * 5 + [(None, "Copied text without any id"), (10, "")]
+    kept = Counter((r.doc_id, r.text) for r in jaccard.one_of_each(frame(spark, rows).repartition(5)).collect())
+    assert set(kept.values()) == {1} and kept.keys() >= {rows[41], rows[42], (10, "")} and len(kept) == 5
+    assert sorted(i for i, t in kept if t in (text, near)) == [7]
+    assert sum(i is None for i, _ in kept) == 1
+
+
 def test_no_documents_to_link(spark):
     assert jaccard.link(frame(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard.link(frame(spark, [(4, None)])).collect()] == [(4, 0, 4)]
