@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import decontamination, jaccard, licences, lines, markov, neighbours, pieces, quality, secrets, toxicity
+from stepweave.llm import (decontamination, jaccard, licences, lines, markov, merkle, mixing, neighbours, pieces, quality,
+                           ranked, secrets, toxicity)
 from stepweave.llm.common import table
 
 
@@ -49,6 +50,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_secret_scans": op1,
     "op2_sentencepiece_sampling": op2,
@@ -60,10 +73,16 @@ QUERIES = {
     "op8_toxicity": op8,
     "op9_ngram_jaccard_join": op9,
     "op10_benchmark_decontamination": op10,
+    "op11_source_mixing": op11,
+    "op12_merkle_manifest": op12,
+    "op13_ranked_search": op13,
 }
 ORACLES = {
     "op1_secret_scans": secrets.SQL,
     "op3_line_dedup": lines.SQL,
     "op9_ngram_jaccard_join": jaccard.SQL,
     "op10_benchmark_decontamination": decontamination.SQL,
+    "op11_source_mixing": mixing.SQL,
+    "op12_merkle_manifest": merkle.SQL,
+    "op13_ranked_search": ranked.SQL,
 }

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepweave.session import shared_dir
@@ -28,6 +28,40 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranged(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """The rows with ``place``: range-sorted, its upper bits number the range and the lower 33 the row within it.
+
+    ``order`` should tell all rows apart, or ties meet in one range. The table is written, so places stay as they are.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(rows.withColumn("place", F.monotonically_increasing_id()), name)
+
+
+def _offsets(placed: DataFrame, amount: "F.Column") -> DataFrame:
+    """What lies before each range: one row per range, so the window and the broadcast are bounded by their number."""
+    sums = placed.groupBy(F.shiftright("place", 33).alias("range")).agg(F.sum(amount).alias("amount"))
+    before = F.sum("amount").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    return F.broadcast(sums.select("range", F.coalesce(before, F.lit(0)).alias("offset")))
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """The rows with ``position`` (long, from 0) in the given order (nulls first)."""
+    placed = ranged(df, name, *order)
+    rows = placed.withColumn("range", F.shiftright("place", 33)).join(_offsets(placed, F.lit(1)), "range", "left")
+    position = F.col("offset") + F.col("place").bitwiseAND((1 << 33) - 1)
+    return rows.select(*df.columns, position.alias("position"))
+
+
+def running(df: DataFrame, name: str, amount: str, *order: str) -> DataFrame:
+    """The rows with ``before``, the sum of ``amount`` over all rows ahead in the given order (nulls first)."""
+    placed = ranged(df, name, *order)
+    window = Window.partitionBy("range").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = (placed.withColumn("range", F.shiftright("place", 33))
+            .withColumn("inside", F.coalesce(F.sum(amount).over(window), F.lit(0)))
+            .join(_offsets(placed, F.col(amount)), "range", "left"))
+    return rows.select(*df.columns, (F.col("offset") + F.col("inside")).alias("before"))
+
+
 def id_text() -> "F.Column":
     """doc_id as text; a missing id reads as the empty text."""
     return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
