@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,82 +84,104 @@ def budget_tokens(samples: DataFrame, kept: DataFrame, budget: int = 512, keys:
 TOKENS = "array<struct<step:int,view:int,patch:int>>"
 
 
-def online_tokens(samples: DataFrame, scores: DataFrame, budget: int = 512, keep: int = 2048,
-                  keys: Sequence[str] = ("epis_idx",)) -> DataFrame:
-    """Online mode: at each sample step the tokens kept out of the steps so far.
+#: Lifetimes are cut into spans of so many steps, which are the keys of the interval join.
+SPAN = 64
+
+
+def token_lifetimes(scores: DataFrame, steps: DataFrame, keep: int, keys: Sequence[str] = ("epis_idx",)) -> DataFrame:
+    """(keys, step, view, patch, score, from, to): the steps in [from, to) at which a token is among the ``keep`` best so far.
 
-    Each episode streams through one bounded heap in step order. Blocks of an oversized episode start from
-    the merged heap of the blocks before, so they run on different tasks.
+    A token ends at the first step at which ``keep`` better ones have come. Steps are taken in order, and at each the new
+    tokens are ranked against the ``keep`` best before it, all at once; what falls behind ends there. ``steps`` (keys,
+    step_idx) are those that may be asked for: a token that never ends lasts to the last of them.
+
+    Blocks of an oversized episode start from the ``keep`` best of all earlier blocks and report a token's life block by
+    block, so they run on different tasks.
     """
     keys = list(keys)
-    rows = (scores.select(*keys, "step_idx", F.lit(0).alias("kind"), "view", "patch", "score")
-            .unionByName(samples.select(*keys, "step_idx", F.lit(1).alias("kind"), F.lit(0).alias("view"),
-                                        F.lit(0).alias("patch"), F.lit(0.0).alias("score"))))
-    rows = o.split(rows, keys, "step_idx").withColumn("_at", F.col("step_idx") * 2 + F.col("kind"))
-
-    def add(heap: list, token: tuple) -> None:
-        heapq.heappush(heap, token)
-        if len(heap) > keep:
-            heapq.heappop(heap)
-
-    def tokens_of(pdf: pd.DataFrame) -> Iterator[tuple]:
-        return zip(pdf["score"], pdf["step_idx"], pdf["view"], pdf["patch"])
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heap: list = []
-        for pdf in batches:
-            for seed in pdf["_seed"].dropna():
-                for token in seed:
-                    add(heap, tuple(token))
-            found = []
-            for kind, token in zip(pdf["kind"], tokens_of(pdf)):
-                if not kind:
-                    add(heap, token)
-                    continue
-                chosen = sorted(t[1:] for t in heapq.nlargest(budget, heap))
-                found.append((token[1], [{"step": int(s), "view": int(w), "patch": int(p)} for s, w, p in chosen]))
-            if found:
-                ident = pdf.iloc[0][keys].to_dict()
-                yield pd.DataFrame({**ident, "step_idx": [f[0] for f in found], "tokens": [f[1] for f in found]})
-
-    def summarize(batches):
-        heap, head = [], None
-        for pdf in batches:
-            head = pdf.iloc[:1][[*keys, o.BLOCK]] if head is None else head
-            for token in tokens_of(pdf):
-                add(heap, token)
-        if head is not None:
-            yield head.assign(_top=[[list(map(float, t)) for t in heap]])
-
-    def prefix(batches):
-        heap: list = []
-        for pdf in batches:
-            seeds = []
-            for top in pdf["_top"]:
-                seeds.append([list(t) for t in heap])
-                for token in top:
-                    add(heap, tuple(token))
-            yield pdf[[*keys, o.BLOCK]].assign(_seed=seeds)
-
-    heap_type = "array<array<double>>"
+    rows = (scores.select(*keys, "step_idx", "view", "patch", F.col("score").cast("double").alias("score"))
+            .unionByName(steps.select(*keys, "step_idx").withColumns({
+                "view": F.lit(0), "patch": F.lit(0), "score": F.lit(None).cast("double")})))
+    rows = o.split(rows, keys, "step_idx")
+    entry = ["score", "step_idx", "view", "patch"]
+    seed_type = "array<struct<score:double,step_idx:int,view:int,patch:int>>"
+    parts = o.group_keys(rows, keys)
     if o.is_split(rows):
         rows = cut_lineage(rows)
-        ident = o._ddl(rows, [*keys, o.BLOCK])
-        hot = rows.where(F.col(o.BLOCK).isNotNull() & (F.col("kind") == 0))
-        tops = o._sorted_groups(hot, [*keys, o.BLOCK], "_at", summarize, f"{ident}, _top {heap_type}")
-        # A block without tokens inherits through its neighbours, so every block gets a row.
-        blocks = rows.where(F.col(o.BLOCK).isNotNull()).select(*keys, o.BLOCK).distinct()
-        tops = blocks.join(tops, [*keys, o.BLOCK], "left").withColumn(
-            "_top", F.coalesce("_top", F.array().cast(heap_type)))
-        seeds = o._sorted_groups(tops, keys, o.BLOCK, prefix, f"{ident}, _seed {heap_type}")
-        # Only the first row of a block carries the seed.
-        first = Window.partitionBy(*keys, o.BLOCK).orderBy("_at", "view", "patch")
-        rows = (rows.withColumn("_rn", F.row_number().over(first)).join(seeds, [*keys, o.BLOCK], "left")
-                .withColumn("_seed", F.when(F.col("_rn") == 1, F.col("_seed"))).drop("_rn"))
+        blocks = rows.where(F.col(o.BLOCK).isNotNull())
+        best = Window.partitionBy(*keys, o.BLOCK).orderBy(*[F.col(c).desc() for c in entry])
+        tops = (blocks.where("score IS NOT NULL").withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= keep)
+                .groupBy(*keys, o.BLOCK).agg(F.collect_list(F.struct(*entry)).alias("_seed")))
+        # a block without tokens hands on what came before it, so every block has a row
+        tops = blocks.select(*keys, o.BLOCK).distinct().join(tops, [*keys, o.BLOCK], "left").withColumn(
+            "_seed", F.coalesce("_seed", F.array().cast(seed_type)))
+        seeds = o.over_earlier_blocks(tops, keys, "_seed", lambda a, b: F.slice(F.sort_array(F.concat(a, b), False), 1, keep))
+        # a block's seed comes as rows of its own, ahead of all others
+        first = blocks.groupBy(*keys, o.BLOCK).agg(F.min("step_idx").alias("_at"))
+        seeded = seeds.join(first, [*keys, o.BLOCK]).select(*keys, o.BLOCK, "_at", F.explode("_seed").alias("_t")).select(
+            *keys, o.BLOCK, "_at", F.lit(0).alias("_kind"), *[F.col(f"_t.{c}").alias(c) for c in entry])
+        rows = rows.select(*keys, o.BLOCK, F.col("step_idx").alias("_at"), F.lit(1).alias("_kind"), *entry).unionByName(seeded)
     else:
-        rows = rows.withColumn("_seed", F.lit(None).cast(heap_type))
-    return o._sorted_groups(rows, o.group_keys(rows, keys), "_at", replay,
-                            f"{o._ddl(rows, keys)}, step_idx int, tokens {TOKENS}")
+        rows = rows.select(*keys, F.col("step_idx").alias("_at"), F.lit(1).alias("_kind"), *entry)
+    rows = rows.withColumn("_order", F.col("_at").cast("bigint") * 2 + F.col("_kind"))
+
+    schema = f"{o._ddl(rows, keys)}, score double, step int, view int, patch int, `from` int, `to` int"
+    names = [*keys, "score", "step", "view", "patch", "from", "to"]
+
+    def lives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alive, born, key, last = np.zeros((0, 4)), np.zeros(0, np.int64), None, None
+        for batch, new in o._runs(batches, parts, "_order"):
+            at = batch.column("_at").to_numpy(zero_copy_only=False)
+            tokens = np.stack([pc.fill_null(batch.column(c).cast("float64"), np.nan).to_numpy(zero_copy_only=False)
+                               for c in entry], 1)
+            cuts = np.flatnonzero(new | (np.diff(at, prepend=at[0]) != 0))
+            for a, z in zip([0, *cuts[cuts > 0]], [*cuts[cuts > 0], len(at)]):
+                if new[a]:
+                    if len(alive):
+                        yield piece(key, alive, born, last + 1)
+                    alive, born = alive[:0], born[:0]
+                    key = batch.select(keys).slice(int(a), 1)
+                last = int(at[a])
+                fresh = tokens[a:z][~np.isnan(tokens[a:z, 0])]
+                if not len(fresh):
+                    continue
+                pool, since = np.concatenate([alive, fresh]), np.concatenate([born, np.full(len(fresh), last)])
+                order = np.lexsort(pool.T[::-1])[::-1]
+                out = order[keep:]
+                out = out[since[out] < last]
+                if len(out):
+                    yield piece(key, pool[out], since[out], last)
+                alive, born = pool[order[:keep]], since[order[:keep]]
+        if len(alive):
+            yield piece(key, alive, born, last + 1)
+
+    def piece(key: pa.RecordBatch, tokens: np.ndarray, since: np.ndarray, end: int) -> pa.RecordBatch:
+        n = len(tokens)
+        numbers = [pa.array(tokens[:, i].astype(np.int32)) for i in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays(
+            [*key.take(pa.array(np.zeros(n, np.int64))).columns, pa.array(tokens[:, 0]), *numbers,
+             pa.array(since.astype(np.int32)), pa.array(np.full(n, end, np.int32))], names=names)
+
+    return o._arranged(rows, parts, "_order").mapInArrow(lives, schema)
+
+
+def online_tokens(samples: DataFrame, scores: DataFrame, budget: int = 512, keep: int = 2048,
+                  keys: Sequence[str] = ("epis_idx",)) -> DataFrame:
+    """Online mode: at each sample step the ``budget`` best of the ``keep`` tokens kept out of the steps so far.
+
+    Those are the tokens alive at the step, of which there are at most ``min(budget, keep)``: an interval join of steps and
+    lifetimes on (keys, span of steps), so a task sees a span of an episode and the tokens alive in it.
+    """
+    keys = list(keys)
+    lives = token_lifetimes(scores, samples, min(budget, keep), keys)
+    spans = F.explode(F.sequence(F.floor(F.col("from") / SPAN), F.floor((F.col("to") - 1) / SPAN)))
+    lives = lives.select(*keys, spans.alias("_span"), "from", "to", F.struct("step", "view", "patch").alias("_token"))
+    asked = samples.select(*keys, "step_idx").distinct().withColumn("_span", F.floor(F.col("step_idx") / SPAN))
+    alive = asked.join(lives, [*keys, "_span"]).where((F.col("from") <= F.col("step_idx")) & (F.col("step_idx") < F.col("to")))
+    found = alive.groupBy(*keys, "_span", "step_idx").agg(F.array_sort(F.collect_list("_token")).alias("tokens"))
+    empty = F.array().cast(TOKENS)
+    return (samples.select(*keys, "step_idx").join(found.drop("_span"), [*keys, "step_idx"], "left")
+            .withColumn("tokens", F.coalesce("tokens", empty)))
 
 
 def pool_tokens(x: Column, side: int, target_side: int, how: str = "mean") -> Column:

@@ -15,11 +15,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -235,11 +234,33 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: str | Sequence[str],
     return scan(df, keys, order, {name: running(F.lit(1), inclusive=False)})
 
 
+def over_earlier_blocks(blocks: DataFrame, keys: Sequence[str], column: str,
+                        merge: Callable[[Column, Column], Column]) -> DataFrame:
+    """Replace ``column`` by what all earlier blocks of the group hold together; null in the first block.
+
+    ``blocks`` has one row per (keys, ``_blk``); ``merge(earlier, later)`` must be associative. Blocks are merged by
+    doubling, a join per round on (keys, number), so no task sees more than two values of a group at a time. Rounds are
+    the logarithm of the number of blocks in the largest group; each is checkpointed.
+    """
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(BLOCK)) - 1
+    state = cut_lineage(blocks.select(*keys, BLOCK, number.alias("_number"), column))
+    most = (state.agg(F.max("_number")).first()[0] or 0) + 1
+    reach = 1
+    while reach < most - 1:
+        earlier = state.select(*keys, (F.col("_number") + reach).alias("_number"), F.col(column).alias("_earlier"))
+        merged = F.when(F.col("_earlier").isNull(), F.col(column)).otherwise(merge(F.col("_earlier"), F.col(column)))
+        state = cut_lineage(state.join(earlier, [*keys, "_number"], "left").withColumn(column, merged).drop("_earlier"))
+        reach *= 2
+    moved = state.select(*keys, (F.col("_number") + 1).alias("_number"), column)
+    return state.drop(column).join(moved, [*keys, "_number"], "left").drop("_number")
+
+
 def prefix_list(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str) -> DataFrame:
     """List of the non-null values before each row.
 
-    Within a block the list grows by a window over the block's rows; what earlier blocks hold comes as one list per
-    block, joined on (keys, block). The lists are as long as the history, so the work is linear in the output.
+    Within a block the list grows by a window over the block's rows. What earlier blocks hold is sent to every later
+    block and gathered by (keys, block), so a task holds the history of one block at a time, never a whole oversized
+    group. The lists are as long as the history, so the work is linear in the output.
     """
     df = split(df, keys, order)
     if is_split(df):
@@ -249,12 +270,16 @@ def prefix_list(df: DataFrame, keys: Sequence[str], order: str, value: Column, n
     own = F.collect_list(value).over(window)
     if not is_split(df):
         return df.withColumn(name, own)
-    held = F.filter(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order, value.alias("_v"))))),
-                    lambda x: x.isNotNull())
-    blocks = (df.where(F.col(BLOCK).isNotNull()).groupBy(*keys, BLOCK)
-              .agg(F.transform(held, lambda x: x["_v"]).alias("_held")))
-    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.select(*keys, BLOCK, F.flatten(F.collect_list("_held").over(earlier)).alias("_before"))
+    blocks = df.where(F.col(BLOCK).isNotNull())
+    last = blocks.groupBy(*keys).agg(F.max(BLOCK).alias("_last"))
+    held = F.array_sort(F.collect_list(F.struct(order, value.alias("_v"))))
+    sent = (blocks.where(value.isNotNull()).groupBy(*keys, BLOCK).agg(F.transform(held, lambda x: x["_v"]).alias("_held"))
+            .join(last, list(keys)).where(F.col(BLOCK) < F.col("_last"))
+            .select(*keys, F.explode(F.sequence(F.col(BLOCK) + 1, F.col("_last"))).alias("_to"),
+                    F.struct(F.col(BLOCK).alias("from"), F.col("_held").alias("held")).alias("_part")))
+    gathered = F.array_sort(F.collect_list("_part"))
+    before = sent.groupBy(*keys, F.col("_to").alias(BLOCK)).agg(
+        F.flatten(F.transform(gathered, lambda x: x["held"])).alias("_before"))
     listed = df.withColumn(name, own).join(before, parts, "left")
     return listed.withColumn(name, F.when(F.col("_before").isNull(), F.col(name)).otherwise(
         F.concat("_before", name))).drop("_before").select(*df.columns, name)
@@ -325,67 +350,114 @@ def quantile_bucket(df: DataFrame, columns: Sequence[str]) -> Column:
     return _reached(F.struct(*columns), borders, buckets)
 
 
+def _begins(batch: pa.RecordBatch, keys: Sequence[str], before: dict | None) -> np.ndarray:
+    """True at rows that begin a group; ``before`` is the row ahead of the batch."""
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = before is None or any(batch.column(k)[0].as_py() != before[k] for k in keys)
+    for k in keys:
+        later, earlier = batch.column(k).slice(1), batch.column(k).slice(0, batch.num_rows - 1)
+        differ = pc.fill_null(pc.not_equal(later, earlier), False).to_numpy(zero_copy_only=False)
+        null = pc.xor(pc.is_null(later), pc.is_null(earlier)).to_numpy(zero_copy_only=False)
+        new[1:] |= differ | null
+    return new
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str], order: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of a sorted partition and where groups begin in them; rows out of order raise."""
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = _begins(batch, keys, before)
+        at = batch.column(order).to_numpy(zero_copy_only=False)
+        ahead = at[:1] if before is None else np.array([before[order]], at.dtype)
+        if (np.diff(at, prepend=ahead) < 0)[~new].any():
+            raise ValueError(f"rows arrived out of {order} order")
+        before = batch.slice(batch.num_rows - 1).to_pylist()[0]
+        yield batch, new
+
+
+def composed(moves: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where each state leads from the first row of a row's run through the row itself: a segmented scan by doubling.
+
+    ``moves`` is (rows, states). A run starts at the first row and wherever ``begins`` is true.
+    """
+    rows = np.arange(len(moves))
+    at = rows - np.maximum.accumulate(np.where(begins, rows, 0))
+    maps, reach = moves.copy(), 1
+    while reach <= at.max():
+        later = np.flatnonzero(at >= reach)
+        maps[later] = np.take_along_axis(maps[later], maps[later - reach], axis=1)
+        reach *= 2
+    return maps
+
+
 def finite_scan(df: DataFrame, keys: Sequence[str], order: str, states: int, start: int, moves: Column,
                 name: str) -> DataFrame:
     """Entry state of a finite-state machine at each row, for groups of any size.
 
-    ``moves`` is an array of ``states`` next states, indexed by the current state. A block's effect is the
-    composition of its rows' arrays, so the blocks of an oversized group are evaluated independently and
-    only their ``states``-long compositions are combined in order. Rows stream through in Arrow batches, so
-    no group is held in memory; pass a narrow frame.
+    ``moves`` is an array of ``states`` next states, indexed by the current state. Moves compose associatively, so an
+    Arrow batch of a sorted partition is scanned by doubling over all its groups at once, and carries one state on. The
+    blocks of an oversized group are evaluated independently, and their ``states``-long compositions are combined by
+    doubling too. No group is held in memory; pass a narrow frame.
     """
-    keys = list(keys)
-    df = split(df, keys, order).withColumn("_moves", moves)
-    block_keys = [*keys, BLOCK]
-
-    def compose(batches):
-        result, head = np.arange(states), None
-        for pdf in batches:
-            head = pdf.iloc[:1][block_keys] if head is None else head
-            for move in pdf["_moves"]:
-                result = move[result]
-        if head is not None:
-            yield head.assign(_map=[result.tolist()])
-
-    def enter(batches):
+    keys, steps = list(keys), [f"_move{s}" for s in range(states)]
+    df = split(df, keys, order)
+    kept = list(df.columns)
+    df = df.withColumn("_moves", moves).select(*kept, *[F.col("_moves")[s].cast("int").alias(m) for s, m in enumerate(steps)])
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([batch.column(m).to_numpy(zero_copy_only=False) for m in steps], 1).astype(np.int64)
+
+    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ident = None, None
+        for batch, new in _runs(batches, [*keys, BLOCK], order):
+            maps = composed(matrix(batch), new)
+            ends = np.append(np.flatnonzero(new[1:]), batch.num_rows - 1)
+            found = maps[ends]
+            if not new[0]:
+                found[0] = found[0][held]
+            elif held is not None:
+                yield with_map(ident, [held])
+            ident, held = batch.select([*keys, BLOCK]).slice(batch.num_rows - 1), found[-1]
+            if len(ends) > 1:
+                yield with_map(batch.select([*keys, BLOCK]).take(pa.array(ends[:-1])), found[:-1])
+        if held is not None:
+            yield with_map(ident, [held])
+
+    def with_map(ident: pa.RecordBatch, maps: Sequence[np.ndarray]) -> pa.RecordBatch:
+        maps = pa.array([m.tolist() for m in maps], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([*ident.columns, maps], names=[*ident.schema.names, "_map"])
+
+    def replay(parts: Sequence[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = start
-        for pdf in batches:
-            seen = []
-            for move in pdf["_map"]:
-                seen.append(state)
-                state = int(move[state])
-            yield pdf[block_keys].assign(_entry=seen)
-
-    def replay(parts, batches):
-        # Row by row over whole batches: a group costs nothing of its own.
-        current, state, previous = None, start, None
-        for pdf in batches:
-            marks, moves = _group_marks(pdf, parts), np.stack(pdf["_moves"].to_numpy()).tolist()
-            seen = []
-            for mark, entry, at, move in zip(marks, pdf["_entry"].tolist(), pdf[order].tolist(), moves):
-                if mark != current:
-                    current, state = mark, start if pd.isna(entry) else int(entry)
-                elif at < previous:
-                    raise ValueError(f"rows arrived out of {order} order")
-                previous = at
-                seen.append(state)
-                state = move[state]
-            yield pdf.drop(columns=["_moves", "_entry"]).assign(**{name: seen})
+        for batch, new in _runs(batches, parts, order):
+            rows = np.arange(batch.num_rows)
+            maps = composed(matrix(batch), new)
+            first = np.maximum.accumulate(np.where(new, rows, 0))
+            entry = pc.fill_null(batch.column("_entry"), start).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not new[0]:
+                entry[0] = state
+            entry = entry[first]
+            seen = np.where(rows == first, entry, maps[rows - 1, entry])
+            state = int(maps[-1, entry[-1]])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(seen, pa.int32())], names=[*kept, name])
 
     if is_split(df):
         df = cut_lineage(df)
-        ident = _ddl(df, block_keys)
-        hot = df.where(F.col(BLOCK).isNotNull()).select(*block_keys, order, "_moves")
-        effects = _sorted_groups(hot, block_keys, order, compose, f"{ident}, _map array<bigint>")
-        entry = _sorted_groups(effects, keys, BLOCK, enter, f"{ident}, _entry int")
-        marked = df.join(F.broadcast(entry), block_keys, "left")
+        hot = df.where(F.col(BLOCK).isNotNull()).select(*keys, BLOCK, order, *steps)
+        ident = _ddl(df, [*keys, BLOCK])
+        maps = _arranged(hot, [*keys, BLOCK], order).mapInArrow(effects, f"{ident}, _map array<int>")
+        entered = over_earlier_blocks(maps, keys, "_map", lambda a, b: F.transform(a, lambda x: F.element_at(b, x + 1)))
+        entry = entered.select(*keys, BLOCK, F.element_at("_map", start + 1).alias("_entry"))
+        # one row per block of an oversized group, at most 2 * MAX_SPLITS
+        marked = df.join(F.broadcast(entry), [*keys, BLOCK], "left").select(*kept, *steps, "_entry")
     else:
         marked = df.withColumn("_entry", F.lit(None).cast("int"))
-    kept = [c for c in marked.columns if c not in ("_moves", "_entry")]
     parts = group_keys(df, keys)
-    out = _arranged(marked, parts, order).mapInPandas(lambda batches: replay(parts, batches),
-                                                      f"{_ddl(marked, kept)}, `{name}` int")
-    if BLOCK in df.columns and not is_split(df):
+    out = _arranged(marked, parts, order).mapInArrow(lambda batches: replay(parts, batches),
+                                                     f"{_ddl(marked, kept)}, `{name}` int")
+    if not is_split(df):
         out = out.withColumn(BLOCK, F.lit(None).cast("int").alias(BLOCK, metadata=WHOLE))
     return out
 
@@ -397,36 +469,3 @@ def _ddl(df: DataFrame, names: Sequence[str]) -> str:
 def _arranged(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """All rows of a group in one partition, contiguous and in order."""
     return df.repartition(*keys).sortWithinPartitions(*keys, order)
-
-
-def _group_marks(pdf: pd.DataFrame, keys: Sequence[str]) -> list[tuple]:
-    columns = [pdf[k].astype(object).where(pdf[k].notna(), None).tolist() for k in keys]
-    return list(zip(*columns))
-
-
-def _sorted_groups(df: DataFrame, keys: Sequence[str], order: str, fn, schema: str) -> DataFrame:
-    """Apply a function of an iterator of frames to each group, rows in order.
-
-    Groups are cut out of the Arrow batches of a sorted partition, so a small group needs no batch of its
-    own and a large one is never held whole.
-    """
-    def pieces(batches: Iterator[pd.DataFrame]):
-        previous = None
-        for pdf in batches:
-            marks, values = _group_marks(pdf, keys), pdf[order].tolist()
-            first = 0
-            for i, mark in enumerate(marks):
-                if previous is not None and previous[0] == mark and values[i] < previous[1]:
-                    raise ValueError(f"rows arrived out of {order} order")
-                if i and mark != marks[i - 1]:
-                    yield marks[first], pdf.iloc[first:i]
-                    first = i
-                previous = (mark, values[i])
-            if len(pdf):
-                yield marks[first], pdf.iloc[first:]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, parts in groupby(pieces(batches), key=itemgetter(0)):
-            yield from fn(part for _, part in parts)
-
-    return _arranged(df, keys, order).mapInPandas(run, schema)
