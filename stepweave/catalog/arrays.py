@@ -167,14 +167,41 @@ def arr11(spark, sf):
                       F.col("g.right").alias("rgt"))
 
 
-@query("arr11_letterbox_pixels", """
-SELECT vec_id, 48 AS size, round(embedding[1]::DOUBLE, 5) AS corner, -1.0::DOUBLE AS padding FROM embeddings""")
+def resized_sql(size: int, target: int, name: str) -> str:
+    """Interpolation weights of ``target`` points out of ``size``: (o, i, w)."""
+    scale = target / size
+    reach = max(1.0, 1.0 / scale)
+    return (f"{name} AS (SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, i, "
+            f"1.0::DOUBLE - abs((o + 0.5::DOUBLE) / {scale}::DOUBLE - 0.5::DOUBLE - i) / {reach}::DOUBLE AS w "
+            f"FROM range({target}) a(o), range({size}) b(i)) WHERE w > 0)")
+
+
+def letterbox_sql(height: int, width: int) -> str:
+    """Embeddings as 8 x 8 images in a frame: (vec_id, pos, value)."""
+    h, w = images.fitted(8, 8, height, width)
+    top, left = (height - h) // 2, (width - w) // 2
+    return f"""{resized_sql(8, h, 'wy')}, {resized_sql(8, w, 'wx')},
+inside AS (SELECT vec_id, (y.o + {top}) * {width} + x.o + {left} AS pos,
+    greatest(-1.0, least(1.0, sum(y.w * x.w * embedding[y.i * 8 + x.i + 1]::DOUBLE))) AS value
+  FROM embeddings, wy y, wx x GROUP BY vec_id, y.o, x.o),
+framed AS (SELECT e.vec_id, p.pos::INT AS pos, coalesce(value, -1.0) AS value
+  FROM embeddings e CROSS JOIN range({height * width}) p(pos) LEFT JOIN inside i ON i.vec_id = e.vec_id AND i.pos = p.pos)"""
+
+
+def letterboxed(spark, sf, height, width):
+    rows = views.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("pixels"))
+    out = images.letterbox(rows, "pixels", (8, 8, 1), height, width)
+    return out.select("vec_id", F.posexplode("pixels").alias("pos", "value")).select("vec_id", "pos", F.round("value", 6).alias("value"))
+
+
+@query("arr11_letterbox_pixels", f"WITH {letterbox_sql(5, 12)} SELECT vec_id, pos, round(value, 6) AS value FROM framed")
 def arr11_pixels(spark, sf):
-    # A constant image keeps its value under any resampling; the bars left and right are the padding.
-    flat = views.table(spark, sf, "embeddings").select("vec_id", F.array_repeat(F.get("embedding", F.lit(0)), 64).alias("pixels"))
-    out = images.letterbox(flat, "pixels", (8, 8, 1), 4, 12)
-    return out.select("vec_id", F.size("pixels").alias("size"), F.round(F.get("pixels", F.lit(4)).cast("double"), 5).alias("corner"),
-                      F.get("pixels", F.lit(3)).cast("double").alias("padding"))
+    return letterboxed(spark, sf, 5, 12)
+
+
+@query("arr11_enlarged_pixels", f"WITH {letterbox_sql(14, 11)} SELECT vec_id, pos, round(value, 6) AS value FROM framed")
+def arr11_enlarged(spark, sf):
+    return letterboxed(spark, sf, 14, 11)
 
 
 @query("arr12_jittered_boxes", f"""WITH {STEPS},

@@ -91,6 +91,53 @@ def stm03_histogram(spark, sf):
         return run.run_complete(live.running_histogram(run.replay(spark, f"{folder}/in"), "x", 0.02, 40.0, 8), folder)
 
 
+def widening_sql(rows: str, key: str) -> str:
+    """q01 and q99 of (key, dim, x) rows by bins of a power of two that follow from the range."""
+    return f"""wv AS ({rows}),
+we AS (SELECT {key}, greatest(CASE WHEN hi > lo THEN ceil(round(log2((hi - lo) / {stats.WIDENING_BINS}.0), 9)) END,
+         CASE WHEN size > 0 THEN floor(round(log2(size), 9)) - 50 END, {stats.LEAST_EXPONENT})::INT AS e, lo, n FROM (
+  SELECT {key}, min(x) AS lo, max(x) AS hi, greatest(abs(min(x)), abs(max(x))) AS size, count(*) AS n FROM wv GROUP BY {key})),
+wb AS (SELECT {key}, e, lo, n, floor(x * pow(2.0, -e)) AS bin, count(*) AS c FROM wv JOIN we USING ({key}) GROUP BY ALL),
+wc AS (SELECT *, sum(c) OVER (PARTITION BY {key} ORDER BY bin) AS cum FROM wb)
+SELECT {key}, max(n)::BIGINT AS count, round(min(greatest(lo, bin * pow(2.0, e))) FILTER (WHERE cum >= 0.01 * n), 6) AS q01,
+       round(min(greatest(lo, bin * pow(2.0, e))) FILTER (WHERE cum >= 0.99 * n), 6) AS q99 FROM wc GROUP BY {key}"""
+
+
+MIXED = "[l_quantity, l_extendedprice, -l_discount * l_extendedprice, l_tax]"
+
+
+def mixed_vectors(spark, sf):
+    return views.table(spark, sf, "lineitem").select("l_orderkey", F.array(
+        "l_quantity", "l_extendedprice", -F.col("l_discount") * F.col("l_extendedprice"), "l_tax").alias("x"))
+
+
+def shown_quantiles(df):
+    return df.withColumns({q: F.round(q, 6) for q in ("q01", "q99")})
+
+
+@query("agg03_merged_quantiles", "WITH " + widening_sql(
+    f"SELECT unnest(range(4))::INT AS dim, unnest({MIXED}) AS x FROM lineitem", "dim"))
+def agg03_quantiles(spark, sf):
+    rows = mixed_vectors(spark, sf)
+    price = F.get("x", F.lit(1))
+    # parts of very different ranges, merged two by two
+    parts = [stats.widening_histogram(rows.where(c), "x") for c in (
+        price < 2000, (price >= 2000) & (price < 30000), price >= 30000)]
+    state = stats.merge_histograms(stats.merge_histograms(parts[2], parts[0]), parts[1])
+    return shown_quantiles(stats.histogram_quantiles(state))
+
+
+@query("stm03_running_quantiles", f"""WITH r AS (SELECT min(l_orderkey)::DOUBLE AS lo, max(l_orderkey)::DOUBLE AS hi FROM lineitem),
+s AS (SELECT least(floor((l_orderkey::DOUBLE - lo) / ((hi - lo) / {SLICES})), {SLICES - 1})::INT AS slice, {MIXED} AS v FROM lineitem, r),
+""" + widening_sql(f"""SELECT as_of::INT AS as_of, unnest(range(4))::INT AS dim, unnest(v) AS x
+  FROM s JOIN range({SLICES}) a(as_of) ON slice <= as_of""", "as_of, dim"))
+def stm03_quantiles(spark, sf):
+    folder = work_dir(spark)
+    run.write_slices(mixed_vectors(spark, sf), F.col("l_orderkey"), f"{folder}/in", SLICES)
+    with few_partitions(spark):
+        return shown_quantiles(live.running_quantiles(run.replay(spark, f"{folder}/in"), "x", folder))
+
+
 @query("agg10_kept_tokens", f"""WITH {KEPT_SQL},
 c AS (SELECT epis_idx, count(*) AS kept_tokens FROM v_kept GROUP BY epis_idx)
 SELECT epis_idx, count(*) AS timesteps, 0 AS exec_start, coalesce(any_value(kept_tokens), 0) AS kept_tokens
@@ -121,7 +168,7 @@ def join06_between(spark, sf):
 
 
 STREAM_RECUR = RECUR.replace("(SELECT *, epis_idx * 3 AS e FROM v_frames)",
-                             "(SELECT epis_idx, step_idx, epis_idx % 5 AS e FROM v_steps)")
+                             "(SELECT epis_idx, step_idx, least(epis_idx % 5, step_idx) AS e FROM v_steps)")
 
 
 @query("stm02_recurrent", f"""WITH {STEPS}, {STREAM_RECUR}
@@ -132,7 +179,7 @@ def stm02_recurrent(spark, sf):
         run.use_state_store(spark)
         out = run.run_to_table(live.online_selection(event_stream(spark, sf, folder), "recurrent", horizon=4, max_steps=8,
                                                      max_video=5), folder)
-    return out.where("step_idx >= exec_start").select("epis_idx", "step_idx", F.array_join(
+    return out.select("epis_idx", "step_idx", F.array_join(
         F.transform("indices", lambda i: i.cast("string")), ",").alias("steps"))
 
 

@@ -117,5 +117,5 @@ def snk05(spark, sf):
     run.write_slices(rows, F.col("event_id"), f"{folder}/in", SLICES)
     sink = sinks.record_sink(run.replay(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint",
                              ["user_id", "value"], ["event_type"], step="event_id")
-    sink.trigger(availableNow=True).start().awaitTermination()
+    run.run_appends(sink.trigger(availableNow=True).start, spark, folder)
     return spark.read.parquet(f"{folder}/out").drop("batch")

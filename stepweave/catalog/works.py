@@ -76,10 +76,11 @@ def chat_rows(spark, sf):
     return jobs.build_chat_single(grounded_steps(spark, sf), sentinel=SENTINEL, noise_seed=None, stride=1, slow_stride=2)
 
 
-@query("str10_single_image_records", f"WITH {STEPS}, {CHAT} SELECT epis_idx, step_idx, kind, user_text, answer, boxes FROM v_chat")
+@query("str10_single_image_records", f"""WITH {STEPS}, {CHAT}
+SELECT epis_idx, step_idx, unnest(range(duplicates + 1))::INT AS copy, kind, user_text, answer, boxes FROM v_chat""")
 def str10(spark, sf):
-    out = chat_rows(spark, sf).where("copy = 0")
-    return out.select("epis_idx", "step_idx", "kind", F.md5(F.get("messages", F.lit(1))["content"]).alias("user_text"),
+    out = chat_rows(spark, sf)
+    return out.select("epis_idx", "step_idx", "copy", "kind", F.md5(F.get("messages", F.lit(1))["content"]).alias("user_text"),
                       F.get("messages", F.lit(2))["content"].alias("answer"), F.size("objects.bbox").alias("boxes"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.functions.vectors import mask_right, pad_right
+from stepweave.session import with_package
 
 Tokenizer = Callable[[Sequence[str]], list[list[int]]]
 
@@ -32,14 +33,14 @@ def token_ids(column: Column, tokenizer: Tokenizer) -> Column:
 
 def with_tokens(df: DataFrame, column: str, tokenizer: Tokenizer, max_len: int, name: str) -> DataFrame:
     """``name`` (ids cut or zero-padded to max_len) and ``name_mask``."""
-    ids = df.withColumn("_ids", token_ids(F.col(column), tokenizer))
+    ids = with_package(df).withColumn("_ids", token_ids(F.col(column), tokenizer))
     return ids.withColumns({name: pad_right(F.col("_ids"), max_len, F.lit(0)),
                             f"{name}_mask": mask_right(F.size("_ids"), max_len)}).drop("_ids")
 
 
 def with_prefix_postfix(df: DataFrame, prefix: str, postfix: str, tokenizer: Tokenizer, max_len: int) -> DataFrame:
     """Prefix and postfix tokens with three masks: token, autoregressive (1 on postfix), loss (true on postfix)."""
-    ids = df.withColumns({"_a": token_ids(F.col(prefix), tokenizer), "_b": token_ids(F.col(postfix), tokenizer)})
+    ids = with_package(df).withColumns({"_a": token_ids(F.col(prefix), tokenizer), "_b": token_ids(F.col(postfix), tokenizer)})
     n, a = F.size("_a") + F.size("_b"), F.size("_a")
     slots = F.sequence(F.lit(0), F.lit(max_len - 1))
     on_postfix = F.transform(slots, lambda i: (i >= a) & (i < n))

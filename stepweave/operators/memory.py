@@ -16,7 +16,7 @@ from stepweave.functions import vectors as v
 from stepweave.functions.indices import even_indices, recurrent_indices
 from stepweave.operators import ordered as o
 from stepweave.operators.joins import gather_history
-from stepweave.session import cut_lineage
+from stepweave.session import cut_lineage, with_package
 
 GRID = 8
 FIRST_SCORE = 1000.0
@@ -242,7 +242,7 @@ def with_encoder(df: DataFrame, encoder: Encoder, pixels: str = "pixels", name:
                 out = encoder(np.stack(part[pixels].to_numpy()))
                 yield part.assign(**{name: [[p.tolist() for p in image] for image in np.asarray(out, dtype="float32")]})
 
-    return df.mapInPandas(run, schema)
+    return with_package(df).mapInPandas(run, schema)
 
 
 def identity_encoder(images: np.ndarray) -> np.ndarray:

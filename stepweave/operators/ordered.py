@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from stepweave.session import cut_lineage
+from stepweave.session import cut_lineage, with_package
 
 BLOCK = "_blk"
 SPLIT_ROWS = "spark.stepweave.splitRows"
@@ -467,5 +467,5 @@ def _ddl(df: DataFrame, names: Sequence[str]) -> str:
 
 
 def _arranged(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """All rows of a group in one partition, contiguous and in order."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, order)
+    """All rows of a group in one partition, contiguous and in order, for a Python function."""
+    return with_package(df).repartition(*keys).sortWithinPartitions(*keys, order)

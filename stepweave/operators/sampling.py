@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,92 @@ def shuffle(df: DataFrame, seed: int, key: str, rank: str = "rank") -> DataFrame
     return o.number_all(hashed, bucket, ["_h", key], {rank: F.lit(1)}).drop("_h")
 
 
+# A keyed permutation of row numbers: ranks are computed, not sorted for.
+
+ROUNDS = 6
+
+
+def _sides(n: int) -> tuple[int, int]:
+    """Sides of a rectangle that holds ``n`` numbers and few more."""
+    side = math.isqrt(max(n - 1, 0)) + 1
+    return min(((-(-n // b), b) for b in range(side, side + 4096)), key=lambda s: s[0] * s[1])
+
+
+def _turned(x: Column, n: int, key: str, back: bool) -> Column:
+    """One pass of Feistel rounds over the rectangle, or its inverse."""
+    a, b = _sides(n)
+    sign = -1 if back else 1
+
+    def turn(acc: Column, k: Column) -> Column:
+        other = F.when(k % 2 == 0, acc["r"]).otherwise(acc["l"])
+        drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(key), k.cast("string"), other.cast("string"))), 1, 15), 16, 10)
+        drawn = drawn.cast("bigint")
+        return F.struct(F.when(k % 2 == 0, F.pmod(acc["l"] + sign * (drawn % a), F.lit(a))).otherwise(acc["l"]).alias("l"),
+                        F.when(k % 2 == 1, F.pmod(acc["r"] + sign * (drawn % b), F.lit(b))).otherwise(acc["r"]).alias("r"))
+
+    order = range(ROUNDS)[::-1] if back else range(ROUNDS)
+    start = F.struct(F.floor(x / F.lit(b)).cast("bigint").alias("l"), F.pmod(x, F.lit(b)).cast("bigint").alias("r"))
+    return F.aggregate(F.array(*[F.lit(k) for k in order]), start, turn, lambda acc: acc["l"] * b + acc["r"])
+
+
+def _walked(x: Column, n: int, key: str, back: bool) -> Column:
+    """Passes until the number lies below ``n``; only as many numbers as lie above can be met on the way."""
+    a, b = _sides(n)
+    once = _turned(x.cast("bigint"), n, key, back)
+    if a * b == n:
+        return once
+    return F.aggregate(F.sequence(F.lit(1), F.lit(a * b - n)), once,
+                       lambda acc, _: F.when(acc < n, acc).otherwise(_turned(acc, n, key, back)))
+
+
+def permuted(index: Column, n: int, seed: int, epoch: int = 0) -> Column:
+    """Rank of a row number in 0..n-1 in the epoch's permutation: a keyed bijection, so nothing is sorted or shuffled."""
+    return _walked(index, n, f"{seed}.{epoch}", False)
+
+
+def unpermuted(rank: Column, n: int, seed: int, epoch: int = 0) -> Column:
+    """Row number of a rank."""
+    return _walked(rank, n, f"{seed}.{epoch}", True)
+
+
+def epoch_batches(df: DataFrame, index: str, n: int, size: int, seed: int, epoch: int = 0, workers: int = 1,
+                  worker: int = 0) -> DataFrame:
+    """``rank``, ``batch`` and ``slot`` of the rows of one worker in an epoch, computed row by row.
+
+    ``index`` numbers the rows of ``df`` from 0 to n - 1. A worker takes every ``workers``-th rank; the tails of shards and
+    of batches are dropped, and a dataset smaller than a batch raises.
+    """
+    own = n // workers
+    if own < size:
+        raise ValueError("dataset is smaller than one batch")
+    ranked = df.withColumn("rank", permuted(F.col(index), n, seed, epoch))
+    at = F.floor(F.col("rank") / workers)
+    mine = ranked.where((F.col("rank") % workers == worker) & (F.col("rank") < own * workers) & (at < own // size * size))
+    return mine.withColumns({"batch": F.floor(at / size).cast("bigint"), "slot": (at % size).cast("int")})
+
+
+def resumed(spark: SparkSession, n: int, size: int, seed: int, cursor: int, count: int, index: str = "index") -> DataFrame:
+    """The next ``count`` batches behind a cursor, the number of batches delivered before: (draw, epoch, slot, index).
+
+    Row numbers follow from ranks by the inverse permutation; past the end of an epoch the next one begins. Join the result
+    with a table by ``index`` to fetch the rows.
+    """
+    each = n // size
+    if not each:
+        raise ValueError("dataset is smaller than one batch")
+    parts = []
+    for epoch in range(cursor // each, (cursor + count - 1) // each + 1):
+        first, last = max(cursor, epoch * each), min(cursor + count, (epoch + 1) * each)
+        ranks = spark.range((first - epoch * each) * size, (last - epoch * each) * size).withColumnRenamed("id", "rank")
+        parts.append(ranks.select((F.floor(F.col("rank") / size) + epoch * each).alias("draw"), F.lit(epoch).alias("epoch"),
+                                  (F.col("rank") % size).cast("int").alias("slot"),
+                                  unpermuted(F.col("rank"), n, seed, epoch).alias(index)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def batches(df: DataFrame, size: int, rank: str = "rank") -> DataFrame:
     """``batch`` and ``slot`` of ranked rows; the incomplete last batch is dropped, too few rows raise."""
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from stepweave.functions import text
 from stepweave.functions.vectors import decode_state, encode_actions_inv, keep_dims
+from stepweave.session import with_package
 
 SEP = "/"
 
@@ -284,4 +285,4 @@ def python_rows(fn: Callable[[dict], dict], schema: T.StructType | str) -> Trans
         for pdf in frames:
             yield pd.DataFrame([fn(r) for r in pdf.to_dict("records")])
 
-    return lambda df: df.mapInPandas(batches, schema)
+    return lambda df: with_package(df).mapInPandas(batches, schema)

@@ -106,6 +106,62 @@ def bin_of(x: Column, lo: float, hi: float, bins: int) -> Column:
     return F.when(x < lo, F.lit(-1)).when(x > hi, F.lit(bins)).otherwise(inner)
 
 
+# Histograms whose bins widen with the range. Bin k of exponent e holds [k * 2**e, (k + 1) * 2**e), so two bins of one
+# exponent are exactly one bin of the next, and states of any ranges merge without splitting a bin.
+
+WIDENING_BINS = 8192
+LEAST_EXPONENT = -900
+
+
+def bin_exponent(lo: Column, hi: Column, bins: int = WIDENING_BINS) -> Column:
+    """Least exponent at which the range needs about ``bins`` bins, and bin numbers are exact in a double."""
+    by_width = F.when(hi > lo, F.ceil(F.round(F.log2((hi - lo) / F.lit(float(bins))), 9)))
+    size = F.greatest(F.abs(lo), F.abs(hi))
+    by_size = F.when(size > 0, F.floor(F.round(F.log2(size), 9)) - 50)
+    return F.greatest(by_width, by_size, F.lit(LEAST_EXPONENT)).cast("int")
+
+
+def widening_histogram(df: DataFrame, column: str, bins: int = WIDENING_BINS) -> DataFrame:
+    """Mergeable state (dim, exponent, bin, count, lo, hi) of the vectors: at most about ``bins`` rows per dimension.
+
+    Two passes over these rows, range and counts; what is merged later is never read again. The range table has one row
+    per dimension of a vector and is broadcast.
+    """
+    cells = _exploded(df, column).where("x IS NOT NULL")
+    ends = cells.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    ends = ends.withColumn("exponent", bin_exponent(F.col("lo"), F.col("hi"), bins))
+    number = F.floor(F.col("x") * F.pow(F.lit(2.0), -F.col("exponent"))).cast("bigint")
+    return (cells.join(F.broadcast(ends), "dim").groupBy("dim", "exponent", number.alias("bin"))
+            .agg(F.count(F.lit(1)).alias("count"), F.first("lo").alias("lo"), F.first("hi").alias("hi")))
+
+
+def merge_histograms(*parts: DataFrame, bins: int = WIDENING_BINS) -> DataFrame:
+    """One state of several: their bins are widened to the exponent of the common range and added up.
+
+    The result does not depend on how rows were dealt to the parts, nor on the order of merges.
+    """
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    ends = rows.groupBy("dim").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ends = ends.withColumn("wide", bin_exponent(F.col("lo"), F.col("hi"), bins))
+    number = F.floor(F.col("bin") * F.pow(F.lit(2.0), F.col("exponent") - F.col("wide"))).cast("bigint")
+    return (rows.drop("lo", "hi").join(F.broadcast(ends), "dim").groupBy("dim", F.col("wide").alias("exponent"), number.alias("bin"))
+            .agg(F.sum("count").alias("count"), F.first("lo").alias("lo"), F.first("hi").alias("hi")))
+
+
+def histogram_quantiles(state: DataFrame, qs: Sequence[float] = (0.01, 0.99)) -> DataFrame:
+    """Per dimension ``count`` and, per quantile, the left edge of the first bin whose cumulative count reaches q * count,
+    but not under the least value."""
+    names = [f"q{round(q * 100):02d}" for q in qs]
+    upto = Window.partitionBy("dim").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    whole = F.sum("count").over(Window.partitionBy("dim"))
+    reached = state.withColumn("cum", F.sum("count").over(upto)).withColumn("n", whole)
+    edge = F.greatest(F.col("lo"), F.col("bin") * F.pow(F.lit(2.0), F.col("exponent")))
+    return reached.groupBy("dim").agg(
+        F.first("n").alias("count"), *[F.min(F.when(F.col("cum") >= q * F.col("n"), edge)).alias(n) for q, n in zip(qs, names)])
+
+
 def masked_mean(df: DataFrame, values: str, mask: str, leading: bool = False) -> DataFrame:
     """Mean per position over rows whose mask is true; 0 when none. ``leading`` averages an outer axis first."""
     x = F.col(values)

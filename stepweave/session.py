@@ -62,9 +62,17 @@ def ship_package(spark: SparkSession) -> None:
     stream.write(held.getvalue())
     stream.close()
     context.addPyFile(place.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(place).toString())
+    # streams with state start one Python process beside the driver, which sees no added file
+    context.environment.setdefault("PYTHONPATH", os.path.dirname(root))
     context._stepweave_shipped = True
 
 
+def with_package(df: DataFrame) -> DataFrame:
+    """The frame, after the package was sent to the executors: for operators that run Python functions."""
+    ship_package(df.sparkSession)
+    return df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives the loss of executors."""
     context = df.sparkSession.sparkContext

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from stepweave.functions.indices import even_indices, recurrent_indices
 from stepweave.operators.memory import FIRST_SCORE, MIN_SCORE
-from stepweave.operators.stats import _exploded, fixed_histogram
+from stepweave.operators.stats import (WIDENING_BINS, _exploded, fixed_histogram, histogram_quantiles, merge_histograms,
+                                       widening_histogram)
+from stepweave.session import with_package
+from stepweave.streaming.run import run_folds
 
 # Progress of an episode: newest step and first execution step.
 PROGRESS = "last int, exec_start int"
@@ -62,7 +65,7 @@ def episode_memory(stream: DataFrame, key: str = "epis_idx") -> DataFrame:
             pass
 
     schema = f"`{key}` {kind}, seq {seq}, step_idx int, exec_start int, newest boolean"
-    return stream.groupBy(key).transformWithStateInPandas(
+    return with_package(stream).groupBy(key).transformWithStateInPandas(
         statefulProcessor=Memory(), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
@@ -79,7 +82,9 @@ def online_selection(stream: DataFrame, mode: str = "frames", key: str = "epis_i
     if mode == "frames":
         chosen = even_indices(F.col("step_idx"), budget)
     elif mode == "recurrent":
-        chosen = recurrent_indices(F.col("step_idx"), F.col("exec_start"), horizon, max_steps, max_video)
+        # a step of the demonstration is its own start, so that no later step is asked for
+        start = F.least("exec_start", "step_idx")
+        chosen = recurrent_indices(F.col("step_idx"), start, horizon, max_steps, max_video)
     else:
         raise ValueError(f"unknown mode {mode}")
     return newest.withColumn("indices", chosen)
@@ -97,6 +102,20 @@ def running_histogram(stream: DataFrame, column: str, lo: float, hi: float, bins
     return fixed_histogram(stream, column, lo, hi, bins)
 
 
+def running_quantiles(stream: DataFrame, column: str, folder: str, bins: int = WIDENING_BINS) -> DataFrame:
+    """Per dimension the quantiles of all vectors after each micro-batch (``as_of``), from a histogram that widens with the
+    range. A micro-batch is counted by one aggregation, its state of a few thousand rows is merged with the one before."""
+    states = run_folds(stream, folder, lambda batch, before: merge_histograms(
+        *([] if before is None else [before]), widening_histogram(batch, column, bins), bins=bins))
+    return each_quantiles(states)
+
+
+def each_quantiles(states: DataFrame) -> DataFrame:
+    """Quantiles of every version of a state."""
+    keyed = states.withColumn("dim", F.struct("as_of", "dim"))
+    return histogram_quantiles(keyed).select("dim.as_of", "dim.dim", "count", "q01", "q99")
+
+
 def merge_tokens(kept: np.ndarray, steps: np.ndarray, pixels: np.ndarray, previous: np.ndarray | None, stride: int,
                  keep: int) -> tuple[np.ndarray, np.ndarray | None]:
     """Kept tokens (score, step, view, patch) with those of new frames, and the frame that the next is scored against.
@@ -157,7 +176,7 @@ def running_top_tokens(stream: DataFrame, keep: int = 2048, stride: int = 8, key
             pass
 
     schema = f"`{key}` {kind}, as_of int, step_idx int, view int, patch int, score double"
-    return stream.groupBy(key).transformWithStateInPandas(
+    return with_package(stream).groupBy(key).transformWithStateInPandas(
         statefulProcessor=Heap(), outputStructType=schema, outputMode="Append", timeMode="None")
 
 

@@ -182,8 +182,8 @@ def test_fake_dataset_does_not_depend_on_partitions(spark):
 def test_stream_reset_and_exec_start(spark, tmp_path):
     schema = "epis_idx int, seq bigint, frames int, exec_start int, reset boolean"
     batches = [[(0, 1, 3, 2, False), (0, 2, 2, None, False), (1, 1, 1, None, False)], [(0, 3, 2, 0, False), (0, 4, 1, None, True), (1, 2, 2, 5, False)]]
-    for rows in batches:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rows = spark.createDataFrame([(*r, i) for i, rows in enumerate(batches) for r in rows], f"{schema}, batch int")
+    run.write_slices(rows, F.col("batch"), f"{tmp_path}/in", 2)
     run.use_state_store(spark)
     out = run.run_to_table(live.episode_memory(run.replay(spark, f"{tmp_path}/in")), str(tmp_path))
     got = [(r.epis_idx, r.seq, r.step_idx, r.exec_start, r.newest) for r in out.orderBy("epis_idx", "seq", "step_idx").collect()]
