@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stepweave.catalog.joining import FILLED
-from stepweave.catalog.registry import CHUNK_ROWS, EVAL, FRAMES, STEPS, TRAJ, query, rnd
+from stepweave.catalog.arrays import letterbox_sql
+from stepweave.catalog.joining import FILLED, pos_sql
+from stepweave.catalog.memories import KEPT_SQL, OFFLINE_SQL, deep_sum
+from stepweave.catalog.registry import CHUNK_ROWS, EVAL, FRAMES, STEPS, TRAJ, query, rnd, work_dir
+from stepweave.catalog.sampled import permuted_sql
 from stepweave.catalog.windowing import KEYS_SQL, SELECTED, SENTINEL, dim_sum, keyframe_list
 from stepweave.functions import vectors as v
-from stepweave.operators import memory, reports, stats, windows
+from stepweave.operators import reports, stats, windows
 from stepweave.plans import jobs
-from stepweave.sources import views
+from stepweave.sources import store, views
 
 
 @query("job01_training_samples", f"""WITH {CHUNK_ROWS},
@@ -197,66 +200,187 @@ def job05(spark, sf):
     return out.select("traj", "t", F.round(dim_sum("actions", 0), 3).alias("total"), "step_id", "prompt")
 
 
-NORM = {"state": stats.NormStats([0.1, 0.1], [0.5, 0.5]), "actions": stats.NormStats([0.05, 0.05], [0.2, 0.2])}
-
-
-def frame_samples(spark, sf):
-    frames = views.frames(spark, sf).withColumns({
-        "state": F.transform(F.slice("pixels", 1, 2), lambda x: x.cast("double")),
-        "action": F.transform(F.slice("pixels", 3, 2), lambda x: x.cast("double"))})
-    samples = windows.action_chunks(frames, 20).select(
-        "epis_idx", "step_idx", "state", "actions", F.lit(0).alias("exec_start"),
-        F.concat(F.lit(" Pick_up the cube "), F.col("epis_idx").cast("string")).alias("prompt"),
-        F.lit("go at <12, 34>").alias("grounded_subgoal"), F.lit("go on").alias("simple_subgoal"),
-        F.lit("go at <12, 34>").alias("grounded_subgoal_online"), F.lit("go on").alias("simple_subgoal_online"))
-    return samples, memory.build_features(frames, pos_dim=12)
-
+@query("job05_trajectory_batches", f"""WITH RECURSIVE {TRAJ},
+k AS (SELECT traj, t, recording_folderpath AS folder, file_path FROM v_traj WHERE contains(file_path, 'success')),
+i AS (SELECT *, row_number() OVER (ORDER BY folder, file_path, t) - 1 AS id FROM k), {permuted_sql("p", "SELECT id FROM i", "7.1")}
+SELECT traj, t, rank // 256 AS batch, (rank % 256)::INT AS slot FROM p JOIN i USING (id) WHERE rank < n // 256 * 256""")
+def job05_batches(spark, sf):
+    frames = jobs.trajectory_frames(views.frame_table(spark, sf), horizon=4, seed=7, epoch=1)
+    return jobs.trajectory_batches(frames, 256, seed=7, epoch=1).select("traj", "t", "batch", "slot")
 
-def example_columns(out, mask, length):
-    first = F.get("actions", F.lit(0))
-    return out.select("epis_idx", "step_idx", F.size("actions").alias("horizon"), F.size(first).alias("dim"),
-                      F.round(F.get("state", F.lit(0)), 5).alias("state0"), F.get("state", F.lit(31)).alias("state31"),
-                      F.round(F.get(first, F.lit(0)), 5).alias("a00"), F.size(F.filter(mask, lambda x: x)).alias("used"),
-                      F.size(F.filter("tokenized_prompt_mask", lambda x: x)).alias("prompt_tokens"), F.lit(length).alias("length"))
 
-
-EXAMPLE = f"""{FRAMES},
-v_ex AS (SELECT epis_idx, step_idx, 16 AS horizon, 32 AS dim, round((pixels[1]::DOUBLE - 0.1) / (0.5 + 1e-6), 5) AS state0, 0.0::DOUBLE AS state31,
-           round((pixels[3]::DOUBLE - pixels[1]::DOUBLE - 0.05) / (0.2 + 1e-6), 5) AS a00,
-           strlen('Pick up the cube ' || epis_idx)::INT AS prompt_tokens FROM v_frames)"""
+NORM = {"state": stats.NormStats([0.1, 0.1], [0.5, 0.5]), "actions": stats.NormStats([0.05, 0.05], [0.2, 0.2])}
+FITTED = (10, 12)
+BATCH = 16
 
 
-@query("job06_examples_frames", f"""WITH {EXAMPLE}
-SELECT *, (16 * least(step_idx + 1, 4))::INT AS used, 64 AS length FROM v_ex""")
+def frame_steps(spark, sf):
+    """Embedding rows as recorded steps: two images, state, action, texts, and a demonstration ahead of some episodes."""
+    frames = views.frames(spark, sf)
+    text_at = F.concat(F.lit("go at <12, "), (F.col("step_idx") % 5 + 30).cast("string"), F.lit(">"))
+    return frames.withColumns({
+        "state": F.transform(F.slice("pixels", 1, 2), lambda x: x.cast("double")),
+        "action": F.transform(F.slice("pixels", 3, 2), lambda x: x.cast("double")),
+        "image": F.col("pixels"), "wrist_image": F.reverse("pixels"), "completed": F.lit(False),
+        "exec_start": F.col("epis_idx") % 3, "is_demo": F.col("step_idx") < F.col("epis_idx") % 3,
+        "prompt": F.concat(F.lit(" Pick_up the cube "), F.col("epis_idx").cast("string")),
+        "simple_subgoal": F.lit("Go on"), "grounded_subgoal": text_at,
+        "simple_subgoal_online": F.lit("go on"), "grounded_subgoal_online": text_at})
+
+
+def built(spark, sf):
+    return jobs.build_dataset(f"{work_dir(spark)}/store", frame_steps(spark, sf), subgoals=("simple_subgoal", "grounded_subgoal"),
+                              keep=300, pos_dim=12, rows_per_bucket=128)
+
+
+SAMPLED = """v_ids AS (SELECT *, epis_idx % 3 AS exec_start, row_number() OVER (ORDER BY epis_idx, step_idx) - 1 AS id
+  FROM v_frames WHERE step_idx >= epis_idx % 3)"""
+
+
+@query("job01_committed_build", f"""WITH {KEPT_SQL}, {SAMPLED},
+n AS (SELECT epis_idx, max(step_idx) AS last FROM v_frames GROUP BY epis_idx),
+a AS (SELECT s.id, round(sum((i + 1) * f.pixels[3]::DOUBLE), 4) AS a0, round(sum((i + 1) * f.pixels[4]::DOUBLE), 4) AS a1
+  FROM v_ids s JOIN n USING (epis_idx) CROSS JOIN range(20) r(i)
+  JOIN v_frames f ON f.epis_idx = s.epis_idx AND f.step_idx = least(s.step_idx + i, n.last) GROUP BY s.id)
+SELECT id AS sample_id, epis_idx, step_idx, a0, a1, 'go at <12, ' || (step_idx % 5 + 30) || '>' AS grounded_subgoal,
+  round(list_sum(pixels::DOUBLE[]), 5) AS fine, round(list_sum(pixels::DOUBLE[]) / 16, 5) AS coarse,
+  (SELECT count(*) FROM v_kept k WHERE k.epis_idx = v_ids.epis_idx)::INT AS kept,
+  (SELECT max(step_idx) FROM v_kept k WHERE k.epis_idx = v_ids.epis_idx)::INT AS kept_until,
+  (SELECT count(*) FROM v_ids) AS execution_samples, (SELECT count(*) FROM v_frames) AS total_samples FROM v_ids JOIN a USING (id)""")
+def job01_build(spark, sf):
+    made = built(spark, sf)
+    again = store.Store.open(spark, made.folder.rpartition("/version=")[0])
+
+    def rows(t):
+        own = t["features"].select("epis_idx", "step_idx", F.round(deep_sum("image_emb_8x8"), 5).alias("fine"),
+                                   F.round(deep_sum("image_emb_2x2"), 5).alias("coarse"))
+        return t["samples"].join(own, ["epis_idx", "step_idx"]).join(t["kept"], "epis_idx")
+    out = again.each(rows)
+    return out.select("sample_id", "epis_idx", "step_idx", F.round(weighted(F.transform("actions", lambda a: F.get(a, F.lit(0)))), 4).alias("a0"),
+                      F.round(weighted(F.transform("actions", lambda a: F.get(a, F.lit(1)))), 4).alias("a1"), "grounded_subgoal",
+                      "fine", "coarse", F.size("kept").alias("kept"), F.array_max(F.col("kept.step")).alias("kept_until"),
+                      F.lit(again.n_samples()).cast("bigint").alias("execution_samples"),
+                      F.lit(again.about["total_samples"]).cast("bigint").alias("total_samples"))
+
+
+@query("src05_stored_sample", f"""WITH {FRAMES}, {SAMPLED}
+SELECT id AS sample_id, epis_idx, step_idx, round(pixels[1]::DOUBLE, 6) AS state0, (SELECT count(*) FROM v_ids) AS n_samples
+FROM v_ids WHERE id = 137""")
+def src05_stored(spark, sf):
+    found = built(spark, sf)
+    return found.sample(137).select("sample_id", "epis_idx", "step_idx", F.round(F.get("state", F.lit(0)), 6).alias("state0"),
+                                    F.lit(found.n_samples()).cast("bigint").alias("n_samples"))
+
+
+def weighted(values):
+    """Sum of the values times their places from 1: a change of order or place shows."""
+    return F.aggregate(F.transform(values, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+
+
+def example_columns(out, parts):
+    """Every array of an example as a sum weighted by places, next to its length."""
+    rows = {"image_emb": f"{parts}_image_emb", "pos_emb": f"{parts}_pos_emb", "state_emb": f"{parts}_state_emb"} if parts else {}
+    flat = {n: F.flatten(F.col(c)) if parts == "recur" and n != "state_emb" else F.col(c) for n, c in rows.items()}
+    sums = {n: F.round(weighted(F.transform(c, lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")))), 3)
+            for n, c in flat.items()}
+    mask = F.aggregate(F.transform(f"{parts}_mask", lambda m, i: F.when(m, i + 1).otherwise(0)), F.lit(0), lambda a, x: a + x) if parts else None
+    shown = {"size": F.size(f"{parts}_mask"), "mask": mask, **sums} if parts else {}
+    return out.select(
+        "batch", "slot", "epis_idx", "step_idx", F.size("actions").alias("horizon"), F.size("state").alias("dim"),
+        F.round(weighted(F.col("state")), 4).alias("state"),
+        F.round(weighted(F.transform("actions", weighted)), 3).alias("actions"),
+        F.round(weighted(F.col("image.base_0_rgb")), 3).alias("base_image"),
+        F.round(weighted(F.col("image.left_wrist_0_rgb")), 3).alias("wrist_image"), F.size("image.base_0_rgb").alias("pixels"),
+        F.to_json("image_mask").alias("cameras"),
+        F.md5(F.array_join(F.filter("tokenized_prompt", lambda x: x > 0), ",")).alias("prompt"),
+        *[c.alias(n) for n, c in shown.items()])
+
+
+def examples(spark, sf, parts, **options):
+    found = built(spark, sf)
+    out = found.each(lambda t: jobs.training_examples(
+        t["samples"], t["features"], t["kept"], norm=NORM, use_quantiles=False, budget=64, mask=v.bool_mask(1, -1),
+        structure=jobs.SAMPLE_STRUCTURE, image_shape=(8, 8, 1), image_size=FITTED, **options))
+    return example_columns(jobs.training_batches(out, found.n_samples(), BATCH, seed=5, epoch=2), parts)
+
+
+def normal(x, name):
+    m, s = NORM[name].mean[0], NORM[name].std[0]
+    return f"(({x}) - {m}::DOUBLE) / ({s}::DOUBLE + 1e-6)"
+
+
+EXAMPLE = f"""{OFFLINE_SQL}, {SAMPLED}, {letterbox_sql(*FITTED)}, {permuted_sql("p", "SELECT id FROM v_ids", "5.2")},
+wrist_e AS (SELECT vec_id, list_reverse(embedding) AS embedding FROM embeddings),
+{letterbox_sql(*FITTED).partition("inside AS")[1].replace("inside", "winside") + letterbox_sql(*FITTED).partition("inside AS")[2].replace("FROM embeddings", "FROM wrist_e").replace("framed", "wframed").replace("JOIN inside", "JOIN winside")},
+named AS (SELECT label::INT AS epis_idx, vec_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS step_idx FROM embeddings),
+img AS (SELECT epis_idx, step_idx, round(sum(f.value * (f.pos + 1)), 3) AS base_image, round(sum(w.value * (w.pos + 1)), 3) AS wrist_image
+  FROM named JOIN framed f USING (vec_id) JOIN wframed w ON w.vec_id = named.vec_id AND w.pos = f.pos GROUP BY epis_idx, step_idx),
+n AS (SELECT epis_idx, max(step_idx) AS last FROM v_frames GROUP BY epis_idx),
+act AS (SELECT s.id, round(sum((i + 1) * ({normal("f.pixels[3]::DOUBLE - s.pixels[1]::DOUBLE", "actions")}
+    + 2 * {normal("f.pixels[4]::DOUBLE", "actions")})), 3) AS actions
+  FROM v_ids s JOIN n USING (epis_idx) CROSS JOIN range(16) r(i)
+  JOIN v_frames f ON f.epis_idx = s.epis_idx AND f.step_idx = least(s.step_idx + i, n.last) GROUP BY s.id),
+v_ex AS (SELECT p.rank // {BATCH} AS batch, (p.rank % {BATCH})::INT AS slot, s.id, s.epis_idx, s.step_idx, s.exec_start, 16 AS horizon,
+    32 AS dim, round({normal("pixels[1]::DOUBLE", "state")} + 2 * {normal("pixels[2]::DOUBLE", "state")}, 4) AS state, act.actions,
+    base_image, wrist_image, {FITTED[0] * FITTED[1]} AS pixels, '{{"base_0_rgb":true,"left_wrist_0_rgb":true}}' AS cameras,
+    md5(list_aggregate(list_transform(string_split('Pick up the cube ' || s.epis_idx, ''), lambda c: ascii(c)), 'string_agg', ',')) AS prompt
+  FROM v_ids s JOIN p USING (id) JOIN act USING (id) JOIN img ON img.epis_idx = s.epis_idx AND img.step_idx = s.step_idx
+  WHERE p.rank < p.n // {BATCH} * {BATCH})"""
+
+
+def memory_sql(tokens: str, size: int, left: bool = False) -> str:
+    """Weighted sums of a memory of (id, spot, image, pos, state) tokens, padded to ``size`` places; states are normalized
+    after padding."""
+    spot = f"(spot + {size} - k)" if left else "spot"
+    zero = normal("0", "state")
+    return f"""t AS ({tokens}), k AS (SELECT id, count(*) AS k FROM t GROUP BY id),
+m AS (SELECT id, sum({spot} + 1)::INT AS mask, round(sum(({spot} + 1) * image), 3) AS image_emb, round(sum(({spot} + 1) * pos), 3) AS pos_emb,
+    round(sum(({spot} + 1) * (state - 2 * ({zero}))) + 2 * ({zero}) * {size * (size + 1) // 2}, 3) AS state_emb
+  FROM t JOIN k USING (id) GROUP BY id)
+SELECT v_ex.* EXCLUDE (id, exec_start), {size} AS size, mask, image_emb, pos_emb, state_emb FROM v_ex JOIN m USING (id)"""
+
+
+STATE_SUM = f"{normal('f.pixels[1]::DOUBLE', 'state')} + {normal('f.pixels[2]::DOUBLE', 'state')}"
+CELL = " + ".join(f"f.pixels[(c // 4) * 16 + (c % 4) * 2 + {i}]::DOUBLE" for i in (1, 2, 9, 10))
+
+
+@query("job06_examples_frames", f"""WITH RECURSIVE {EXAMPLE},
+idx AS (SELECT id, epis_idx, i, CASE WHEN step_idx < 4 THEN i WHEN i = 3 THEN step_idx
+          ELSE floor(i * (step_idx / 3.0::DOUBLE)) END::INT AS step FROM v_ids, range(4) r(i) WHERE i <= step_idx),
+{memory_sql(f"""SELECT id, i * 16 + c AS spot, ({CELL}) / 4 AS image, {pos_sql('idx.step', 'c', 4)} AS pos, {STATE_SUM} AS state
+  FROM idx JOIN v_frames f ON f.epis_idx = idx.epis_idx AND f.step_idx = idx.step, range(16) q(c)""", 64)}""")
 def job06_frames(spark, sf):
-    samples, features = frame_samples(spark, sf)
-    out = jobs.training_examples(samples, features, norm=NORM, use_quantiles=False, budget=64, per_image=16)
-    return example_columns(out, F.col("static_mask"), 64)
-
-
-@query("job06_examples_recurrent", f"""WITH {EXAMPLE}
-SELECT *, CASE WHEN step_idx < 16 THEN 1 ELSE step_idx // 16 + 1 END::INT AS used, 64 AS length FROM v_ex""")
+    return examples(spark, sf, "static", per_image=16)
+
+
+@query("job06_examples_recurrent", f"""WITH RECURSIVE {EXAMPLE},
+z AS (SELECT id, epis_idx, exec_start, step_idx, list_concat(CASE WHEN exec_start = 0 THEN [] ELSE [0] END,
+    CASE WHEN step_idx - exec_start < 16 THEN [step_idx] ELSE range((step_idx - exec_start) % 16 + exec_start, step_idx + 1, 16) END) AS z FROM v_ids),
+y AS (SELECT id, epis_idx, unnest(z) AS step, unnest(range(len(z))) AS i FROM z),
+r AS (SELECT y.id, i, f.step_idx, list_sum(f.pixels::DOUBLE[]) AS image, {STATE_SUM} AS state, f.pixels
+  FROM y JOIN v_frames f ON f.epis_idx = y.epis_idx AND f.step_idx = y.step),
+k AS (SELECT id, count(*) AS k FROM r GROUP BY id),
+w AS (SELECT id, round(sum((64 * (i + 64 - k) + c + 1) * pixels[c + 1]::DOUBLE), 3) AS image_emb,
+    round(sum((64 * (i + 64 - k) + c + 1) * ({pos_sql('step_idx', 'c', 8)})), 3) AS pos_emb FROM r JOIN k USING (id), range(64) q(c) GROUP BY id),
+m AS (SELECT id, sum(i + 64 - k + 1)::INT AS mask, round(sum((i + 64 - k + 1) * (state - 2 * ({normal('0', 'state')})))
+    + 2 * ({normal('0', 'state')}) * 2080, 3) AS state_emb FROM r JOIN k USING (id) GROUP BY id)
+SELECT v_ex.* EXCLUDE (id, exec_start), 64 AS size, mask, image_emb, pos_emb, state_emb FROM v_ex JOIN m USING (id) JOIN w USING (id)""")
 def job06_recurrent(spark, sf):
-    samples, features = frame_samples(spark, sf)
-    out = jobs.training_examples(samples, features, norm=NORM, use_quantiles=False, memory_type="recurrent")
-    return example_columns(out, F.col("recur_mask"), 64)
+    return examples(spark, sf, "recur", memory_type="recurrent")
 
 
-@query("job06_examples_tokens", f"""WITH {EXAMPLE}
-SELECT *, 64 AS used, 64 AS length FROM v_ex""")
+@query("job06_examples_tokens", f"""WITH RECURSIVE {EXAMPLE},
+{memory_sql(f"""SELECT s.id, row_number() OVER (PARTITION BY s.id ORDER BY t.step, t.patch) - 1 AS spot, f.pixels[t.patch + 1]::DOUBLE AS image,
+    {pos_sql('t.step', 't.patch', 8)} AS pos, {STATE_SUM} AS state
+  FROM v_ids s JOIN v_tok t ON t.epis_idx = s.epis_idx AND t.t = s.step_idx JOIN v_frames f ON f.epis_idx = t.epis_idx AND f.step_idx = t.step""", 64)}""")
 def job06_tokens(spark, sf):
-    samples, features = frame_samples(spark, sf)
-    kept = memory.top_tokens(memory.token_scores(views.frames(spark, sf)), 2048)
-    out = jobs.training_examples(samples, features, kept, norm=NORM, use_quantiles=False, memory_type="tokens", budget=64)
-    return example_columns(out, F.col("static_mask"), 64)
+    return examples(spark, sf, "static", memory_type="tokens")
 
 
-@query("job06_examples_symbolic", f"""WITH {EXAMPLE}
-SELECT *, length AS used FROM (SELECT *, NULL::INT AS length FROM v_ex)""")
+@query("job06_examples_symbolic", f"""WITH RECURSIVE {EXAMPLE}
+SELECT v_ex.* EXCLUDE (id, exec_start) FROM v_ex""")
 def job06_symbolic(spark, sf):
-    samples, _ = frame_samples(spark, sf)
-    out = jobs.training_examples(samples, norm=NORM, use_quantiles=False, memory_type="symbolic")
-    return example_columns(out, F.col("static_mask"), None).withColumn("length", F.lit(None).cast("int"))
+    return examples(spark, sf, None, memory_type="symbolic")
 
 
 @query("job07_benchmark_report", FILLED + "\nSELECT checkpoint, " + ", ".join(

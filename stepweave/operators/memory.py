@@ -76,8 +76,8 @@ def budget_slice(kept: Column, t: Column, budget: int) -> Column:
 
 def budget_tokens(samples: DataFrame, kept: DataFrame, budget: int = 512, keys: Sequence[str] = ("epis_idx",),
                   step: str = "step_idx") -> DataFrame:
-    """Offline mode: tokens of each sample out of its episode's kept list."""
-    joined = samples.join(kept_lists(kept, keys), list(keys), "left")
+    """Offline mode: tokens of each sample out of its episode's kept list. ``kept`` holds tokens, or lists already."""
+    joined = samples.join(kept if "kept" in kept.columns else kept_lists(kept, keys), list(keys), "left")
     return joined.withColumn("tokens", budget_slice(F.col("kept"), F.col(step), budget)).drop("kept")
 
 
@@ -292,15 +292,16 @@ def assemble_tokens(samples: DataFrame, tokens: DataFrame, features: DataFrame,
     joined = wanted.join(rows.withColumn("_found", F.lit(True)), [*keys, "_at", "view", "patch"], "left")
     missing = F.raise_error(F.concat_ws(" ", F.lit("no feature row for step"), F.col("_at").cast("string")))
     joined = joined.withColumn("_pos", F.when(F.col("_found"), F.col("_pos")).otherwise(missing.cast("int")))
-    widths = features.select(F.size(F.get("image_emb_8x8", F.lit(0))), F.size(F.get("pos_emb_8x8", F.lit(0))),
-                             F.size("state")).head() or (0, 0, 0)
+    # a scalar subquery: one feature row is looked at when the result is computed, not while it is planned
+    widths = features.limit(1).select(F.struct(F.size(F.get("image_emb_8x8", F.lit(0))).alias("image"), F.size(
+        F.get("pos_emb_8x8", F.lit(0))).alias("pos"), F.size("state").alias("state"))).scalar()
     packed = joined.groupBy(*keys, "step_idx").agg(F.array_sort(F.collect_list(
         F.struct("_pos", "image", "pos", "state"))).alias("_m"))
     out = samples.join(packed, [*keys, "step_idx"], "left")
     kinds = {f.name: f.dataType for f in packed.schema["_m"].dataType.elementType}
-    for name, field, width in zip(("static_image_emb", "static_pos_emb", "static_state_emb"), ("image", "pos", "state"), widths):
+    for name, field in (("static_image_emb", "image"), ("static_pos_emb", "pos"), ("static_state_emb", "state")):
         # a sample without tokens is all zeros, of the features' width
-        zero = F.array_repeat(F.lit(0), width).cast(kinds[field])
+        zero = F.array_repeat(F.lit(0), F.coalesce(widths[field], F.lit(0))).cast(kinds[field])
         values = F.coalesce(F.col(f"_m.{field}"), F.array().cast(T.ArrayType(kinds[field])))
         out = out.withColumn(name, v.pad_right(values, budget, zero))
     size = F.when(F.col("_m").isNull(), 0).otherwise(F.size("_m"))

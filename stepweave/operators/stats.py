@@ -54,6 +54,12 @@ def hist_quantiles(df: DataFrame, column: str, qs: Sequence[float] = (0.01, 0.99
         return cells.groupBy("dim").agg(*[F.percentile_approx("x", q, 10000).alias(n) for q, n in zip(qs, names)])
     if ends is None:
         ends = cells.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n"))
+    return _bin_quantiles(cells, ends, qs, bins)
+
+
+def _bin_quantiles(cells: DataFrame, ends: DataFrame, qs: Sequence[float], bins: int) -> DataFrame:
+    """Quantile columns per ``dim`` of the values ``x``; ``ends`` has the range and number of each."""
+    names = [f"q{round(q * 100):02d}" for q in qs]
     width = F.col("hi") - F.col("lo")
     raw = F.when(width > 0, F.floor((F.col("x") - F.col("lo")) / width * bins)).otherwise(F.lit(0))
     counts = (cells.join(F.broadcast(ends), "dim")
@@ -195,15 +201,39 @@ class NormStats:
 
 
 def collect_norm_stats(df: DataFrame, column: str) -> NormStats:
-    """Moments and quantiles of a vector column: two passes over the rows, a row per dimension to the driver."""
-    moments = sorted(vector_moments(df, column).collect(), key=lambda r: r["dim"])
-    if not moments or min(r["count"] for r in moments) < 2:
+    """Moments and quantiles of a vector column; see ``collect_all_stats``."""
+    return collect_all_stats(df, [column])[column]
+
+
+def collect_all_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, NormStats]:
+    """Moments and quantiles of vector columns, or of columns of vectors, in two passes for all of them together: moments
+    and range, then histograms. A row per dimension comes to the driver."""
+    def cells(name: str) -> Column:
+        def of(vector: Column) -> Column:
+            return F.transform(vector, lambda x, i: F.struct(
+                F.lit(columns.index(name)).alias("c"), i.alias("d"), x.cast("double").alias("x")))
+        value, kind = F.col(name), df.schema[name].dataType.elementType
+        if kind.typeName() != "array":
+            return of(value)
+        while kind.elementType.typeName() == "array":
+            value, kind = F.flatten(value), kind.elementType
+        return F.flatten(F.transform(value, of))
+
+    rows = df.select(F.explode(F.concat(*[cells(c) for c in columns])).alias("_e")).select(
+        F.struct("_e.c", "_e.d").alias("dim"), F.col("_e.x").alias("x"))
+    moments = rows.groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("lo"),
+                                      F.max("x").alias("hi"), F.count("x").alias("n")).collect()
+    if {r["dim"].c for r in moments} != set(range(len(columns))) or min(r["n"] for r in moments) < 2:
         raise ValueError("cannot compute statistics for fewer than 2 vectors")
-    ends = df.sparkSession.createDataFrame([(r["dim"], r["min"], r["max"], r["count"]) for r in moments],
-                                           "dim int, lo double, hi double, n bigint")
-    quantiles = sorted(hist_quantiles(df, column, ends=ends).collect(), key=lambda r: r["dim"])
-    return NormStats(*[[float(r[n]) for r in moments] for n in ("mean", "std")],
-                     *[[float(r[n]) for r in quantiles] for n in ("q01", "q99")])
+    ends = df.sparkSession.createDataFrame([(r["dim"], r["lo"], r["hi"], r["n"]) for r in moments],
+                                           "dim struct<c:int,d:int>, lo double, hi double, n bigint")
+    edges = {tuple(r["dim"]): r for r in _bin_quantiles(rows, ends, (0.01, 0.99), BINS).collect()}
+    out = {}
+    for c, name in enumerate(columns):
+        own = sorted((r for r in moments if r["dim"].c == c), key=lambda r: r["dim"].d)
+        out[name] = NormStats(*[[float(r[n]) for r in own] for n in ("mean", "std")],
+                              *[[float(edges[tuple(r["dim"])][n]) for r in own] for n in ("q01", "q99")])
+    return out
 
 
 def _apply(df: DataFrame, stats: dict[str, NormStats] | None, use_quantiles: bool, by_z, by_q) -> DataFrame:

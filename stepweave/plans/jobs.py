@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.functions import rng, text, vectors
+from stepweave.functions import images, rng, text, vectors
 from stepweave.operators import joins, memory, reports, sampling, shape, stats, windows
 from stepweave.operators import ordered as o
 from stepweave.session import cut_lineage
+from stepweave.sources import store
 
 KEYS = ["epis_idx"]
 
@@ -79,6 +80,18 @@ def build_memory(frames: DataFrame, stride: int = 8, keep: int = 2048, encoder=m
             memory.top_tokens(memory.token_scores(frames, stride), keep))
 
 
+def build_dataset(path: str, steps: DataFrame, frames: DataFrame | None = None, horizon: int = 20,
+                  subgoals: Sequence[str] = ("subgoal",), stride: int = 8, keep: int = 2048,
+                  encoder=memory.identity_encoder, pos_dim: int = 768, rows_per_bucket: int = store.ROWS_PER_BUCKET) -> store.Store:
+    """Samples, step features and kept-token lists of all episodes, committed together as one version of a store.
+
+    ``steps`` are numbered and cut into samples; ``frames`` (the steps with ``pixels``; by default ``steps`` itself) give
+    features and kept tokens. Counts are observed while the tables are written, a repeated key stops the commit.
+    """
+    features, kept = build_memory(steps if frames is None else frames, stride, keep, encoder, pos_dim)
+    return store.build(path, build_samples(steps, horizon, subgoals), features, memory.kept_lists(kept), rows_per_bucket)
+
+
 # Chat records
 
 def _carried_texts(rows: DataFrame, columns: Sequence[str], sentinel: str) -> DataFrame:
@@ -200,8 +213,7 @@ def build_chat_keyframes(steps: DataFrame, keys: DataFrame, goal: str = "goal",
     if noise_seed is not None:
         boxes = text.jitter_boxes(boxes, noise_seed, F.concat_ws(":", "epis_idx", "step_idx"))
     prefix = F.concat(F.col("env_id"), F.lit("_ep"), F.col("epis_idx").cast("string"))
-    images = F.transform(F.concat("memory", "execution"),
-                         lambda s: F.concat(prefix, F.lit("_step"), s.cast("string"), F.lit(".png")))
+    shown_images = F.transform(F.concat("memory", "execution"), lambda s: F.concat(prefix, F.lit("_step"), s.cast("string"), F.lit(".png")))
 
     def record(kind, answer, objects):
         messages = F.array(text.message("system", F.lit(text.SYSTEM_TEXTS["keyframe"])), text.message("user", user),
@@ -212,7 +224,7 @@ def build_chat_keyframes(steps: DataFrame, keys: DataFrame, goal: str = "goal",
     objects = F.struct(F.array().cast("array<string>").alias("ref"), boxes.alias("bbox"))
     records = F.array(record("simple", F.col(simple), no_objects), record("grounded", text.mask_points(shown), objects))
     return rows.withColumn("_r", F.explode(records)).select(
-        *KEYS, "group", "step_idx", "candidate", "_r.kind", "_r.messages", "_r.objects", images.alias("images"),
+        *KEYS, "group", "step_idx", "candidate", "_r.kind", "_r.messages", "_r.objects", shown_images.alias("images"),
         F.when(has_video, F.array(F.concat(prefix, F.lit("_video.mp4")))).alias("videos"))
 
 
@@ -224,12 +236,15 @@ DELTA_MASK = vectors.bool_mask(7, -1)
 def compute_norm_stats(samples: DataFrame, structure: dict | None = None, profile: str = "history_arm",
                        mask: Sequence[bool] = tuple(DELTA_MASK), columns: Sequence[str] = ("state", "actions"),
                        ) -> dict[str, stats.NormStats]:
-    """Statistics of state and delta actions over all samples: one pass for moments, two for quantiles."""
+    """Statistics of state and delta actions over all samples: one pass for moments and ranges, one for quantiles.
+
+    ``structure`` repacks the samples, ``profile`` then adapts them as for training.
+    """
     data = shape.repack(samples, structure) if structure else samples
     data = shape.adapt_inputs(data, profile) if structure else data
     data = data.withColumn("actions", vectors.shift_actions(F.col("actions"), F.col("state"), mask, -1))
     data = shape.drop_strings(data.select(*columns))
-    return {c: stats.collect_norm_stats(data, c) for c in columns}
+    return stats.collect_all_stats(data, list(columns))
 
 
 # Trajectories
@@ -238,8 +253,8 @@ def trajectory_frames(frames: DataFrame, ranges: DataFrame | None = None, horizo
                       epoch: int = 0, action_space: str = "joint_position", images: Sequence[str] = ()) -> DataFrame:
     """Training frames of successful trajectories: picked instruction, picked image, action chunk, range filter.
 
-    Chunks need the frames after them, so the filter comes after the chunk window; a shuffle of the result
-    is left to the caller. The draws are per trajectory and epoch; one of the columns ``images`` becomes ``image``.
+    Chunks need the frames after them, so the filter comes after the chunk window. The draws are per trajectory and epoch;
+    one of the columns ``images`` becomes ``image``. ``trajectory_batches`` shuffles the result into batches.
     """
     ok = shape.success_only(frames)
     acted = ok.withColumn("action", F.concat(action_space, "gripper_position"))
@@ -254,15 +269,56 @@ def trajectory_frames(frames: DataFrame, ranges: DataFrame | None = None, horizo
         "step_id", text.frame_key(F.col("recording_folderpath"), F.col("file_path"), F.col("t")))
 
 
+def trajectory_batches(frames: DataFrame, size: int, seed: int = 0, epoch: int = 0) -> DataFrame:
+    """The frames of an epoch with ``rank``, ``batch`` and ``slot``; the incomplete last batch is dropped.
+
+    Frames are numbered by (recording, file, frame) in buckets and ranked by a keyed permutation of the numbers, so the
+    epoch is neither sorted nor shuffled as a whole.
+    """
+    order = ["recording_folderpath", "file_path", "t"]
+    frames = cut_lineage(frames)
+    numbered = o.number_all(frames, o.quantile_bucket(frames, order), order, {"_number": F.lit(1)})
+    return sampling.epoch_batches(numbered, "_number", frames.count(), size, seed, epoch).drop("_number")
+
+
 # Training examples
 
+#: The samples' columns as the adapter reads them, next to the memory columns and the keys.
+SAMPLE_STRUCTURE = {"observation": {"image": "image", "wrist_image": "wrist_image", "state": "state"}, "actions": "actions",
+                    "prompt": "prompt"}
+
+
+def _adapted(df: DataFrame, structure: Mapping, profile: str, keys: Sequence[str]) -> DataFrame:
+    """Repack and adapt; memory columns, symbolic texts and keys pass through."""
+    passed = {c: c for c in (*keys, *shape.OPTIONAL) if c in df.columns and c != "prompt"}
+    return shape.adapt_inputs(shape.repack(df, {**structure, **passed}), profile)
+
+
+def _resized(df: DataFrame, shape_of: tuple[int, int, int], size: tuple[int, int]) -> DataFrame:
+    """Every camera slot fitted into ``size`` (height, width)."""
+    slots = [f.name for f in df.schema["image"].dataType.fields]
+    return df.withColumn("image", F.struct(*[images.resize_with_pad(
+        F.col(f"image.{s}"), shape_of, *size).alias(s) for s in slots]))
+
+
+def training_batches(examples: DataFrame, n: int, size: int, seed: int = 0, epoch: int = 0, workers: int = 1,
+                     worker: int = 0) -> DataFrame:
+    """Examples of an epoch with ``rank``, ``batch`` and ``slot``: ranks follow from ``sample_id``, nothing is sorted."""
+    return sampling.epoch_batches(examples, "sample_id", n, size, seed, epoch, workers, worker)
+
+
 def training_examples(samples: DataFrame, features: DataFrame | None = None, kept: DataFrame | None = None,
                       norm: dict[str, stats.NormStats] | None = None, use_quantiles: bool = True, memory_type: str = "frames",
                       horizon: int = 16, action_dim: int = 32, max_len: int = 64, seed: int = 0, budget: int = 512,
                       per_image: int = 16, mask: Sequence[bool] = tuple(DELTA_MASK), default_prompt: str | None = None,
-                      tokenizer=None) -> DataFrame:
+                      tokenizer=None, structure: Mapping | None = None, profile: str = "history_arm",
+                      image_shape: tuple[int, int, int] | None = None, image_size: tuple[int, int] = (224, 224),
+                      keys: Sequence[str] = ("sample_id", "epis_idx", "step_idx")) -> DataFrame:
     """Model-ready rows: cut and delta actions, memory, normalization, prompt tokens, padded dims.
 
+    With ``structure`` (see ``SAMPLE_STRUCTURE``) the rows are repacked and adapted to the robot ``profile``; with
+    ``image_shape`` the adapted camera images are resized into ``image_size``. ``keys`` pass through both.
+
     ``memory_type`` is frames, tokens, recurrent, symbolic or none. Memory states are normalized after
     padding, so padded rows are not zero; only the mask marks them.
     """
@@ -288,6 +344,8 @@ def training_examples(samples: DataFrame, features: DataFrame | None = None, kep
         name = "recur_state_emb" if memory_type == "recurrent" else "static_state_emb"
         out = stats.normalize(out, {name: norm["state"]}, use_quantiles)
     out = shape.ensure_columns(out)
+    if structure is not None:
+        out = _adapted(out, structure, profile, keys)
     out = out.withColumn("actions", vectors.shift_actions(F.col("actions"), F.col("state"), mask, -1))
     out = stats.normalize(out, norm, use_quantiles)
     prompt = F.col("prompt") if default_prompt is None else F.coalesce(F.col("prompt"), F.lit(default_prompt))
@@ -297,6 +355,8 @@ def training_examples(samples: DataFrame, features: DataFrame | None = None, kep
         goal = F.coalesce(F.col("grounded_subgoal"), F.col("simple_subgoal"), F.lit(""))
         out = out.withColumn("_text", text.build_prompt(prompt, "subgoal", subgoal=goal))
         out = with_tokens(out, "_text", tokenizer or byte_tokenizer, 2 * max_len, "symbolic_tokenized_prompt").drop("_text")
+    if image_shape is not None:
+        out = _resized(out, image_shape, image_size)
     pad = F.lit(0.0)
     return out.withColumns({
         "state": vectors.pad_right(F.col("state"), action_dim, pad),
