@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from stepweave.session import shared_dir
 
 CHUNK_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 SPARE = 4
+_LIBC = ctypes.CDLL(None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,10 +77,15 @@ def text_key() -> "F.Column":
 
 def matched(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """``docs`` with (left_semi) or without (left_anti) the ``rows`` (doc_id, text_key); missing ids equal each other."""
-    keyed = docs.select("*", F.col("doc_id").cast("bigint").alias("row_id"), text_key().alias("row_key"))
+    keyed = docs.select(whole_row(docs), F.col("doc_id").cast("bigint").alias("row_id"), text_key().alias("row_key"))
     rows = rows.select(F.col("doc_id").alias("judged_id"), F.col("text_key").alias("judged_key"))
     return keyed.join(rows, F.col("row_id").eqNullSafe(F.col("judged_id")) & (F.col("row_key") == F.col("judged_key")),
-                      how).select(docs.columns)
+                      how).select("row.*")
+
+
+def whole_row(docs: DataFrame) -> "F.Column":
+    """All columns in one struct ``row``, beside which an operator's own columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
 def fold(of: int, held: int) -> "F.Column":
@@ -94,6 +102,40 @@ def drawn(df: DataFrame, hashed: "F.Column", n: int, *ties: str) -> DataFrame:
     return df.orderBy(hashed, *ties).limit(n)
 
 
+def _trim() -> None:
+    """Give back what the allocators keep of freed memory, so that an idle Python worker is small."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most about ``BATCH_BYTES`` on either side, and workers trimmed after each task.
+
+    The batch size is a setting of the session, read when the frame is computed.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            _trim()
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches put together to about ``limit`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches with about ``limit`` bytes of text each, and their texts as bytes (null: empty).
 

@@ -16,23 +16,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stepweave.llm.common import id_text, written
+from stepweave.llm.common import id_text, whole_row, written
 
 SPAN = 3
 _DOC = ("line_id", "line_key", "line_key2")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """The document's key beside its whole ``row`` and its ``own_text``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("*", id_text().alias(_DOC[0]), F.xxhash64(text).alias(_DOC[1]),
-                       F.xxhash64(F.lit(SPAN), text).alias(_DOC[2]))
+    return docs.select(whole_row(docs), F.col("text").cast("string").alias("own_text"), id_text().alias(_DOC[0]),
+                       F.xxhash64(text).alias(_DOC[1]), F.xxhash64(F.lit(SPAN), text).alias(_DOC[2]))
 
 
 def _windows(docs: DataFrame) -> DataFrame:
     """(document, pos, hash of the lines pos, pos + 1, pos + 2) of every window that is not blank."""
     keyed = _keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    rows = keyed.select("doc_id", *_DOC, F.split("text", "\n", -1).alias("lines")).where(F.size("lines") >= SPAN)
+    rows = keyed.select("row.doc_id", *_DOC, F.split("own_text", "\n", -1).alias("lines")).where(F.size("lines") >= SPAN)
 
     def window(at: "F.Column") -> "F.Column":
         part = [F.col("lines")[at + i] for i in range(SPAN)]
@@ -55,33 +57,45 @@ def covered_lines(docs: DataFrame) -> DataFrame:
                 p, p + SPAN - 1))))).alias("covered")))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs`` with ``kept_text``, ``n_lines``, ``n_removed`` and the ``removed`` intervals."""
+def _cut(docs: DataFrame) -> DataFrame:
+    """Every ``row`` with ``kept_text``, ``n_lines``, ``n_removed`` and the ``removed`` intervals."""
     joined = _keyed(docs).join(covered_lines(docs), list(_DOC), "left")
-    none = F.array().cast("array<int>")
-    covered = F.coalesce("covered", none)
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
+    rows = joined.select("row", "own_text", F.coalesce("covered", F.array().cast("array<int>")).alias("covered"),
+                         F.split("own_text", "\n", -1).alias("lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("covered"))
     first = F.array_except("covered", F.transform("covered", lambda x: x + 1))
     last = F.array_except("covered", F.transform("covered", lambda x: x - 1))
-    rows = joined.withColumn("covered", covered).withColumn("lines", lines)
-    text = F.when(F.size("covered") == 0, F.col("text").cast("string")).otherwise(
+    text = F.when(F.size("covered") == 0, F.col("own_text")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.col("lines")[i]), "\n"))
     return rows.select(
-        *[F.col(c) for c in docs.columns], text.alias("kept_text"),
+        "row", text.alias("kept_text"),
         F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("bigint").alias("n_lines"),
         F.size("covered").cast("bigint").alias("n_removed"),
         F.transform(F.arrays_zip(first.alias("first"), last.alias("last")),
                     lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"))).alias("removed"))
 
 
+def dedup(docs: DataFrame) -> DataFrame:
+    """All rows and columns of ``docs`` with ``kept_text``, ``n_lines``, ``n_removed`` and the ``removed`` intervals, which
+    take the place of columns of these names."""
+    found = _cut(docs)
+    new = [c for c in found.columns if c != "row"]
+    return found.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in new], *new)
+
+
 def dedup_text(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated lines gone from ``text``; ``n_chars`` follows where there is such a column."""
-    found = dedup(docs)
-    return found.select(*[
-        F.col("kept_text").alias(c) if c == "text" else
-        F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col(c)).cast(found.schema[c].dataType).alias(c)
-        if c == "n_chars" else F.col(c) for c in docs.columns])
+    """``docs`` with the repeated lines gone from ``text``; ``n_chars`` follows where there is such a column of numbers or
+    strings. All other columns stay as they are, whatever their names."""
+    found, kinds = _cut(docs), {f.name: f.dataType for f in docs.schema}
+
+    def column(name: str) -> "F.Column":
+        own = F.col(f"row.`{name}`")
+        if name == "text":
+            return F.col("kept_text").alias(name)
+        if name == "n_chars" and isinstance(kinds[name], (T.NumericType, T.StringType)):
+            return F.when(F.col("n_removed") > 0, F.length("kept_text").cast(kinds[name])).otherwise(own).alias(name)
+        return own
+    return found.select(*[column(c) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:
