@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import matched, text_chunks, text_key, to_batch, written
+from stepweave.llm.common import mapped, matched, text_chunks, text_key, to_batch, written
 
 WINDOW = 10
 GAP = 32
@@ -80,7 +80,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """Posting lists of all tokens of ``docs`` (doc_id, text), one row per shard, stored in the shared folder."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        text_key().alias("text_key"))
-    return written(docs.mapInArrow(_shards, INDEX), "postings", compression="zstd")
+    return written(mapped(docs, _shards, INDEX), "postings", compression="zstd")
 
 
 class Windows:
@@ -193,7 +193,7 @@ def _counted(index: DataFrame, vocabulary: dict[bytes, int]) -> dict[bytes, int]
                 total.update({t: n for t, n in zip(terms.split(), np.frombuffer(counts, np.int32).tolist()) if t in vocabulary})
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())],
                                          names=["term", "n"])
-    rows = index.select("terms", "counts").mapInArrow(run, "term binary, n bigint")
+    rows = mapped(index.select("terms", "counts"), run, "term binary, n bigint")
     return {bytes(r.term): r.n for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -244,7 +244,7 @@ def search(index: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTE
         held = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number).collect()
         block = Windows([(r.item_id, r.text.encode()) for r in held])
         block.rank(_counted(index, block.vocabulary))
-        one = index.mapInArrow(_search(block), FOUND)
+        one = mapped(index, _search(block), FOUND)
         found = one if found is None else found.unionByName(one)
     if blocks > 1:
         def merged(name: str) -> "F.Column":

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import matched, text_chunks, text_key, to_batch, written
+from stepweave.llm.common import mapped, matched, text_chunks, text_key, to_batch, written
 from stepweave.llm.components import components
 
 WORDS = 5
@@ -156,11 +156,11 @@ def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield to_batch(pa.schema(list(_SETS)[1:]), doc_id=part.column(0), print=[fingerprint(s) for s in sets],
                                n=[len(s) for s in sets], s=_lists(sets))
     rows = docs.select("doc_id", "text", _bit("doc_id").alias("bit"))
-    found = rows.mapInArrow(run, "doc_id bigint, print binary, n bigint, s array<bigint>")
+    found = mapped(rows, run, "doc_id bigint, print binary, n bigint, s array<bigint>")
     one = (found.join(classes.withColumnRenamed("print", "p"),
                       (F.col("print") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("rep")))
            .select("print", "n", "s").dropDuplicates(["print"]))
-    return written(one.mapInArrow(_number, "c bigint, print binary, n bigint, s array<bigint>"), "sets")
+    return written(mapped(one, _number, "c bigint, print binary, n bigint, s array<bigint>"), "sets")
 
 
 def _index(sets: DataFrame) -> DataFrame:
@@ -197,8 +197,8 @@ def _centred(index: DataFrame, sets: DataFrame) -> DataFrame:
                     "pairs")
     left = pairs.join(sets.select("c", F.col("s").alias("a")), "c")
     right = sets.select(F.col("c").alias("centre"), F.col("s").alias("b"))
-    return written(left.join(right, "centre").select("c", "centre", "a", "b").mapInArrow(
-        _overlaps, "c bigint, centre bigint, both bigint, n bigint, m bigint"), "overlaps")
+    return written(mapped(
+        left.join(right, "centre").select("c", "centre", "a", "b"), _overlaps, "c bigint, centre bigint, both bigint, n bigint, m bigint"), "overlaps")
 
 
 PLACE = "struct(doc_id IS NULL AS none, doc_id, text_key)"
@@ -285,8 +285,8 @@ def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows with words: the first row (none, doc_id, text_key) of its component, rows without an id last."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        text_key().alias("text_key"))
-    signed = written(docs.mapInArrow(
-        _sign, "doc_id bigint, text_key binary, n bigint, print binary, f bigint, low array<bigint>"), "signed")
+    signed = written(mapped(
+        docs, _sign, "doc_id bigint, text_key binary, n bigint, print binary, f bigint, low array<bigint>"), "signed")
     classes = _not_alone(signed)
     sets = _sets(docs, classes)
     index = _index(sets)

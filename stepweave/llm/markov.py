@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import fold, text_chunks, to_batch, written
+from stepweave.llm.common import fold, gathered, mapped, text_chunks, to_batch, written
 
 FOLDS, HELD = 7, 2
 STATES, TOP, HASHED = 6, 1024, 1024
@@ -65,7 +65,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
-    for number, (batch, texts) in enumerate(text_chunks(batches, BLOCK_BYTES)):
+    for number, (batch, texts) in enumerate(text_chunks(gathered(batches, BLOCK_BYTES), BLOCK_BYTES)):
         vocabulary: defaultdict = defaultdict()
         vocabulary.default_factory = vocabulary.__len__
         parts = []
@@ -86,7 +86,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        fold(FOLDS, HELD).alias("held"))
-    return written(rows.mapInArrow(_encode, _BLOCKS), "blocks", compression="zstd")
+    return written(mapped(rows, _encode, _BLOCKS), "blocks", compression="zstd")
 
 
 class Model:
@@ -242,7 +242,7 @@ def train(classed: DataFrame, tokens: np.ndarray) -> Model:
     model = Model.first(tokens)
     read = classed.select("held", "sizes", "classes")
     for _ in range(ROUNDS):
-        sums = (read.mapInArrow(_expect(model), "kind int, i int, j int, v double")
+        sums = (mapped(read, _expect(model), "kind int, i int, j int, v double")
                 .groupBy("kind", "i", "j").agg(F.sum("v").alias("v")).collect())  # of fixed size
         total = [np.zeros((2, STATES)), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))]
         for r in sums:
@@ -296,9 +296,9 @@ def score(docs: DataFrame) -> DataFrame:
     found = (asked.join(ranked, "word").groupBy("block").agg(F.collect_list(F.struct("at", "c", "rank")).alias("x"))
              .select("block", F.col("x.at").alias("places"), F.col("x.c").alias("counts"), F.col("x.rank").alias("ranks")))
     total = words + ends + distinct + (ends > 0) + 1
-    classed = written(
-        blocks.select("block", "doc_ids", "held", "lengths", F.size("words").alias("n_words"), "hashed", "codes")
-        .join(found, "block", "left").mapInArrow(_classify(total, ends, tokens, kinds), _CLASSED), "classed")
-    return classed.mapInArrow(_score(train(classed, tokens), words + ends),
-                              "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
-                              "base_score double, score double")
+    counted = blocks.select("block", "doc_ids", "held", "lengths", F.size("words").alias("n_words"), "hashed", "codes").join(
+        found, "block", "left")
+    classed = written(mapped(counted, _classify(total, ends, tokens, kinds), _CLASSED), "classed")
+    return mapped(classed, _score(train(classed, tokens), words + ends),
+                  "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
+                  "base_score double, score double")

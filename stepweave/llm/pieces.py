@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepweave.llm.common import text_chunks, to_batch
+from stepweave.llm.common import mapped, text_chunks, to_batch
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, TEMPERATURE, SEED = 2, 1.0, 17
@@ -490,8 +490,8 @@ def encode(docs: DataFrame, path: str = MODEL, samples: int = SAMPLES) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, BLOCK_BYTES):
             yield from encode_block(vocabulary, batch.column(0).to_pylist(), texts, samples)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, RESULT)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return mapped(rows, run, RESULT)
 
 
 def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
@@ -504,4 +504,4 @@ def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
             texts = [vocabulary.decode(x or []).decode() for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              names=[*batch.schema.names, "text"])
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))
+    return mapped(rows, run, T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))

@@ -4,7 +4,7 @@ Each text becomes ``FEATURES`` transformed statistics. Class counts, sums and cr
 labelled rows in Spark; the driver sees only these sums, of a fixed size. A class covariance is shrunk towards the
 pooled covariance and its diagonal, and kept as the inverse of its Cholesky factor, which the tasks reuse for all rows:
 the squared norm of the whitened difference is the Mahalanobis distance, and the difference of the two log densities,
-scaled to the calibration rows, is the score's logit.
+divided by the root of the number of statistics because these depend on each other, is the score's logit.
 
 Defined results: null reads as the empty text, and an empty text has statistics and a score like any other; rows
 without an id are scored but never learned from; labels that are null are left out, repeated labels count each time;
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import fold, text_chunks, to_batch, written
+from stepweave.llm.common import fold, mapped, text_chunks, to_batch, written
 
 FEATURES = ("word_length", "upper", "digits", "marks", "symbols", "bars", "distinct", "compressed", "sentences",
             "short_words", "symbol_ends", "repeated_pairs", "shouts", "doubled_words")
@@ -79,7 +79,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics ``f`` of every text."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_measure, "doc_id bigint, f array<double>")
+    return mapped(docs, _measure, "doc_id bigint, f array<double>")
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def fit(measures: DataFrame, labels: DataFrame) -> Discriminant:
     """Learn from the labelled rows outside the held-out fold."""
     known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
              .where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~fold(FOLDS, HELD)))
-    sums = (known.join(measures, "doc_id").select("quality", "f").mapInArrow(_moments, "c int, i int, j int, v double")
+    sums = (mapped(known.join(measures, "doc_id").select("quality", "f"), _moments, "c int, i int, j int, v double")
             .groupBy("c", "i", "j").agg(F.sum("v").alias("v")).collect())
     moments = np.zeros((2, len(FEATURES) + 1, len(FEATURES) + 1))
     for r in sums:
@@ -157,7 +157,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     measures = written(measured(docs), "quality")
     model = fit(measures, labels)
-    return measures.mapInArrow(_score(model), "doc_id bigint, score double").select(
+    return mapped(measures, _score(model), "doc_id bigint, score double").select(
         "doc_id", fold(FOLDS, HELD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
@@ -170,4 +170,4 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
             x = np.array([statistics(t) for t in texts]).reshape(-1, len(FEATURES))
             good = 1 / (1 + np.exp(-model.logit(x))) >= CUT
             yield batch.filter(pa.array(good))
-    return docs.mapInArrow(accept, docs.schema)
+    return mapped(docs, accept, docs.schema)
