@@ -30,6 +30,13 @@ v_tok AS (SELECT * FROM (
   FROM v_frames f JOIN v_kept k ON k.epis_idx = f.epis_idx AND k.step_idx <= f.step_idx) WHERE q <= 64)"""
 
 
+ONLINE_SQL = SCORES_SQL + """,
+v_tok AS (SELECT * FROM (
+  SELECT f.epis_idx, f.step_idx AS t, k.step_idx AS step, k.patch, row_number() OVER (
+           PARTITION BY f.epis_idx, f.step_idx ORDER BY k.score DESC, k.step_idx DESC, k.patch DESC) AS q
+  FROM v_frames f JOIN v_scores k ON k.epis_idx = f.epis_idx AND k.step_idx <= f.step_idx) WHERE q <= 64)"""
+
+
 def scores(spark, sf):
     return memory.token_scores(views.frames(spark, sf))
 
@@ -92,37 +99,50 @@ def on(mask):
     return F.size(F.filter(mask, lambda x: x))
 
 
-@query("mem04_token_memory", f"""WITH {OFFLINE_SQL}
+def token_memory_sql(tokens):
+    return f"""WITH {tokens}
 SELECT s.epis_idx, s.step_idx, 64 AS length, count(t.step)::INT AS used,
        round(coalesce(sum(f.pixels[t.patch + 1]::DOUBLE), 0), 5) AS image,
        round(coalesce(sum(f.pixels[1]::DOUBLE + f.pixels[2]::DOUBLE), 0), 5) AS state,
        round(coalesce(sum({pos_sql('t.step', 't.patch', 8)}), 0), 4) AS pos
 FROM v_frames s LEFT JOIN v_tok t ON t.epis_idx = s.epis_idx AND t.t = s.step_idx
-LEFT JOIN v_frames f ON f.epis_idx = t.epis_idx AND f.step_idx = t.step GROUP BY s.epis_idx, s.step_idx""")
-def mem04(spark, sf):
-    rows = views.frames(spark, sf).select("epis_idx", "step_idx")
-    picked = memory.budget_tokens(rows, kept(spark, sf), 64)
-    out = memory.assemble_tokens(picked.drop("tokens"), picked, features(spark, sf), 64)
+LEFT JOIN v_frames f ON f.epis_idx = t.epis_idx AND f.step_idx = t.step GROUP BY s.epis_idx, s.step_idx"""
+
+
+def shown_tokens(out):
     return out.select("epis_idx", "step_idx", F.size("static_image_emb").alias("length"), on("static_mask").alias("used"),
                       F.round(deep_sum("static_image_emb"), 5).alias("image"),
                       F.round(deep_sum("static_state_emb"), 5).alias("state"),
                       F.round(deep_sum("static_pos_emb"), 4).alias("pos"))
 
 
-@query("mem05_frame_memory", f"""WITH {FRAMES},
+@query("mem04_token_memory", token_memory_sql(OFFLINE_SQL))
+def mem04(spark, sf):
+    rows = views.frames(spark, sf).select("epis_idx", "step_idx")
+    picked = memory.budget_tokens(rows, kept(spark, sf), 64)
+    return shown_tokens(memory.assemble_tokens(picked.drop("tokens"), picked, features(spark, sf), 64))
+
+
+FRAME_MEMORY_SQL = f"""WITH {FRAMES},
 idx AS (SELECT epis_idx, step_idx, CASE WHEN step_idx < 4 THEN i WHEN i = 3 THEN step_idx
           ELSE floor(i * (step_idx / 3.0::DOUBLE)) END::INT AS at FROM v_frames, range(4) r(i) WHERE i <= step_idx)
 SELECT s.epis_idx, s.step_idx, 64 AS length, (16 * count(*))::INT AS used,
        round(sum(list_sum(f.pixels::DOUBLE[])) / 4, 5) AS image, round(16 * sum(f.pixels[1]::DOUBLE + f.pixels[2]::DOUBLE), 4) AS state
-FROM idx s JOIN v_frames f ON f.epis_idx = s.epis_idx AND f.step_idx = s.at GROUP BY s.epis_idx, s.step_idx""")
-def mem05(spark, sf):
-    rows = views.frames(spark, sf).select("epis_idx", "step_idx")
-    out = memory.assemble_frames(rows, features(spark, sf), budget=64, per_image=16)
+FROM idx s JOIN v_frames f ON f.epis_idx = s.epis_idx AND f.step_idx = s.at GROUP BY s.epis_idx, s.step_idx"""
+
+
+def shown_frames(out):
     return out.select("epis_idx", "step_idx", F.size("static_image_emb").alias("length"), on("static_mask").alias("used"),
                       F.round(deep_sum("static_image_emb"), 5).alias("image"),
                       F.round(deep_sum("static_state_emb"), 4).alias("state"))
 
 
+@query("mem05_frame_memory", FRAME_MEMORY_SQL)
+def mem05(spark, sf):
+    rows = views.frames(spark, sf).select("epis_idx", "step_idx")
+    return shown_frames(memory.assemble_frames(rows, features(spark, sf), budget=64, per_image=16))
+
+
 RECUR = """
 z AS (SELECT epis_idx, step_idx, list_concat(
     CASE WHEN e = 0 THEN [] WHEN e <= 8 THEN range(0, e, 2) WHEN e <= 20 THEN range(0, e, 4)
@@ -132,18 +152,24 @@ z AS (SELECT epis_idx, step_idx, list_concat(
 y AS (SELECT epis_idx, step_idx, unnest(list_slice(z, greatest(1, len(z) - 7), len(z))) AS at FROM z)"""
 
 
-@query("mem06_recurrent_memory", f"""WITH {FRAMES}, {RECUR}
+RECURRENT_MEMORY_SQL = f"""WITH {FRAMES}, {RECUR}
 SELECT y.epis_idx, y.step_idx, 8 AS length, count(*)::INT AS used, round(sum(list_sum(f.pixels::DOUBLE[])), 5) AS image,
        (count(*) = 8) AS full_mask FROM y JOIN v_frames f ON f.epis_idx = y.epis_idx AND f.step_idx = y.at
-GROUP BY y.epis_idx, y.step_idx""")
-def mem06(spark, sf):
-    rows = views.frames(spark, sf).select("epis_idx", "step_idx", (F.col("epis_idx") * 3).alias("exec_start"))
-    out = memory.assemble_recurrent(rows.where("step_idx >= exec_start"), features(spark, sf), 4, 8, 5)
+GROUP BY y.epis_idx, y.step_idx"""
+
+
+def shown_recurrent(out):
     total = F.aggregate(F.transform("recur_image_emb", deep_sum), F.lit(0.0), lambda a, x: a + x)
     return out.select("epis_idx", "step_idx", F.size("recur_image_emb").alias("length"), on("recur_mask").alias("used"),
                       F.round(total, 5).alias("image"), F.get("recur_mask", F.lit(0)).alias("full_mask"))
 
 
+@query("mem06_recurrent_memory", RECURRENT_MEMORY_SQL)
+def mem06(spark, sf):
+    rows = views.frames(spark, sf).select("epis_idx", "step_idx", (F.col("epis_idx") * 3).alias("exec_start"))
+    return shown_recurrent(memory.assemble_recurrent(rows.where("step_idx >= exec_start"), features(spark, sf), 4, 8, 5))
+
+
 @query("mem07_grid_pooling", """
 WITH c AS (SELECT vec_id, j, embedding AS e, (j // 4) * 16 + (j % 4) * 2 AS b FROM embeddings, range(16) r(j)),
 p AS (SELECT vec_id, j, (e[b + 1]::DOUBLE + e[b + 2]::DOUBLE + e[b + 9]::DOUBLE + e[b + 10]::DOUBLE) / 4 AS mean,

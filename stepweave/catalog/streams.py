@@ -7,11 +7,13 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from stepweave.catalog.joining import MOMENTS
-from stepweave.catalog.memories import SCORES_SQL
+from stepweave.catalog.memories import (FRAME_MEMORY_SQL, ONLINE_SQL, RECURRENT_MEMORY_SQL, SCORES_SQL, shown_frames, shown_recurrent,
+                                        shown_tokens, token_memory_sql)
 from stepweave.catalog.registry import CHUNK_ROWS, STEPS, query, work_dir
 from stepweave.catalog.windowing import even_sql, joined
-from stepweave.operators import stats, windows
-from stepweave.operators.ordered import order_value
+from stepweave.operators import memory, stats, windows
+from stepweave.operators.ordered import number_rows, order_value
+from stepweave.session import cut_lineage
 from stepweave.sources import sinks, views
 from stepweave.streaming import memory as live
 from stepweave.streaming import run
@@ -119,3 +121,54 @@ def snk05(spark, sf):
                              ["user_id", "value"], ["event_type"], step="event_id")
     run.run_appends(sink.trigger(availableNow=True).start, spark, folder)
     return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+@query("stm01_taken_over", f"WITH {STEPS} SELECT epis_idx, step_idx, (epis_idx % 5)::INT AS exec_start FROM v_steps")
+def stm01_taken_over(spark, sf):
+    """The first half of the events is recorded; the stream goes on from there."""
+    folder = work_dir(spark)
+    events = views.table(spark, sf, "events")
+    ts = F.round(order_value(events, "ts")).cast("bigint")
+    rows = cut_lineage(events.select(
+        F.col("user_id").cast("int").alias("epis_idx"), (ts * 1000 + F.col("event_id") % 1000).alias("seq"),
+        F.lit(1).alias("frames"), (F.col("user_id") % 5).cast("int").alias("exec_start"), F.lit(False).alias("reset")))
+    middle = F.lit(rows.agg(F.percentile_approx("seq", 0.5)).first()[0])
+    recorded = number_rows(rows.where(F.col("seq") < middle), ["epis_idx"], "seq", "step_idx").select(
+        "epis_idx", F.col("step_idx").cast("int").alias("step_idx"), "exec_start")
+    run.write_slices(rows.where(F.col("seq") >= middle), F.col("seq"), f"{folder}/in", SLICES)
+    with few_partitions(spark):
+        run.use_state_store(spark)
+        live_rows = run.run_to_table(live.episode_memory(
+            run.replay(spark, f"{folder}/in"), initial=live.batch_progress(recorded)), folder)
+    return recorded.unionByName(live_rows.select("epis_idx", "step_idx", "exec_start"))
+
+
+def live_features(spark, sf, folder, **columns):
+    """Features of the frames as a stream, in slices of steps."""
+    frames = views.frames(spark, sf).drop("_blk").withColumns({"state": F.slice("pixels", 1, 2), **columns})
+    run.write_slices(frames, F.col("step_idx"), f"{folder}/in", SLICES)
+    return memory.build_features(run.replay(spark, f"{folder}/in"), pos_dim=12,
+                                 keep=("epis_idx", "step_idx", "state", "pixels", *columns))
+
+
+def live_contents(spark, sf, mode, columns=None, **options):
+    folder = work_dir(spark)
+    with few_partitions(spark):
+        run.use_state_store(spark)
+        return run.run_to_table(live.online_memory(live_features(spark, sf, folder, **(columns or {})), mode, **options), folder)
+
+
+@query("stm02_frame_contents", FRAME_MEMORY_SQL)
+def stm02_frame_contents(spark, sf):
+    return shown_frames(live_contents(spark, sf, "frames", budget=64, per_image=16))
+
+
+@query("stm02_recurrent_contents", RECURRENT_MEMORY_SQL.replace("epis_idx * 3 AS e", "least(epis_idx * 3, step_idx) AS e"))
+def stm02_recurrent_contents(spark, sf):
+    out = live_contents(spark, sf, "recurrent", {"exec_start": F.col("epis_idx") * 3}, horizon=4, max_steps=8, max_video=5)
+    return shown_recurrent(out)
+
+
+@query("stm02_token_contents", token_memory_sql(ONLINE_SQL))
+def stm02_token_contents(spark, sf):
+    return shown_tokens(live_contents(spark, sf, "tokens", budget=64, keep=300))

@@ -9,7 +9,7 @@ from stepweave.functions import vectors as v
 from stepweave.operators import ordered as o
 from stepweave.operators import reports, sampling, shape, stats
 from stepweave.plans import jobs
-from stepweave.sources import readers, sinks, views
+from stepweave.sources import readers, runlogs, sinks, views
 
 
 @query("src01_step_table", f"""WITH {STEPS}
@@ -107,14 +107,9 @@ v_rates AS (
 def src07(spark, sf):
     root = work_dir(spark)
     rates = reports.success_rates(views.evaluations(spark, sf), ["checkpoint", "seed"])
-    # One log per run, as an evaluation writes them; runs x 16 rates are a report-sized table.
-    rows = rates.collect()
-    runs = sorted({(r["checkpoint"], r["seed"]) for r in rows})
-    for checkpoint, seed in runs:
-        own = spark.createDataFrame([(r["task"], r["rate"]) for r in rows if (r["checkpoint"], r["seed"]) == (checkpoint, seed)],
-                                    "task string, rate double")
-        sinks.write_log(own.coalesce(1), f"{root}/model/{checkpoint}/{seed}/log.json")
-    logs = readers.read_run_logs(spark, root, "model", [c for c, _ in runs], [s for _, s in runs])
+    runlogs.write_logs(rates, f"{root}/model")
+    seen = views.table(spark, sf, "orders").agg(F.collect_set("o_orderpriority"), F.collect_set("o_orderstatus")).first()
+    logs = readers.read_run_logs(spark, root, "model", *seen)
     return logs.select("checkpoint", "seed", "task", F.round("rate", 9).alias("rate"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepweave.catalog.registry import CHUNK_ROWS, STEPS, TRAJ, query
-from stepweave.constants import LONG_FIRST_ACTION_TASKS
+from stepweave.constants import LONG_FIRST_ACTION_TASKS, TASKS
 from stepweave.functions import indices
 from stepweave.functions import vectors as v
 from stepweave.operators import folds, windows
@@ -296,6 +296,28 @@ def win20(spark, sf):
     return scheduled(spark, sf).select("epis_idx", "step_idx", "query", "held")
 
 
+HOLDS = {TASKS[0]: [("view", 5), ("click", 11)], TASKS[3]: [("", 8)], TASKS[5]: [("purchase", 20), ("", 3)], TASKS[9]: [("c", 7)]}
+
+
+def hold_sql() -> str:
+    """The period in force after an answer: by the task's first rule whose text it contains."""
+    return "CASE " + " ".join(f"WHEN s.env_id = '{task}' AND contains(a, '{mark}') THEN {period}"
+                              for task, rules in HOLDS.items() for mark, period in rules) + " ELSE 0 END"
+
+
+@query("win20_hold_rules", f"""WITH RECURSIVE {STEPS},
+answered AS (SELECT *, CASE WHEN k % 7 <> 0 THEN subgoal END AS a FROM v_steps), s AS (SELECT s.*, {hold_sql()} AS period FROM answered s),
+r AS (SELECT epis_idx, step_idx, true AS query, a AS held, period FROM s WHERE step_idx = 0
+  UNION ALL SELECT s.epis_idx, s.step_idx, r.held IS NULL OR s.step_idx > r.period,
+    CASE WHEN r.held IS NULL OR s.step_idx > r.period THEN s.a ELSE r.held END,
+    CASE WHEN r.held IS NULL OR s.step_idx > r.period THEN s.period ELSE r.period END
+  FROM r JOIN s ON s.epis_idx = r.epis_idx AND s.step_idx = r.step_idx + 1)
+SELECT epis_idx, step_idx, query, held FROM r""")
+def win20_holds(spark, sf):
+    steps = views.steps(spark, sf).select("epis_idx", "step_idx", "env_id", F.when(F.col("k") % 7 != 0, F.col("subgoal")).alias("answer"), "_blk")
+    return windows.hold_schedule(steps, "answer", rules=HOLDS).select("epis_idx", "step_idx", "query", "held")
+
+
 @query("win21_rollout_outcomes", f"""WITH {STEPS},
 f AS (SELECT epis_idx, count(*) AS c, min(step_idx) FILTER (WHERE boundary AND k > 95 AND step_idx < 60) AS stop_step FROM v_steps GROUP BY epis_idx),
 r AS (SELECT f.epis_idx, stop_step, CASE WHEN stop_step IS NOT NULL THEN CASE WHEN s.value > 50 THEN 'success' ELSE 'fail' END

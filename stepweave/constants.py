@@ -64,3 +64,11 @@ GRIPPER_ARM, GRIPPER_HORN = 0.036, 0.022
 
 # Finite scalar quantization: bins per dimension by codebook size.
 FSQ_BINS = {256: (8, 6, 5), 1024: (8, 5, 5, 5), 4096: (7, 5, 5, 5, 5), 16384: (8, 8, 8, 6, 5), 65536: (8, 8, 8, 5, 5, 5)}
+
+
+# Fixed hold rules by task: how many counts an answer is held at least, by a text that it contains ("": any).
+HOLD_RULES = {
+    "ButtonUnmask": [("", 90)],
+    "PickHighlight": [("", 90)],
+    "ButtonUnmaskSwap": [("press the first button", 100), ("press the second button", 250)],
+}

@@ -297,8 +297,12 @@ def assemble_tokens(samples: DataFrame, tokens: DataFrame, features: DataFrame,
         F.get("pos_emb_8x8", F.lit(0))).alias("pos"), F.size("state").alias("state"))).scalar()
     packed = joined.groupBy(*keys, "step_idx").agg(F.array_sort(F.collect_list(
         F.struct("_pos", "image", "pos", "state"))).alias("_m"))
-    out = samples.join(packed, [*keys, "step_idx"], "left")
-    kinds = {f.name: f.dataType for f in packed.schema["_m"].dataType.elementType}
+    return padded_tokens(samples.join(packed, [*keys, "step_idx"], "left"), budget, widths)
+
+
+def padded_tokens(out: DataFrame, budget: int, widths: Column) -> DataFrame:
+    """The arrays of token memory out of the tokens' vectors ``_m`` (image, pos, state), which may be missing."""
+    kinds = {f.name: f.dataType for f in out.schema["_m"].dataType.elementType}
     for name, field in (("static_image_emb", "image"), ("static_pos_emb", "pos"), ("static_state_emb", "state")):
         # a sample without tokens is all zeros, of the features' width
         zero = F.array_repeat(F.lit(0), F.coalesce(widths[field], F.lit(0))).cast(kinds[field])
@@ -316,6 +320,11 @@ def assemble_frames(samples: DataFrame, features: DataFrame, budget: int = 512,
     payload = [f"image_emb_{side}x{side}", f"pos_emb_{side}x{side}", "state"]
     marked = samples.withColumn("_indices", even_indices(F.col("step_idx"), frames_max))
     out = gather_history(marked, features, "_indices", payload, keys).drop("_indices")
+    return padded_frames(out, payload, per_image, views, frames_max)
+
+
+def padded_frames(out: DataFrame, payload: Sequence[str], per_image: int, views: int, frames_max: int) -> DataFrame:
+    """The arrays of frame memory out of the ``history`` of feature rows."""
     size = F.size("history")
     per_frame = per_image * views
     for name, field in (("static_image_emb", payload[0]), ("static_pos_emb", payload[1])):
@@ -335,6 +344,11 @@ def assemble_recurrent(samples: DataFrame, features: DataFrame, horizon: int = 1
     marked = samples.withColumn("_indices", recurrent_indices(F.col("step_idx"), F.col("exec_start"), horizon,
                                                               max_steps, max_video))
     out = gather_history(marked, features, "_indices", payload, keys).drop("_indices")
+    return padded_recurrent(out, payload, max_steps)
+
+
+def padded_recurrent(out: DataFrame, payload: Sequence[str], max_steps: int) -> DataFrame:
+    """The arrays of recurrent memory out of the ``history`` of feature rows."""
     size = F.size("history")
 
     def deep_zero(values, depth):

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.constants import LONG_FIRST_ACTION_TASKS
+from stepweave.constants import HOLD_RULES, LONG_FIRST_ACTION_TASKS
 from stepweave.functions.indices import interior
 from stepweave.operators import ordered as o
 
@@ -188,6 +188,48 @@ def query_schedule(df: DataFrame, answer: str, env: str = "env_id", every: int =
     return o.scan(asked, KEYS, STEP, {"held": o.last(F.when(F.col("query") & ~claims, F.col(answer)))})
 
 
+def hold_schedule(df: DataFrame, answer: str, env: str = "env_id",
+                  rules: Mapping[str, Sequence[tuple[str, int]]] = HOLD_RULES) -> DataFrame:
+    """``query`` and ``held`` where the answer in force decides how long it is held.
+
+    A task's rules are (text, period): an answer that contains the text of a rule, the first that fits, is held while the
+    count is not above the period; answers without a rule, and tasks without rules, are asked for again at every count
+    above 0. Without an answer so far the model is always asked. Which rule the last answer follows is a state of a few
+    values, so an episode is a finite-state scan and needs no pass in sequence.
+    """
+    most = max([len(r) for r in rules.values()], default=0)
+    count = F.col(STEP)
+
+    def by_task(value: Callable[[Sequence[tuple[str, int]]], Column], other: Column) -> Column:
+        out = F
+        for task, own in rules.items():
+            out = out.when(F.col(env) == task, value(own))
+        return out.otherwise(other) if rules else other
+
+    def rule_of(own: Sequence[tuple[str, int]]) -> Column:
+        out = F
+        for i, (mark, _) in enumerate(own):
+            out = out.when(F.col(answer).contains(mark), F.lit(i + 1))
+        return out.otherwise(F.lit(most + 1))
+
+    # 0: no answer yet; i: the answer in force follows the task's i-th rule; most + 1: it follows none
+    given = F.when(F.col(answer).isNull(), F.lit(0)).otherwise(by_task(rule_of, F.lit(most + 1)))
+
+    def asks(state: int) -> Column:
+        if state == 0:
+            return F.lit(True)
+        return count > by_task(lambda own: F.lit(own[state - 1][1] if state <= len(own) else 0), F.lit(0))
+
+    states = range(most + 2)
+    marked = df.withColumns({"_given": given, **{f"_asks{s}": asks(s) for s in states}})
+    moves = F.array(*[F.when(F.col(f"_asks{s}"), F.col("_given")).otherwise(F.lit(s)) for s in states])
+    found = o.finite_scan(marked, KEYS, STEP, most + 2, 0, moves, "_state")
+    asked = found.withColumn("query", F.element_at(F.array(*[f"_asks{s}" for s in states]), F.col("_state") + 1))
+    asked = asked.drop("_given", "_state", *[f"_asks{s}" for s in states])
+    held = o.scan(asked, KEYS, STEP, {"held": o.last(F.when(F.col("query"), F.struct(F.col(answer).alias("x"))))})
+    return held.withColumn("held", F.col("held.x"))
+
+
 def rollout_outcome(df: DataFrame, terminal: Column, flag: str, max_steps: int = 1300) -> DataFrame:
     """One row per episode: the first terminal row's flag, ``timeout`` after max_steps, else ``unknown``.
 

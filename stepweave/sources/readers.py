@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stepweave.constants import SYMBOLIC_TYPES
 from stepweave.operators.stats import NormStats
+from stepweave.sources.runlogs import read_logs
 
 
 def key_number(key: Column) -> Column:
@@ -72,9 +73,6 @@ def n_samples(stats: DataFrame) -> DataFrame:
     return stats.select(F.coalesce(*names).alias("n_samples"))
 
 
-LOG = "success_rate map<string,double>, total_success_rate double"
-
-
 def read_run_logs(spark: SparkSession, root: str, model: str, checkpoints: Sequence[str], seeds: Sequence[str],
                   symbolic_type: str = "") -> DataFrame:
     """(checkpoint, seed, task, rate) from ``<root>/<model>/<checkpoint>/<seed>[/<type>]/log.json``.
@@ -86,21 +84,7 @@ def read_run_logs(spark: SparkSession, root: str, model: str, checkpoints: Seque
             raise ValueError(f"symbolic type must be one of {SYMBOLIC_TYPES}")
     elif symbolic_type:
         raise ValueError("only symbolic models have a symbolic type")
-    tail = f"/{symbolic_type}" if symbolic_type else ""
-    empty = "checkpoint string, seed string, task string, rate double"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/{model}/*/*{tail}/log.json")
-    statuses = pattern.getFileSystem(conf).globStatus(pattern)
-    if not statuses:
-        return spark.createDataFrame([], empty)
-    logs = (spark.read.text(f"{root}/{model}/*/*{tail}/log.json", wholetext=True)
-            .withColumn("_path", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))))
-    parts = F.split(F.regexp_extract("_path", r"([^/]+/[^/]+)" + tail + r"/log\.json(?:/[^/]+)?$", 1), "/")
-    parsed = logs.select(F.get(parts, F.lit(0)).alias("checkpoint"), F.get(parts, F.lit(1)).alias("seed"),
-                         F.from_json("value", LOG).alias("log"))
-    wanted = parsed.where(F.col("checkpoint").isin(*checkpoints) & F.col("seed").isin(*seeds)
-                          & F.col("log.success_rate").isNotNull())
-    return wanted.select("checkpoint", "seed", F.explode("log.success_rate").alias("task", "rate"))
+    return read_logs(spark, f"{root}/{model}", checkpoints, seeds, symbolic_type)
 
 
 def load_norm_stats(spark: SparkSession, path: str) -> dict[str, NormStats]:

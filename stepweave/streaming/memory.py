@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.functions.indices import even_indices, recurrent_indices
-from stepweave.operators.memory import FIRST_SCORE, MIN_SCORE
+from stepweave.operators.memory import FIRST_SCORE, MIN_SCORE, padded_frames, padded_recurrent, padded_tokens
 from stepweave.operators.stats import (WIDENING_BINS, _exploded, fixed_histogram, histogram_quantiles, merge_histograms,
                                        widening_histogram)
 from stepweave.session import with_package
@@ -39,12 +39,21 @@ def number_frames(rows: Iterator[pd.DataFrame], state: tuple[int, int], keys: di
     return state, found.assign(**keys)
 
 
-def episode_memory(stream: DataFrame, key: str = "epis_idx") -> DataFrame:
+def batch_progress(steps: DataFrame, key: str = "epis_idx") -> DataFrame:
+    """Progress (key, last, exec_start) of recorded episodes: the state from which ``episode_memory`` goes on."""
+    return steps.groupBy(key).agg(F.max("step_idx").cast("int").alias("last"), F.max("exec_start").cast("int").alias("exec_start"))
+
+
+def episode_memory(stream: DataFrame, key: str = "epis_idx", initial: DataFrame | None = None,
+                   idle_ms: int | None = None) -> DataFrame:
     """Step numbers of appended frames: one row per frame (key, seq, step_idx, exec_start, newest).
 
     Input rows are chunks (key, seq, frames, exec_start, reset) in order of ``seq``. ``exec_start`` changes
     only when given and positive. ``newest`` marks the last frame of a chunk. The state is two integers per
     episode, so its size does not depend on the episode's length.
+
+    A stream may take over recorded episodes: ``initial`` (see ``batch_progress``) is where they stand. With ``idle_ms`` an
+    episode without frames for so long is forgotten, and its next frame is a new episode's first.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -53,7 +62,10 @@ def episode_memory(stream: DataFrame, key: str = "epis_idx") -> DataFrame:
 
     class Memory(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.progress = handle.getValueState("progress", PROGRESS)
+            self.progress = handle.getValueState("progress", PROGRESS, *([] if idle_ms is None else [idle_ms]))
+
+        def handleInitialState(self, ident, rows, timerValues) -> None:
+            self.progress.update((int(rows["last"].iloc[0]), int(rows["exec_start"].iloc[0])))
 
         def handleInputRows(self, ident, rows, timerValues):
             state = tuple(self.progress.get()) if self.progress.exists() else (-1, 0)
@@ -66,7 +78,8 @@ def episode_memory(stream: DataFrame, key: str = "epis_idx") -> DataFrame:
 
     schema = f"`{key}` {kind}, seq {seq}, step_idx int, exec_start int, newest boolean"
     return with_package(stream).groupBy(key).transformWithStateInPandas(
-        statefulProcessor=Memory(), outputStructType=schema, outputMode="Append", timeMode="None")
+        statefulProcessor=Memory(), outputStructType=schema, outputMode="Append",
+        timeMode="None" if idle_ms is None else "ProcessingTime", initialState=None if initial is None else initial.groupBy(key))
 
 
 def online_selection(stream: DataFrame, mode: str = "frames", key: str = "epis_idx", budget: int = 32, horizon: int = 16,
@@ -90,6 +103,119 @@ def online_selection(stream: DataFrame, mode: str = "frames", key: str = "epis_i
     return newest.withColumn("indices", chosen)
 
 
+def even_steps(t: int, budget: int) -> list[int]:
+    """The steps of frame memory at step ``t``, as ``even_indices`` has them."""
+    if t < budget:
+        return list(range(t + 1))
+    return [*(int(i * (t / (budget - 1))) for i in range(budget - 1)), t]
+
+
+def recurrent_steps(t: int, start: int, horizon: int, max_steps: int, max_video: int) -> list[int]:
+    """The steps of recurrent memory at step ``t``, as ``recurrent_indices`` has them."""
+    execution = [t] if t - start < horizon else list(range((t - start) % horizon + start, t + 1, horizon))
+    if start <= 2 * horizon:
+        video = list(range(0, start, max(horizon // 2, 1)))
+    elif start <= max_video * horizon:
+        video = list(range(0, start, horizon))
+    else:
+        video = [*(int(i * ((start - 1) / (max_video - 1))) for i in range(max_video - 1)), start - 1]
+    return [*video, *execution][-max_steps:]
+
+
+VECTORS = "image array<array<double>>, pos array<array<double>>, state array<double>"
+
+
+def online_memory(stream: DataFrame, mode: str = "frames", key: str = "epis_idx", budget: int = 512, per_image: int = 16,
+                  horizon: int = 16, max_steps: int = 64, max_video: int = 40, keep: int = 2048, stride: int = 8) -> DataFrame:
+    """The contents of memory after every appended frame: the arrays that ``assemble_frames``, ``assemble_recurrent`` or
+    ``assemble_tokens`` give for the same step.
+
+    Input rows are features (key, step_idx, state, image_emb_*, pos_emb_*), in mode ``recurrent`` with ``exec_start`` and in
+    mode ``tokens`` with ``pixels`` (flat, 8 x 8). The state maps each step to its feature row; in mode ``tokens`` it holds the
+    kept tokens and the rows of the steps they come from, and forgets the others.
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    side = int(per_image ** 0.5) if mode == "frames" else 8
+    payload = [f"image_emb_{side}x{side}", f"pos_emb_{side}x{side}", "state"]
+    kind = stream.schema[key].dataType.simpleString()
+    extra = {"frames": [], "recurrent": ["exec_start"], "tokens": ["pixels"]}[mode]
+    read = stream.select(key, "step_idx", *extra, F.col(payload[0]).cast("array<array<double>>").alias("image"),
+                         F.col(payload[1]).cast("array<array<double>>").alias("pos"), F.col("state").cast("array<double>").alias("state"))
+    frames_max = budget // per_image
+
+    def nested(x) -> list:
+        return [[float(v) for v in row] for row in x]
+
+    class Contents(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.rows = handle.getMapState("rows", "step int", VECTORS)
+            self.scored = handle.getValueState("scored", "pixels array<double>")
+            self.tokens = handle.getListState("tokens", "score double, step int, view int, patch int")
+
+        def handleInputRows(self, ident, rows, timerValues):
+            held: dict[int, tuple] = {}
+
+            def at(step: int) -> tuple:
+                if step not in held:
+                    held[step] = tuple(self.rows.getValue((step,)))
+                return held[step]
+
+            kept = np.zeros((0, 4))
+            previous = None
+            if mode == "tokens":
+                known = [tuple(t) for t in self.tokens.get()] if self.tokens.exists() else []
+                kept = np.array(known, dtype="float64").reshape(-1, 4)
+                previous = np.asarray(self.scored.get()[0]) if self.scored.exists() else None
+            batch = pd.concat(list(rows), ignore_index=True).sort_values("step_idx", kind="stable")
+            found = []
+            for row in batch.itertuples(index=False):
+                t = int(row.step_idx)
+                if self.rows.containsKey((t,)):
+                    raise ValueError(f"step {t} was added twice")
+                held[t] = (nested(row.image), nested(row.pos), [float(v) for v in row.state])
+                if mode == "tokens":
+                    kept, previous = merge_tokens(kept, np.array([t]), np.stack([row.pixels]).astype("float64"), previous, stride, keep)
+                    best = kept[-budget:]
+                    order = sorted((int(s), int(w), int(p)) for s, w, p in best[:, 1:].tolist())
+                    found.append((t, [{"_pos": i, "image": at(s)[0][p], "pos": at(s)[1][p], "state": at(s)[2]}
+                                      for i, (s, _, p) in enumerate(order)]))
+                else:
+                    steps = even_steps(t, frames_max) if mode == "frames" else recurrent_steps(
+                        t, min(int(row.exec_start), t), horizon, max_steps, max_video)
+                    found.append((t, [dict(zip(("_pos", "at", *payload), (i, s, *at(s)))) for i, s in enumerate(steps)]))
+            if mode == "tokens":
+                if previous is not None:
+                    self.scored.update((previous.tolist(),))
+                if len(kept):
+                    self.tokens.put([(float(a), int(b), int(c), int(d)) for a, b, c, d in kept.tolist()])
+                used = {int(s) for s in kept[:, 1]}
+                for (step,) in list(self.rows.keys()):
+                    if step not in used:
+                        self.rows.removeKey((step,))
+            for step in batch["step_idx"].tolist():
+                if mode != "tokens" or step in used:
+                    self.rows.updateValue((int(step),), held[int(step)])
+            yield pd.DataFrame({key: [ident[0]] * len(found), "step_idx": [t for t, _ in found], "_m": [m for _, m in found]})
+
+        def close(self) -> None:
+            pass
+
+    if mode == "tokens":
+        entry = "struct<_pos:int,image:array<double>,pos:array<double>,state:array<double>>"
+    else:
+        entry = f"struct<_pos:int,at:int,{payload[0]}:array<array<double>>,{payload[1]}:array<array<double>>,state:array<double>>"
+    out = with_package(read).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=Contents(), outputStructType=f"`{key}` {kind}, step_idx int, _m array<{entry}>", outputMode="Append",
+        timeMode="None")
+    if mode == "tokens":
+        first = F.get("_m", F.lit(0))
+        widths = F.struct(*[F.size(first[c]).alias(c) for c in ("image", "pos", "state")])
+        return padded_tokens(out, budget, widths)
+    out = out.withColumnRenamed("_m", "history")
+    return padded_frames(out, payload, per_image, 1, frames_max) if mode == "frames" else padded_recurrent(out, payload, max_steps)
+
+
 def running_stats(stream: DataFrame, column: str) -> DataFrame:
     """Moments per dimension of all vectors so far; use output mode ``complete`` (one row per dimension)."""
     return _exploded(stream, column).groupBy("dim").agg(

@@ -12,8 +12,10 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def use_state_store(spark: SparkSession) -> None:
-    """Custom state needs the RocksDB provider."""
+    """Custom state needs the RocksDB provider. Nothing here waits for a watermark, so batches without data, which a state
+    with an expiry would ask for without end, are switched off."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
 
 
 def write_slices(df: DataFrame, order: Column, folder: str, slices: int) -> None:
