@@ -4,9 +4,10 @@
 tokens: for each term the ascending positions, in a position space where documents lie apart by ``GAP``. ``search``
 takes the test items' windows to every shard. For each window whose terms all occur there, the posting list of its
 rarest term, shifted by the term's offset, gives the candidate starts; the shifted lists of the other terms, by rising
-length, are intersected with them one after another. What is left are exact phrase matches. Proximity matches are
-items whose ``NEAR_TERMS`` rarest distinct terms, by their number in the whole corpus and then by name, all lie less than
-``GAP`` tokens from one place of the rarest.
+length, are intersected with them one after another. What is left are exact phrase matches. Proximity matches are found window
+by window: of the ``NEAR_TERMS`` rarest distinct terms of a window that the corpus holds, by their number in it and then by
+name, all but one (all, if there are two or one) lie less than ``GAP`` tokens from one place of the rarest or the second
+rarest. So every exact match is a proximity match of its item, and a window with one word replaced is, too.
 
 Test items go to the shards in blocks of at most about ``BLOCK_BYTES`` of text: one pass over the index per block, so
 the size of what is sent is bounded whatever the size of the benchmark.
@@ -31,7 +32,7 @@ from stepweave.llm.common import mapped, matched, text_chunks, text_key, to_batc
 
 WINDOW = 10
 GAP = 32
-NEAR_TERMS = 4
+NEAR_TERMS = 5
 BLOCK_BYTES = 16 << 20
 
 #: A-Z to lower case, every other ASCII byte but digits and letters to a space.
@@ -89,11 +90,8 @@ class Windows:
     def __init__(self, items: list[tuple[str, bytes]]) -> None:
         vocabulary: dict[bytes, int] = {}
         owners: dict[tuple, set[str]] = {}
-        of_item: dict[str, set[int]] = {}
         for name, text in items:
             codes = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
-            if codes:
-                of_item.setdefault(name, set()).update(codes)
             for at in range(max(1, len(codes) - WINDOW + 1) if codes else 0):
                 owners.setdefault(tuple(codes[at:at + WINDOW]), set()).add(name)
         self.vocabulary = vocabulary
@@ -102,17 +100,25 @@ class Windows:
             self.terms[row, :len(codes)] = codes
         self.lengths = (self.terms >= 0).sum(1)
         self.owners = [sorted(x) for x in owners.values()]
-        self.items = sorted(of_item)
-        self.item_terms = [sorted(of_item[name]) for name in self.items]
-        self.rare: list[tuple[int, list[int]]] = []
+        self.items = sorted({name for held in self.owners for name in held})
+        self.rank({})
 
     def rank(self, counts: dict[bytes, int]) -> None:
-        """Choose the terms of proximity search by their counts in the whole corpus; an item with an absent term has none."""
-        names = list(self.vocabulary)
-        for row, terms in enumerate(self.item_terms):
-            if all(counts.get(names[t]) for t in terms):
-                first = sorted(terms, key=lambda t: (counts[names[t]], names[t]))[:NEAR_TERMS]
-                self.rare.append((row, [*first, *[first[0]] * (NEAR_TERMS - len(first))]))
+        """Choose the terms of proximity search by their counts in the whole corpus: distinct (item, rarest terms)."""
+        names, row_of = list(self.vocabulary), {name: i for i, name in enumerate(self.items)}
+        place = {t: i for i, t in enumerate(sorted((t for t, w in enumerate(names) if counts.get(w)),
+                                                   key=lambda t: (counts[names[t]], names[t])))}
+        chosen = set()
+        for codes, owners in zip(self.terms.tolist(), self.owners):
+            rare = sorted((place[t], t) for t in set(codes) if t in place)[:NEAR_TERMS]
+            if rare:
+                key = tuple(t for _, t in rare) + (-1,) * (NEAR_TERMS - len(rare))
+                chosen.update((row_of[name], key) for name in owners)
+        rows = sorted(chosen)
+        self.rare_items = np.array([r for r, _ in rows], np.int64)
+        self.rare_terms = np.array([k for _, k in rows], np.int64).reshape(-1, NEAR_TERMS)
+        size = (self.rare_terms >= 0).sum(1)
+        self.rare_least = np.where(size > 2, size - 1, size)
 
 
 class Shard:
@@ -172,16 +178,25 @@ def phrases(shard: Shard, block: Windows) -> tuple[np.ndarray, np.ndarray]:
 
 
 def proximities(shard: Shard, block: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """Items whose rarest distinct terms lie close together: item and position of its rarest term."""
-    rare = [(row, terms) for row, terms in block.rare if shard.count[terms].all()]
-    if not rare:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rows, terms = np.array([r for r, _ in rare]), np.array([t for _, t in rare], np.int64)
-    which, places = shard.lists(terms[:, 0])
-    for rank in range(1, NEAR_TERMS):
-        good = shard.near(terms[which, rank], places)
-        which, places = which[good], places[good]
-    return rows[which], places
+    """Items with a window whose rarest terms lie close together: item and position of the term that was started from."""
+    terms, least = block.rare_terms, block.rare_least
+    there = (terms >= 0) & (shard.count[np.maximum(terms, 0)] > 0) if len(shard.keys) else np.zeros(terms.shape, bool)
+    alive = np.flatnonzero(there.sum(1) >= least)
+    items, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start in (0, 1):
+        rows = alive[there[alive, start]]
+        which, place = shard.lists(terms[rows, start])
+        which, met = rows[which], np.ones(len(place), np.int64)
+        others = [k for k in range(NEAR_TERMS) if k != start]
+        for left, k in zip(range(len(others) - 1, -1, -1), others):
+            term = terms[which, k]
+            met = met + ((term >= 0) & shard.near(np.maximum(term, 0), place))
+            # what cannot reach its number with the terms that are left goes
+            good = met + left >= least[which]
+            which, place, met = which[good], place[good], met[good]
+        items.append(block.rare_items[which])
+        places.append(place)
+    return np.concatenate(items), np.concatenate(places)
 
 
 def _counted(index: DataFrame, vocabulary: dict[bytes, int]) -> dict[bytes, int]:
@@ -290,15 +305,18 @@ named AS (SELECT row_at, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER
   FROM (SELECT DISTINCT row_at, item FROM m) GROUP BY row_at),
 place AS (SELECT row_at, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d),
 df AS (SELECT term, count(*) AS c FROM place GROUP BY term),
-terms AS (SELECT DISTINCT item, unnest(w) AS term FROM b),
-ranked AS (SELECT item, term, c, row_number() OVER (PARTITION BY item ORDER BY c, encode(term)) AS k,
-  count(*) OVER (PARTITION BY item) - count(c) OVER (PARTITION BY item) AS absent FROM terms LEFT JOIN df USING (term)),
-rare AS (SELECT item, term, k, max(k) OVER (PARTITION BY item) AS most FROM ranked WHERE absent = 0 AND k <= {NEAR_TERMS}),
-seed AS (SELECT r.item, r.most, a.row_at, a.pos FROM rare r JOIN place a USING (term) WHERE k = 1),
-met AS (SELECT s.item, s.row_at, s.pos, any_value(s.most) AS most, count(DISTINCT r.k) AS k FROM seed s
-  JOIN rare r ON r.item = s.item JOIN place a ON a.term = r.term AND a.row_at = s.row_at AND abs(a.pos - s.pos) < {GAP}
-  GROUP BY s.item, s.row_at, s.pos),
-near AS (SELECT row_at, count(DISTINCT item)::BIGINT AS n_near FROM met WHERE k = most GROUP BY row_at)
+windows AS (SELECT row_number() OVER () AS win, item, part FROM (SELECT DISTINCT item, part FROM iw)),
+ranked AS (SELECT win, item, term, row_number() OVER (PARTITION BY win ORDER BY c, encode(term)) AS k
+  FROM (SELECT DISTINCT win, item, unnest(part) AS term FROM windows) JOIN df USING (term)),
+rare AS (SELECT *, max(k) OVER (PARTITION BY win) AS most FROM ranked WHERE k <= {NEAR_TERMS}),
+sets AS (SELECT DISTINCT item, list(term ORDER BY k) AS terms, any_value(most) AS most FROM rare GROUP BY win, item),
+seed AS (SELECT DISTINCT item, terms, most, row_at, pos FROM sets s, LATERAL (SELECT unnest(s.terms[1:2]) AS term) t
+  JOIN place USING (term)),
+met AS (SELECT s.item, s.terms, s.most, s.row_at, s.pos, count(DISTINCT a.term) AS k FROM seed s JOIN place a
+  ON a.row_at = s.row_at AND a.pos > s.pos - {GAP} AND a.pos < s.pos + {GAP} AND list_contains(s.terms, a.term)
+  GROUP BY ALL),
+near AS (SELECT row_at, count(DISTINCT item)::BIGINT AS n_near FROM met
+  WHERE k >= CASE WHEN most > 2 THEN most - 1 ELSE most END GROUP BY row_at)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
 FROM d LEFT JOIN hit USING (row_at) LEFT JOIN named USING (row_at) LEFT JOIN near USING (row_at)"""

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -132,15 +133,25 @@ def brute(docs, items):
         w = word.findall((text or "").translate(LOWER))
         for k in range(max(1, len(w) - 9) if w else 0):
             windows.setdefault(tuple(w[k:k + 10]), set()).add(str(name))
+    split = [word.findall((text or "").translate(LOWER)) for _, text in docs]
+    counts = Counter(w for words in split for w in words)
+    rare = {k: sorted({w for w in k if counts[w]}, key=lambda w: (counts[w], w.encode()))[:5] for k in windows}
     out = []
-    for i, text in docs:
-        w, hit, named = word.findall((text or "").translate(LOWER)), set(), set()
+    for (i, _), w in zip(docs, split):
+        hit, named, near = set(), set(), set()
         for size in {len(k) for k in windows}:
             for k in range(len(w) - size + 1):
                 if tuple(w[k:k + size]) in windows:
                     hit.update(range(k, k + size))
                     named |= windows[tuple(w[k:k + size])]
-        out.append((i, len(w), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit)))
+        for k, terms in rare.items():
+            least = len(terms) - 1 if len(terms) > 2 else len(terms)
+            for at, term in enumerate(w):
+                if term in terms[:2] and len(set(terms) & set(w[max(0, at - 31):at + 32])) >= least:
+                    near |= windows[k]
+                    break
+        assert named <= near
+        out.append((i, len(w), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit), len(near)))
     return sorted(out, key=repr)
 
 
@@ -159,7 +170,7 @@ def test_decontamination(spark, block):
     docs += [(i, t) for i, t in ODD] + [(5, docs[6][1])]
     bench = spark.createDataFrame([(i, t, "q") for i, t in items], "item_id bigint, text string, shard string")
     index = decontamination.build_index(frame(spark, docs).repartition(3))
-    found = decontamination.digest(decontamination.search(index, bench, block)).drop("n_near")
+    found = decontamination.digest(decontamination.search(index, bench, block))
     assert sorted(map(tuple, found.collect()), key=repr) == brute(docs, items)
 
 
@@ -173,6 +184,24 @@ def test_clean_keeps_columns_and_rows(spark):
     assert near.near == ["1"] and near.hits == []
 
 
+def test_edited_copies_are_near(spark):
+    """Items of any length find themselves, and copies in which any one word is replaced, known elsewhere or not."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    items = [(n, " ".join(rng.sample(words, n))) for n in (4, 10, 16, 40, 120)]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    docs, want = [(0, " ".join(rng.choices(words, k=500)))], {}
+    for n, text in items:
+        for at in range(0, n, max(1, n // 8)):
+            for other in ("unseen", "w299", None):
+                copy = text.split()
+                copy[at] = copy[at] if other is None else other
+                docs.append((len(docs), "before " + " ".join(copy) + " after"))
+                want[len(docs) - 1] = str(n)
+    got = {r.doc_id: r.near for r in decontamination.decontaminate(frame(spark, docs), bench).collect()}
+    assert all(name in got[i] for i, name in want.items())
+
+
 def test_clean_without_ids(spark):
     passage = "one two three four five six seven eight nine ten"
     bench = spark.createDataFrame([(1, passage)], "item_id int, text string")
