@@ -6,8 +6,9 @@ is tied to earlier nodes that are nearer to it than to each other, and ties are
 above the lowest layer). Nearness in the graph is the inner product itself, for building as for searching, so long
 vectors become the hubs that searches for large products pass through. Every row is indexed; nothing is sampled.
 
-Queries meet each shard in groups of at most ``GROUP``: greedy descent through the upper layers, then a beam of ``BEAM``
-over the lowest, for all queries of the group at once. Scores are computed again in double precision on the original
+A shard's row travels once for each ``CHUNK`` queries, ahead of them in one sorted partition, and the queries stream past it
+in groups of at most ``GROUP``: greedy descent through the upper layers, then a beam over the lowest, ``BEAM`` wide for up to
+64 dimensions and wider in proportion beyond, for all queries of the group at once. Scores are computed again in double precision on the original
 vectors, copies of a vector are listed by their ids, and each query's best rows over all shards are merged by a window
 that keeps no more than the asked number per task before the shuffle.
 
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import written
+from stepweave.llm.common import mapped, to_batch, written
 
 SHARD_ROWS = 32768
-DEGREE, CANDIDATES, BEAM, EXPANDED, GROUP = 16, 64, 192, 8, 2048
+DEGREE, CANDIDATES, BEAM, EXPANDED, GROUP, CHUNK = 16, 64, 192, 8, 2048, 1 << 17
 ASKED, EVERY, SEED = 20, 20, 5
 ROWS = 256  # at a time against a whole shard while building
 
@@ -145,9 +146,10 @@ class Graph:
                 up = like[np.arange(len(moving)), at] > best[moving]
                 moving, at, like, near = moving[up], at[up], like[up], near[up]
                 now[moving], best[moving] = near[np.arange(len(moving)), at], like[np.arange(len(moving)), at]
-        beam = np.full((n, BEAM), -1, np.int64)
-        like = np.full((n, BEAM), -np.inf, np.float32)
-        done = np.ones((n, BEAM), bool)
+        width = BEAM * max(1, -(-self.x.shape[1] // 64))
+        beam = np.full((n, width), -1, np.int64)
+        like = np.full((n, width), -np.inf, np.float32)
+        done = np.ones((n, width), bool)
         seen = np.zeros((n, len(self.x)), bool)
         beam[:, 0], like[:, 0], done[:, 0] = now, best, False
         seen[np.arange(n), now] = True
@@ -173,7 +175,7 @@ class Graph:
             score = np.full(near.shape, -np.inf, np.float32)
             score[row, column] = np.einsum("nd,nd->n", self.x[node], q[live[row]])
             all_like = np.hstack([like[live], score])
-            top = np.argpartition(-all_like, BEAM - 1, axis=1)[:, :BEAM]
+            top = np.argpartition(-all_like, width - 1, axis=1)[:, :width]
             like[live] = np.take_along_axis(all_like, top, 1)
             beam[live] = np.take_along_axis(np.hstack([beam[live], near]), top, 1)
             done[live] = np.take_along_axis(np.hstack([done[live], ~fresh]), top, 1)
@@ -229,38 +231,59 @@ def build_index(rows: DataFrame) -> DataFrame:
                    "graphs")
 
 
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def _answer(asked: int):
+    """Searches of a sorted partition: a shard's row, then the queries that are to meet it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, graph = None, None
+        for batch in batches:
+            own = batch.select(["dim", "shard", "part"]).to_pylist()
+            is_query = batch.column("is_query").to_numpy(zero_copy_only=False)
+            at = 0
+            while at < batch.num_rows:
+                if not is_query[at]:
+                    key, graph = own[at], _load({**own[at], **batch.select(STORED).slice(at, 1).to_pylist()[0]})
+                    at += 1
+                    continue
+                end = at + 1
+                while end < batch.num_rows and end - at < GROUP and is_query[end] and own[end] == own[at]:
+                    end += 1
+                if own[at] == key:
+                    yield _group(graph, batch.slice(at, end - at), key["dim"], asked)
+                at = end
+    return run
+
+
+def _group(graph: Graph, rows: pa.RecordBatch, dim: int, asked: int) -> pa.RecordBatch:
+    own, q = rows.column("query_id").to_numpy(), _matrix(pa.chunked_array([rows.column("query")]), dim)
+    ids, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for at, near, score in graph.nearest(own, q, asked):
+        ids.append(np.full(len(near), own[at]))
+        found.append(near)
+        scores.append(score)
+    return to_batch(_FOUND, query_id=np.concatenate(ids), vec_id=np.concatenate(found), score=np.concatenate(scores))
+
+
+STORED = ["ids", "x", "first", "sizes", "lists"]
+
+
 def search(index: DataFrame, queries: DataFrame, asked: int = ASKED) -> DataFrame:
     """query_id, rank, vec_id and score of the ``asked`` nearest found of each query (vec_id, embedding, dim)."""
     queries = written(queries.select("vec_id", "embedding", "dim"), "queries")
-    groups = queries.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
-    shards = index.select("dim", "shard")
-    pairs = shards.join(groups, "dim").agg(F.coalesce(F.sum("groups"), F.lit(0))).first()[0]
-    left = index.join(groups, "dim").select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")).drop(
-        "groups")
-    counted = shards.groupBy("dim").agg(F.max("shard").alias("last"))
-    right = (queries.join(groups, "dim").join(counted, "dim").select(
-        F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("q_shard"),
-        F.pmod(F.xxhash64("vec_id", "embedding"), F.col("groups")).cast("int").alias("q_part"),
-        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")))
-
-    def run(key: tuple, graphs: pa.Table, rows: pa.Table) -> pa.Table:
-        ids, found, scores = [], [], []
-        if graphs.num_rows and rows.num_rows:
-            graph = _load(graphs.to_pylist()[0])
-            own = rows["query_id"].to_numpy()
-            q = _matrix(rows["query"], key[0].as_py())
-            for at, near, score in graph.nearest(own, q, asked):
-                ids.append(np.full(len(near), own[at]))
-                found.append(near)
-                scores.append(score)
-        return pa.table({"query_id": np.concatenate(ids or [np.zeros(0, np.int64)]),
-                         "vec_id": np.concatenate(found or [np.zeros(0, np.int64)]),
-                         "score": np.concatenate(scores or [np.zeros(0)])})
-    tasks = max(1, min(pairs, 4096))
+    parts = queries.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    shards = index.groupBy("dim").agg(F.max("shard").alias("last"))
+    tasks = shards.join(parts, "dim").agg(F.coalesce(F.sum((F.col("last") + 1) * F.col("parts")), F.lit(0))).first()[0]
+    left = index.join(parts, "dim").select("dim", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                                           F.lit(False).alias("is_query"), *STORED)
+    right = queries.join(parts, "dim").join(shards, "dim").select(
+        "dim", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("shard"),
+        F.pmod(F.xxhash64("vec_id", "embedding"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("is_query"),
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     key = ["dim", "shard", "part"]
-    met = (left.repartition(tasks, *key).groupBy(*key)
-           .cogroup(right.repartition(tasks, "q_dim", "q_shard", "q_part").groupBy("q_dim", "q_shard", "q_part"))
-           .applyInArrow(run, "query_id bigint, vec_id bigint, score double"))
+    both = left.unionByName(right, allowMissingColumns=True).repartition(max(1, min(tasks, 4096)), *key)
+    met = mapped(both.sortWithinPartitions(*key, "is_query"), _answer(asked), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= asked)
             .select("query_id", "rank", "vec_id", "score"))

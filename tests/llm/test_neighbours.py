@@ -180,6 +180,26 @@ def test_neighbours_recall_and_ties(spark, monkeypatch):
     assert [i for i, _ in got[1600 + 20]] == [5, *range(1600, 1619)]
 
 
+def test_several_chunks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 150)
+    rng = np.random.default_rng(3)
+    rows = vectors(spark, [(i, [float(x) for x in rng.normal(size=8 if i % 3 else 5)]) for i in range(600)])
+    whole = sorted(map(tuple, neighbours.nearest(rows).collect()))
+    monkeypatch.setattr(neighbours, "CHUNK", 4)
+    assert sorted(map(tuple, neighbours.nearest(rows).collect())) == whole and len(whole) == 600
+
+
+@pytest.mark.parametrize("dim", [64, 256])
+def test_recall_by_dimension(dim):
+    x = np.random.default_rng(dim).normal(size=(6000, dim)).astype(np.float32)
+    graph, asked = neighbours.Graph.build(np.arange(len(x)), x), np.arange(0, 6000, 40)
+    found = {at: set(near) for at, near, _ in graph.nearest(asked, x[asked], 20)}
+    like = x[asked].astype(float) @ x.T.astype(float)
+    like[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-like, axis=1)[:, :20]
+    assert np.mean([len(set(w) & found[i]) / 20 for i, w in enumerate(want)]) > 0.95
+
+
 def test_no_vectors(spark):
     assert neighbours.nearest(vectors(spark, [])).count() == 0
     assert neighbours.nearest(vectors(spark, [(20, [1.0])])).count() == 0
