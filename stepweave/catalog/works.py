@@ -95,6 +95,32 @@ def job02(spark, sf):
                                        F.get("videos", F.lit(0)).alias("video"))
 
 
+def jittered_sql(seed: int, value: str, index: str, axis: int) -> str:
+    return f"least(greatest({value} + {rnd(seed, 'epis_idx', 'step_idx', index, str(axis))} % 4 - 2, 0), 255)"
+
+
+def box_sum(boxes):
+    """Sum of the boxes' coordinates, weighted by their places."""
+    one = F.transform(boxes, lambda b, i: (i + 1) * (F.get(b, F.lit(0)) * 256 + F.get(b, F.lit(1))))
+    return F.aggregate(one, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+@query("job02_jittered_boxes", f"""WITH {STEPS}, {CHAT},
+l AS (SELECT *, list(CASE WHEN cg AND box <> '' THEN box::INT END) OVER (PARTITION BY epis_idx ORDER BY step_idx
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s4),
+m AS (SELECT epis_idx, step_idx, duplicates, list_concat(list_filter(coalesce(before, []), lambda b: b IS NOT NULL),
+        CASE WHEN box <> '' THEN [box::INT] ELSE [] END) AS boxes FROM l),
+u AS (SELECT epis_idx, step_idx, unnest(boxes) AS y, unnest(range(len(boxes))) AS i FROM m),
+j AS (SELECT epis_idx, step_idx, sum((i + 1) * ({jittered_sql(9, 'y', 'i', 0)} * 256 + {jittered_sql(9, '5', 'i', 1)}))::BIGINT AS boxes
+  FROM u GROUP BY epis_idx, step_idx)
+SELECT m.epis_idx, m.step_idx, unnest(range(duplicates + 1))::INT AS copy, len(m.boxes)::INT AS n, coalesce(j.boxes, 0) AS boxes
+FROM m LEFT JOIN j ON j.epis_idx = m.epis_idx AND j.step_idx = m.step_idx""")
+def job02_jittered(spark, sf):
+    out = jobs.build_chat_single(grounded_steps(spark, sf), sentinel=SENTINEL, noise_seed=9, stride=1, slow_stride=2)
+    return out.where("kind = 'grounded'").select("epis_idx", "step_idx", "copy", F.size("objects.bbox").alias("n"),
+                                                 box_sum(F.col("objects.bbox")).alias("boxes"))
+
+
 KEYFRAME = f"""{KEYS_SQL},
 kk AS (SELECT k.epis_idx, k.pos, k.step_idx - s.exec_start AS off, s.exec_start AS e, (s.n - s.exec_start + 1) // 2 AS nf
        FROM v_keys k JOIN v_steps s ON s.epis_idx = k.epis_idx AND s.step_idx = 0),
@@ -157,6 +183,17 @@ def job03(spark, sf):
                                            F.get("videos", F.lit(0)).alias("video"))
 
 
+@query("job03_jittered_boxes", f"""{KEYFRAME_WITH},
+bx AS (SELECT epis_idx, grp, step_idx, regexp_extract(ground, 'at <(\\d+), (\\d+)>', 1) AS box FROM v_memer)
+SELECT epis_idx, grp AS "group", (box <> '')::INT AS n, CASE WHEN box = '' THEN 0 ELSE
+  {jittered_sql(4, "box::INT", "'0'", 0)} * 256 + {jittered_sql(4, '5', "'0'", 1)} END::BIGINT AS boxes FROM bx""")
+def job03_jittered(spark, sf):
+    steps = grounded_steps(spark, sf)
+    out = jobs.build_chat_keyframes(steps, keyframe_list(steps), sentinel=SENTINEL, noise_seed=4)
+    return out.where("kind = 'grounded'").select("epis_idx", "group", F.size("objects.bbox").alias("n"),
+                                                 box_sum(F.col("objects.bbox")).alias("boxes"))
+
+
 @query("agg11_largest_sample", f"{KEYFRAME_WITH} SELECT max(memory + frames)::INT AS max_frames FROM v_memer")
 def agg11(spark, sf):
     steps = views.steps(spark, sf)
@@ -183,6 +220,21 @@ def job04(spark, sf):
     return out.select("name", "dim", *[F.round(c, 4).alias(c) for c in ("mean", "std", "q01", "q99")])
 
 
+@query("job04_adapted_statistics", f"""WITH {FRAMES},
+n AS (SELECT epis_idx, max(step_idx) AS last FROM v_frames GROUP BY epis_idx),
+ch AS (SELECT f.pixels[3]::DOUBLE - s.pixels[1]::DOUBLE AS a0, f.pixels[4]::DOUBLE AS a1 FROM v_frames s JOIN n USING (epis_idx)
+  CROSS JOIN range(20) r(i) JOIN v_frames f ON f.epis_idx = s.epis_idx AND f.step_idx = least(s.step_idx + i, n.last)),
+v AS (SELECT 'actions' AS name, 0 AS dim, a0 AS x FROM ch UNION ALL SELECT 'actions', 1, a1 FROM ch
+      UNION ALL SELECT 'state', 0, pixels[1]::DOUBLE FROM v_frames UNION ALL SELECT 'state', 1, pixels[2]::DOUBLE FROM v_frames)
+SELECT name, dim::INT AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM v GROUP BY name, dim""")
+def job04_adapted(spark, sf):
+    chunks = windows.action_chunks(frame_steps(spark, sf), 20)
+    found = jobs.compute_norm_stats(chunks, jobs.SAMPLE_STRUCTURE, mask=v.bool_mask(1, -1))
+    rows = [(name, i, s.mean[i], s.std[i]) for name, s in found.items() for i in range(len(s.mean))]
+    out = spark.createDataFrame(rows, "name string, dim int, mean double, std double")
+    return out.select("name", "dim", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
 @query("job05_trajectory_frames", f"""WITH {TRAJ},
 ch AS (SELECT s.traj, s.t, any_value(s.file_path) AS file_path, any_value(s.recording_folderpath) AS folder, round(sum(a.position), 3) AS total
        FROM v_traj s CROSS JOIN range(4) i(i) JOIN v_traj a ON a.traj = s.traj AND a.t = least(s.t + i.i, s.traj_len - 1)

@@ -72,3 +72,16 @@ HOLD_RULES = {
     "PickHighlight": [("", 90)],
     "ButtonUnmaskSwap": [("press the first button", 100), ("press the second button", 250)],
 }
+
+# Fixed texts of chat records.
+VIDEO_MARK = "<video>"
+GOAL_LEAD = "The task goal is: "
+FIRST_TURN = "This is the initial turn for prediction\n"
+HISTORY_LEAD = "The history of previous predicted {kind}s are: "
+NEXT_QUESTION = "<image>What's the next {kind} based on current observation?"
+SETUP_VIDEO = "The task has a video input for initial setup: <video>\n"
+KEYFRAMES_LEAD = "\nHere are the selected frames from the entirety of the full execution that are of particular importance:"
+CURRENT_LEAD = "\nHere is current input image list from the front-view camera: "
+KEYFRAME_QUESTION = "\n\nWhat subtask should the robot execute and what is the keyframe position?"
+ANSWER_WITH_KEYFRAME = ('{"current_subtask": "', '", "keyframe_positions": [', "]}")
+ANSWER_WITHOUT_KEYFRAME = ('{"current_subtask":"', '", "keyframe_positions": []}')

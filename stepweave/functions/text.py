@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stepweave import constants as c
 from stepweave.constants import (DEMO_QUERY, DEMO_TASKS, GROUNDED_SYSTEM, IMAGE_QUERY, KEYFRAME_SYSTEM, SIMPLE_SYSTEM,
                                  VIDEO_QUERY)
 from stepweave.functions import rng
@@ -164,11 +165,10 @@ def message(role: str, content: Column) -> Column:
 
 def single_user_text(goal: Column, history: Column, has_video: Column, grounded: bool) -> Column:
     kind = "grounded language subgoal" if grounded else "language subgoal"
-    middle = F.when(F.size(history) == 0, F.lit("This is the initial turn for prediction\n")).otherwise(F.concat(
-        F.lit(f"The history of previous predicted {kind}s are: "), number_list(history), F.lit("\n")))
-    return F.concat(F.when(has_video, F.lit("<video>")).otherwise(F.lit("")), F.lit("The task goal is: "), goal,
-                    F.lit("\n"), middle,
-                    F.lit(f"<image>What's the next {kind} based on current observation?"))
+    middle = F.when(F.size(history) == 0, F.lit(c.FIRST_TURN)).otherwise(F.concat(
+        F.lit(c.HISTORY_LEAD.format(kind=kind)), number_list(history), F.lit("\n")))
+    return F.concat(F.when(has_video, F.lit(c.VIDEO_MARK)).otherwise(F.lit("")), F.lit(c.GOAL_LEAD), goal, F.lit("\n"), middle,
+                    F.lit(c.NEXT_QUESTION.format(kind=kind)))
 
 
 def image_list(n: Column) -> Column:
@@ -176,20 +176,18 @@ def image_list(n: Column) -> Column:
 
 
 def keyframe_user_text(goal: Column, n_key: Column, n_exec: Column, has_video: Column) -> Column:
-    prefix = F.when(has_video, F.lit("The task has a video input for initial setup: <video>\n")).otherwise(F.lit(""))
-    return F.concat(prefix, F.lit("The task goal is: "), goal, F.lit(
-        "\nHere are the selected frames from the entirety of the full execution that are of particular importance:"),
-        image_list(n_key), F.lit("\nHere is current input image list from the front-view camera: "),
-        image_list(n_exec), F.lit("\n\nWhat subtask should the robot execute and what is the keyframe position?"))
+    prefix = F.when(has_video, F.lit(c.SETUP_VIDEO)).otherwise(F.lit(""))
+    return F.concat(prefix, F.lit(c.GOAL_LEAD), goal, F.lit(c.KEYFRAMES_LEAD), image_list(n_key), F.lit(c.CURRENT_LEAD),
+                    image_list(n_exec), F.lit(c.KEYFRAME_QUESTION))
 
 
 def keyframe_answer(subgoal: Column, candidate: Column) -> Column:
     """Answer JSON; the text form differs by one space between a hit and no hit."""
     shown = F.coalesce(subgoal, F.lit("None"))
-    hit = F.concat(F.lit('{"current_subtask": "'), shown, F.lit('", "keyframe_positions": ['),
-                   candidate.cast("string"), F.lit("]}"))
-    return F.when(candidate.isNotNull(), hit).otherwise(
-        F.concat(F.lit('{"current_subtask":"'), shown, F.lit('", "keyframe_positions": []}')))
+    lead, middle, end = map(F.lit, c.ANSWER_WITH_KEYFRAME)
+    bare, rest = map(F.lit, c.ANSWER_WITHOUT_KEYFRAME)
+    return F.when(candidate.isNotNull(), F.concat(lead, shown, middle, candidate.cast("string"), end)).otherwise(
+        F.concat(bare, shown, rest))
 
 
 SYSTEM_TEXTS = {"simple": SIMPLE_SYSTEM, "grounded": GROUNDED_SYSTEM, "keyframe": KEYFRAME_SYSTEM}

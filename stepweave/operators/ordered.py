@@ -59,13 +59,13 @@ def oversized(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame | Non
     floor = split_rows(df)
     value = order_value(df, order)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rows = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
-    limit = F.greatest(F.lit(floor), F.ceil(rows / MAX_SPLITS))
-    large = (sizes.where((F.col("_n") > floor) & (F.col("_n") > limit))
-             .select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_nb")))
-    found = large.collect()
-    if not found:
+    # one pass over the keys, and no more where no group is oversized
+    rows, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    limit = max(floor, -(-(rows or 0) // MAX_SPLITS))
+    if (most or 0) <= limit:
         return None
+    large = sizes.where(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_nb"))
+    found = large.collect()
     table = df.sparkSession.createDataFrame(found, large.schema)
     finest = max(r["_nb"] for r in found)
     shares = [i / finest for i in range(1, finest)]

@@ -194,3 +194,12 @@ def test_stream_reset_and_exec_start(spark, tmp_path):
 def test_chunk_expansion(spark):
     df = spark.createDataFrame([(0, 8, [1, 2, 3])], "epis_idx int, step_idx int, actions array<int>")
     assert [(r.step_idx, r.action) for r in live.expand_chunks(df, 2).collect()] == [(8, 1), (9, 2)]
+
+
+def test_positions_of_several_views(spark):
+    tokens = spark.createDataFrame([(s, w, p) for s in range(3) for w in range(2) for p in range(2)], "step_idx int, view int, patch int")
+    table = spark.createDataFrame([(t, p, [float(t), float(p)]) for t in range(6) for p in range(2)], "t int, patch int, emb array<double>")
+    got = joins.attach_pos(tokens, table, views=2).collect()
+    assert len(got) == 12 and all(r.pos_emb == [r.step_idx * 2 + r.view, r.patch] for r in got)
+    with pytest.raises(Exception, match="no position row"):
+        joins.attach_pos(tokens, table.where("t < 5"), views=2).collect()
