@@ -11,9 +11,9 @@ from stepweave.catalog.registry import CHUNK_ROWS, EVAL, FRAMES, STEPS, TRAJ, qu
 from stepweave.catalog.sampled import permuted_sql
 from stepweave.catalog.windowing import KEYS_SQL, SELECTED, SENTINEL, dim_sum, keyframe_list
 from stepweave.functions import vectors as v
-from stepweave.operators import reports, stats, windows
+from stepweave.operators import memory, reports, stats, windows
 from stepweave.plans import jobs
-from stepweave.sources import store, views
+from stepweave.sources import sinks, store, views
 
 
 @query("job01_training_samples", f"""WITH {CHUNK_ROWS},
@@ -315,6 +315,20 @@ def job01_build(spark, sf):
                       F.lit(again.about["total_samples"]).cast("bigint").alias("total_samples"))
 
 
+@query("snk01_memory_tables", f"""WITH {KEPT_SQL}
+SELECT epis_idx, step_idx, round(list_sum(pixels::DOUBLE[]) / 4, 5) AS mid,
+  (SELECT count(*) FROM v_kept k WHERE k.epis_idx = f.epis_idx)::INT AS kept,
+  (SELECT min(patch) FROM v_kept k WHERE k.epis_idx = f.epis_idx AND k.pos = 0)::INT AS least FROM v_frames f""")
+def snk01_memory(spark, sf):
+    folder = work_dir(spark)
+    features, kept = jobs.build_memory(frame_steps(spark, sf), keep=300, pos_dim=12)
+    sinks.write_features(features, f"{folder}/features")
+    sinks.write_kept(memory.kept_lists(kept), f"{folder}/kept")
+    lists = spark.read.parquet(f"{folder}/kept").select("epis_idx", F.size("kept").alias("kept"), F.get("kept", F.lit(0))["patch"].alias("least"))
+    rows = spark.read.parquet(f"{folder}/features").join(lists, "epis_idx")
+    return rows.select("epis_idx", "step_idx", F.round(deep_sum("image_emb_4x4"), 5).alias("mid"), "kept", "least")
+
+
 @query("src05_stored_sample", f"""WITH {FRAMES}, {SAMPLED}
 SELECT id AS sample_id, epis_idx, step_idx, round(pixels[1]::DOUBLE, 6) AS state0, (SELECT count(*) FROM v_ids) AS n_samples
 FROM v_ids WHERE id = 137""")

@@ -24,29 +24,31 @@ def refuse_collisions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, keys: Sequence[str], episode: str = "epis_idx",
-                width: int = EPISODES_PER_BUCKET) -> None:
+                width: int = EPISODES_PER_BUCKET, changed_only: bool = False) -> None:
     """Overwrite a keyed table, in folders of ``width`` episodes so that a lookup reads one folder.
 
     Rows are dealt by ranges of (folder, keys), so a folder gets few files and a large one several tasks. Keys are checked
-    on what was written; a collision raises and leaves the table to be written again.
+    on what was written; a collision raises and leaves the table to be written again. With ``changed_only`` the folders that
+    ``df`` has rows for are replaced, and all others stay. For tables that must change together see ``store``.
     """
     bucketed = df.withColumn("epis_bucket", F.floor(F.col(episode) / width))
     dealt = bucketed.repartitionByRange("epis_bucket", *keys)
-    dealt.write.mode("overwrite").partitionBy("epis_bucket").parquet(path)
+    mode = "dynamic" if changed_only else "static"
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("epis_bucket").parquet(path)
     refuse_collisions(df.sparkSession.read.parquet(path).select(*keys), keys)
 
 
-def write_samples(df: DataFrame, path: str) -> None:
-    write_table(df.drop(o.BLOCK), path, ["sample_id"])
+def write_samples(df: DataFrame, path: str, changed_only: bool = False) -> None:
+    write_table(df.drop(o.BLOCK), path, ["sample_id"], changed_only=changed_only)
 
 
-def write_features(df: DataFrame, path: str) -> None:
-    write_table(df.drop(o.BLOCK), path, ["epis_idx", "step_idx"])
+def write_features(df: DataFrame, path: str, changed_only: bool = False) -> None:
+    write_table(df.drop(o.BLOCK), path, ["epis_idx", "step_idx"], changed_only=changed_only)
 
 
-def write_kept(df: DataFrame, path: str) -> None:
+def write_kept(df: DataFrame, path: str, changed_only: bool = False) -> None:
     """Kept-token list per episode."""
-    write_table(df, path, ["epis_idx"])
+    write_table(df, path, ["epis_idx"], changed_only=changed_only)
 
 
 def dataset_stats(steps: DataFrame) -> DataFrame:

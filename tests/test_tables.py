@@ -165,6 +165,14 @@ def test_sample_sink(spark, tmp_path):
         sinks.write_samples(df.union(df.limit(1)), f"{tmp_path}/t")
 
 
+def test_changed_folders_alone_are_replaced(spark, tmp_path):
+    rows = spark.range(3000).select((F.col("id") % 3000).cast("int").alias("epis_idx"), F.array(F.lit(1)).alias("kept"))
+    sinks.write_kept(rows, f"{tmp_path}/k")
+    sinks.write_kept(rows.where("epis_idx BETWEEN 1100 AND 1200").withColumn("kept", F.array(F.lit(2))), f"{tmp_path}/k", changed_only=True)
+    got = spark.read.parquet(f"{tmp_path}/k").groupBy(F.floor(F.col("epis_idx") / 1024).alias("b"), "kept").count().collect()
+    assert sorted((r.b, r.kept[0], r["count"]) for r in got) == [(0, 1, 1024), (1, 2, 101), (2, 1, 952)]
+
+
 def test_chat_lines_leave_out_null_keys(spark, tmp_path):
     df = spark.createDataFrame([("simple", ["a.png"], None), ("simple", ["b.png"], ["v.mp4"])], "kind string, images array<string>, videos array<string>")
     sinks.write_chat_jsonl(df, f"{tmp_path}/c", kinds=["simple"])
