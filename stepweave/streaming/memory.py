@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.functions.indices import even_indices, recurrent_indices
@@ -122,7 +123,51 @@ def recurrent_steps(t: int, start: int, horizon: int, max_steps: int, max_video:
     return [*video, *execution][-max_steps:]
 
 
-VECTORS = "image array<array<double>>, pos array<array<double>>, state array<double>"
+#: Feature rows of ``BLOCK`` consecutive steps are one entry of the state; ``HELD_BLOCKS`` of them are kept at hand.
+BLOCK, HELD_BLOCKS, EMIT_ROWS = 32, 8, 64
+VECTORS = "steps array<int>, image array<array<double>>, pos array<array<double>>, state array<array<double>>"
+
+
+class _Features:
+    """Feature rows (image, pos, state) by step: those of this append, and blocks of a map state."""
+
+    def __init__(self, blocks) -> None:
+        self.blocks, self.fresh, self.held = blocks, {}, OrderedDict()
+
+    def block(self, number: int) -> dict[int, tuple]:
+        if number not in self.held:
+            found = self.blocks.getValue((number,)) if self.blocks.containsKey((number,)) else ([], [], [], [])
+            self.held[number] = {s: tuple(np.asarray(x, dtype="float64") for x in row) for s, *row in zip(*found)}
+            if len(self.held) > HELD_BLOCKS:
+                self.held.popitem(last=False)
+        self.held.move_to_end(number)
+        return self.held[number]
+
+    def add(self, step: int, row: tuple) -> None:
+        if step in self.block(step // BLOCK):
+            raise ValueError(f"step {step} was added twice")
+        self.fresh[step] = row
+
+    def at(self, step: int) -> tuple:
+        return self.fresh[step] if step in self.fresh else self.block(step // BLOCK)[step]
+
+    def settle(self, used: set[int] | None = None) -> None:
+        """Put the append into the state; with ``used``, forget the rows of all other steps."""
+        new = {}
+        for step in self.fresh:
+            if used is None or step in used:
+                new.setdefault(step // BLOCK, []).append(step)
+        known = set() if used is None else {n for (n,) in list(self.blocks.keys())}
+        for number in sorted(known | set(new)):
+            before = self.block(number)
+            rows = {s: row for s, row in before.items() if used is None or s in used}
+            if number not in new and len(rows) == len(before):
+                continue
+            rows |= {s: self.fresh[s] for s in new.get(number, [])}
+            if rows:
+                self.blocks.updateValue((number,), (list(rows), *[[row[k].tolist() for row in rows.values()] for k in range(3)]))
+            else:
+                self.blocks.removeKey((number,))
 
 
 def online_memory(stream: DataFrame, mode: str = "frames", key: str = "epis_idx", budget: int = 512, per_image: int = 16,
@@ -131,88 +176,98 @@ def online_memory(stream: DataFrame, mode: str = "frames", key: str = "epis_idx"
     ``assemble_tokens`` give for the same step.
 
     Input rows are features (key, step_idx, state, image_emb_*, pos_emb_*), in mode ``recurrent`` with ``exec_start`` and in
-    mode ``tokens`` with ``pixels`` (flat, 8 x 8). The state maps each step to its feature row; in mode ``tokens`` it holds the
-    kept tokens and the rows of the steps they come from, and forgets the others.
+    mode ``tokens`` with ``pixels`` (flat, 8 x 8). The state maps blocks of steps to their feature rows; in mode ``tokens`` it
+    holds the kept tokens and the rows of the steps they come from, and forgets the others.
+
+    Vectors go to and from the Python workers flat: a worker of a partition without rows gets an empty batch, and pyarrow
+    crashes on an empty batch with nested arrays. Results leave in pieces of ``EMIT_ROWS``; beside these a worker holds the
+    rows that one append brings to an episode and a few blocks, never an episode.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     side = int(per_image ** 0.5) if mode == "frames" else 8
+    cells = side * side
     payload = [f"image_emb_{side}x{side}", f"pos_emb_{side}x{side}", "state"]
     kind = stream.schema[key].dataType.simpleString()
     extra = {"frames": [], "recurrent": ["exec_start"], "tokens": ["pixels"]}[mode]
-    read = stream.select(key, "step_idx", *extra, F.col(payload[0]).cast("array<array<double>>").alias("image"),
-                         F.col(payload[1]).cast("array<array<double>>").alias("pos"), F.col("state").cast("array<double>").alias("state"))
+    read = stream.select(key, "step_idx", *extra, *[F.flatten(F.col(c).cast("array<array<double>>")).alias(name) for c, name in
+                                                    zip(payload, ("image", "pos"))],
+                         F.col("state").cast("array<double>").alias("state"))
     frames_max = budget // per_image
 
-    def nested(x) -> list:
-        return [[float(v) for v in row] for row in x]
-
     class Contents(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.rows = handle.getMapState("rows", "step int", VECTORS)
+            self.blocks = handle.getMapState("blocks", "number int", VECTORS)
             self.scored = handle.getValueState("scored", "pixels array<double>")
             self.tokens = handle.getListState("tokens", "score double, step int, view int, patch int")
 
         def handleInputRows(self, ident, rows, timerValues):
-            held: dict[int, tuple] = {}
-
-            def at(step: int) -> tuple:
-                if step not in held:
-                    held[step] = tuple(self.rows.getValue((step,)))
-                return held[step]
-
+            arrived = sorted(((int(row.step_idx), row) for batch in rows for row in batch.itertuples(index=False)), key=lambda x: x[0])
+            features = _Features(self.blocks)
             kept = np.zeros((0, 4))
             previous = None
             if mode == "tokens":
                 known = [tuple(t) for t in self.tokens.get()] if self.tokens.exists() else []
                 kept = np.array(known, dtype="float64").reshape(-1, 4)
                 previous = np.asarray(self.scored.get()[0]) if self.scored.exists() else None
-            batch = pd.concat(list(rows), ignore_index=True).sort_values("step_idx", kind="stable")
             found = []
-            for row in batch.itertuples(index=False):
-                t = int(row.step_idx)
-                if self.rows.containsKey((t,)):
-                    raise ValueError(f"step {t} was added twice")
-                held[t] = (nested(row.image), nested(row.pos), [float(v) for v in row.state])
+
+            def given() -> pd.DataFrame:
+                return pd.DataFrame({key: [ident[0]] * len(found), **{name: [x[i] for x in found] for i, name in enumerate(
+                    ("step_idx", "_at", "_image", "_pos", "_state"))}})
+
+            for t, row in arrived:
+                features.add(t, tuple(np.asarray(x, dtype="float64") for x in (row.image, row.pos, row.state)))
                 if mode == "tokens":
                     kept, previous = merge_tokens(kept, np.array([t]), np.stack([row.pixels]).astype("float64"), previous, stride, keep)
                     best = kept[-budget:]
-                    order = sorted((int(s), int(w), int(p)) for s, w, p in best[:, 1:].tolist())
-                    found.append((t, [{"_pos": i, "image": at(s)[0][p], "pos": at(s)[1][p], "state": at(s)[2]}
-                                      for i, (s, _, p) in enumerate(order)]))
+                    picked = sorted((int(s), int(w), int(p)) for s, w, p in best[:, 1:].tolist())
+                    steps = [s for s, _, _ in picked]
+                    parts = [[features.at(s)[k].reshape(cells, -1)[p] for s, _, p in picked] for k in (0, 1)]
                 else:
                     steps = even_steps(t, frames_max) if mode == "frames" else recurrent_steps(
                         t, min(int(row.exec_start), t), horizon, max_steps, max_video)
-                    found.append((t, [dict(zip(("_pos", "at", *payload), (i, s, *at(s)))) for i, s in enumerate(steps)]))
+                    parts = [[features.at(s)[k] for s in steps] for k in (0, 1)]
+                parts.append([features.at(s)[2] for s in steps])
+                found.append((t, np.array(steps, dtype="int32"), *[np.concatenate(p) if p else np.zeros(0) for p in parts]))
+                if len(found) == EMIT_ROWS:
+                    yield given()
+                    found = []
             if mode == "tokens":
                 if previous is not None:
                     self.scored.update((previous.tolist(),))
                 if len(kept):
                     self.tokens.put([(float(a), int(b), int(c), int(d)) for a, b, c, d in kept.tolist()])
-                used = {int(s) for s in kept[:, 1]}
-                for (step,) in list(self.rows.keys()):
-                    if step not in used:
-                        self.rows.removeKey((step,))
-            for step in batch["step_idx"].tolist():
-                if mode != "tokens" or step in used:
-                    self.rows.updateValue((int(step),), held[int(step)])
-            yield pd.DataFrame({key: [ident[0]] * len(found), "step_idx": [t for t, _ in found], "_m": [m for _, m in found]})
+            features.settle({int(s) for s in kept[:, 1]} if mode == "tokens" else None)
+            if found:
+                yield given()
 
         def close(self) -> None:
             pass
 
-    if mode == "tokens":
-        entry = "struct<_pos:int,image:array<double>,pos:array<double>,state:array<double>>"
-    else:
-        entry = f"struct<_pos:int,at:int,{payload[0]}:array<array<double>>,{payload[1]}:array<array<double>>,state:array<double>>"
     out = with_package(read).groupBy(key).transformWithStateInPandas(
-        statefulProcessor=Contents(), outputStructType=f"`{key}` {kind}, step_idx int, _m array<{entry}>", outputMode="Append",
-        timeMode="None")
+        statefulProcessor=Contents(), outputMode="Append", timeMode="None",
+        outputStructType=f"`{key}` {kind}, step_idx int, _at array<int>, _image array<double>, _pos array<double>, _state array<double>")
+    n = F.size("_at")
+
+    def cut(values: str, i: Column, parts: Column) -> Column:
+        """Part ``i`` of the equal ``parts`` of an array."""
+        width = (F.size(values) / parts).cast("int")
+        return F.slice(values, i * width + 1, width)
+
+    def grid(values: str, i: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda p: cut(values, i * cells + p, n * cells))
+
+    vectors = ["_at", "_image", "_pos", "_state"]
     if mode == "tokens":
+        out = out.withColumn("_m", F.transform("_at", lambda s, i: F.struct(
+            i.alias("_pos"), *[cut(f"_{name}", i, n).alias(name) for name in ("image", "pos", "state")]))).drop(*vectors)
         first = F.get("_m", F.lit(0))
         widths = F.struct(*[F.size(first[c]).alias(c) for c in ("image", "pos", "state")])
         return padded_tokens(out, budget, widths)
-    out = out.withColumnRenamed("_m", "history")
+    out = out.withColumn("history", F.transform("_at", lambda s, i: F.struct(
+        i.alias("_pos"), s.alias("at"), grid("_image", i).alias(payload[0]), grid("_pos", i).alias(payload[1]),
+        cut("_state", i, n).alias("state")))).drop(*vectors)
     return padded_frames(out, payload, per_image, 1, frames_max) if mode == "frames" else padded_recurrent(out, payload, max_steps)
 
 

@@ -53,6 +53,31 @@ def test_a_step_added_twice_raises(spark, tmp_path):
         run.run_to_table(live.online_memory(run.replay(spark, f"{tmp_path}/in"), budget=32), str(tmp_path))
 
 
+def test_contents_with_partitions_without_rows(spark, tmp_path, monkeypatch):
+    """One episode on several partitions: the others get no rows. A small cache and small pieces give the same rows."""
+    monkeypatch.setattr(live, "EMIT_ROWS", 3)
+    monkeypatch.setattr(live, "BLOCK", 2)
+    monkeypatch.setattr(live, "HELD_BLOCKS", 1)
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    rows = [(0, t, [float(t)], [[t + p / 16] for p in range(16)], [[p / 16, float(t)] for p in range(16)]) for t in range(11)]
+    frames = spark.createDataFrame(rows, "epis_idx int, step_idx int, state array<double>, image_emb_4x4 array<array<double>>, "
+                                         "pos_emb_4x4 array<array<double>>")
+    run.write_slices(frames, F.col("step_idx"), f"{tmp_path}/in", 2)
+    run.use_state_store(spark)
+    try:
+        out = run.run_to_table(live.online_memory(run.replay(spark, f"{tmp_path}/in"), budget=64), str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sorted(r.step_idx for r in out) == list(range(11))
+    for r in out:
+        steps = live.even_steps(r.step_idx, 4)
+        n = 16 * len(steps)
+        assert r.static_image_emb == [x for s in steps for x in rows[s][3]] + [[0.0]] * (64 - n)
+        assert r.static_pos_emb == [x for s in steps for x in rows[s][4]] + [[0.0, 0.0]] * (64 - n)
+        assert r.static_state_emb == [[float(s)] for s in steps for _ in range(16)] + [[0.0]] * (64 - n)
+        assert r.static_mask == [True] * n + [False] * (64 - n)
+
+
 def test_run_logs_round_trip_and_push_down(spark, tmp_path):
     rows = [(c, s, t, i / 7) for i, (c, s, t) in enumerate((c, s, t) for c in ("1-A", "b/c", "d é") for s in ("s0", "s1") for t in ("T1", "T2"))]
     rates = spark.createDataFrame(rows, runlogs.SCHEMA)
