@@ -122,7 +122,10 @@ def build_chat_single(steps: DataFrame, goal: str = "goal", simple: str = "subgo
     has_video = F.col("exec_start") > 0
     boxes = F.concat("_grounded_history_boxes", "_boxes")
     if noise_seed is not None:
-        boxes = text.jitter_boxes(boxes, noise_seed, F.concat_ws(":", "epis_idx", "step_idx"))
+        rows = rows.withColumn("_key", F.concat_ws(":", "epis_idx", "step_idx"))
+        boxes = text.jitter_boxes(boxes, noise_seed, F.col("_key"))
+    # below the copies and the records, so that the boxes of a step are drawn once
+    rows = rows.withColumn("_shown_boxes", boxes)
     prefix = F.concat(F.col("env_id"), F.lit("_ep"), F.col("epis_idx").cast("string"))
     video = F.when(has_video, F.array(F.concat(prefix, F.lit("_video.mp4"))))
     goal_text = F.lower(F.col(goal))
@@ -134,7 +137,7 @@ def build_chat_single(steps: DataFrame, goal: str = "goal", simple: str = "subgo
         return F.struct(F.lit(kind).alias("kind"), messages.alias("messages"), objects.alias("objects"))
 
     no_objects = F.lit(None).cast("struct<ref:array<string>,bbox:array<array<int>>>")
-    objects = F.struct(F.array().cast("array<string>").alias("ref"), boxes.alias("bbox"))
+    objects = F.struct(F.array().cast("array<string>").alias("ref"), F.col("_shown_boxes").alias("bbox"))
     records = F.array(record("simple", F.col("_simple_history"), F.col(simple), no_objects),
                       record("grounded", F.col("_grounded_history"), F.col("_masked"), objects))
     out = windows.duplicate_rows(rows, enabled=duplicate).withColumn("_r", F.explode(records))

@@ -293,3 +293,13 @@ def test_histograms_keep_values_outside(spark):
     df = spark.createDataFrame([([0.5],), ([5.0],), ([-3.0],), ([1.0],)], "x array<double>")
     got = {r.bin: r["count"] for r in stats.fixed_histogram(df, "x", 0.0, 1.0, 4).collect()}
     assert got == {2: 1, 4: 1, -1: 1, 3: 1}
+
+
+def test_boxes_of_chat_records_are_drawn_once_per_step(spark):
+    steps = spark.createDataFrame([(e, t, "goal", f"s{t // 2}", f"pick at <{t}, 5>", 0, 6, f"E{e}") for e in range(2) for t in range(6)],
+                                  "epis_idx int, step_idx int, goal string, subgoal string, grounded string, exec_start int, n int, env_id string")
+    steps = steps.withColumns({"completed": F.lit(False), "boundary": F.lit(False), "is_demo": F.lit(False)})
+    out = jobs.build_chat_single(steps, noise_seed=3, stride=1, slow_stride=2)
+    plan = out.select("epis_idx", "objects")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("explode(sequence")[0]
+    assert "md5" in plan and "md5" not in above
