@@ -156,3 +156,32 @@ def test_licence_scores_one_by_one(spark):
     assert got.keys() == want.keys() and {100, 101, 102} <= {i for i, _ in got}
     for key, (family, p, agreement, good) in want.items():
         assert got[key][0] == family and np.allclose(got[key][1:3], (p, agreement)) and got[key][3] == good
+
+
+def test_licence_training_reads_every_passage(spark):
+    """Words of templates held by just one passage in a hundred, and by one passage more, are told apart."""
+    few = "software restriction merchantability warranties redistribution binary conditions implied compliance writing".split()
+    many = "permission granted copyright publisher publication distribute sublicense merge attribution creative".split()
+    held = [w for w in few for _ in range(80)] + [w for w in many for _ in range(81)]
+    passages = [f"u{i} x{i} {held[i] if i < len(held) else f'y{i}'}." for i in range(8000)]
+    random.Random(3).shuffle(passages)
+    texts = [(i, " ".join(passages[i * 50:i * 50 + 50])) for i in range(160)]
+    docs = spark.createDataFrame(texts + texts[:40] + [(500, texts[3][1]), (501, "Released under the MIT License."), (502, None)],
+                                 "doc_id bigint, text string")
+    model, templates = licences.train(docs)
+    every = {f for r in templates.collect() for f in r.features}
+    single = {w: plain_features(w)[0] for w in few + many}
+    assert set(model.common) & every == {single[w] for w in many if single[w] in every}
+    assert {single[w] for w in few if single[w] in every} <= set(model.features)
+    assert sum(single[w] in every for w in few) >= 8 and sum(single[w] in every for w in many) >= 8
+
+
+def test_licence_threshold_is_exact(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([0.6, 0.7, 0.75 + rng.randrange(3) * 2.0 ** -50, 1 - rng.random() / 2]), rng.randrange(1, 4)) for _ in range(400)]
+    rows += [(1.0, 2), (0.9, 1), (0.9, 3)]
+    scores = spark.createDataFrame(rows, "score double, amount bigint")
+    plain = sorted((s for s, n in rows for _ in range(n)), reverse=True)
+    for above in (0, 1, 2, 9, 250, 500, len(plain) - 1):
+        assert licences.ranked(scores, above, 0.5) == plain[above]
+    assert licences.ranked(scores, len(plain), 0.5) == 0.5
