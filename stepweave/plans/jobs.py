@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.functions import images, rng, text, vectors
@@ -297,6 +297,13 @@ def _adapted(df: DataFrame, structure: Mapping, profile: str, keys: Sequence[str
     return shape.adapt_inputs(shape.repack(df, {**structure, **passed}), profile)
 
 
+def _sample_prompt(samples: DataFrame, structure: Mapping | None) -> Column:
+    """The prompt that the adapted samples will have; null where they have no such column."""
+    path = "prompt" if structure is None else structure["prompt"]
+    found = samples.columns if structure is None else [*samples.columns, *shape.leaf_paths(samples.schema)]
+    return shape._leaf(samples, path).cast("string") if path in found else F.lit(None).cast("string")
+
+
 def _resized(df: DataFrame, shape_of: tuple[int, int, int], size: tuple[int, int]) -> DataFrame:
     """Every camera slot fitted into ``size`` (height, width)."""
     slots = [f.name for f in df.schema["image"].dataType.fields]
@@ -327,7 +334,15 @@ def training_examples(samples: DataFrame, features: DataFrame | None = None, kep
     """
     from stepweave.functions.tokens import byte_tokenizer, with_tokens
 
+    def given(prompt):
+        return prompt if default_prompt is None else F.coalesce(prompt, F.lit(default_prompt))
+
     out = samples.withColumn("actions", vectors.cut(F.col("actions"), horizon))
+    # tokens come ahead of the memory: rows wait in a queue while their texts are in Python, the longer the larger
+    ids = ["tokenized_prompt", "tokenized_prompt_mask"]
+    prompt = _sample_prompt(out, structure)
+    out = out.withColumn("_text", text.build_prompt(text.require_prompt(given(prompt)), "plain"))
+    out = with_tokens(out, "_text", tokenizer or byte_tokenizer, max_len, ids[0]).drop("_text")
     symbolic = memory_type == "symbolic"
     key = [F.col("epis_idx"), F.col("step_idx")]
     if symbolic:
@@ -348,15 +363,13 @@ def training_examples(samples: DataFrame, features: DataFrame | None = None, kep
         out = stats.normalize(out, {name: norm["state"]}, use_quantiles)
     out = shape.ensure_columns(out)
     if structure is not None:
-        out = _adapted(out, structure, profile, keys)
+        out = _adapted(out, structure, profile, [*keys, *ids])
     out = out.withColumn("actions", vectors.shift_actions(F.col("actions"), F.col("state"), mask, -1))
     out = stats.normalize(out, norm, use_quantiles)
-    prompt = F.col("prompt") if default_prompt is None else F.coalesce(F.col("prompt"), F.lit(default_prompt))
-    out = out.withColumn("_text", text.build_prompt(text.require_prompt(prompt), "plain"))
-    out = with_tokens(out, "_text", tokenizer or byte_tokenizer, max_len, "tokenized_prompt").drop("_text")
+    out = out.select(*[c for c in out.columns if c not in ids], *ids)
     if symbolic:
         goal = F.coalesce(F.col("grounded_subgoal"), F.col("simple_subgoal"), F.lit(""))
-        out = out.withColumn("_text", text.build_prompt(prompt, "subgoal", subgoal=goal))
+        out = out.withColumn("_text", text.build_prompt(given(F.col("prompt")), "subgoal", subgoal=goal))
         out = with_tokens(out, "_text", tokenizer or byte_tokenizer, 2 * max_len, "symbolic_tokenized_prompt").drop("_text")
     if image_shape is not None:
         out = _resized(out, image_shape, image_size)
